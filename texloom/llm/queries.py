@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from texloom.llm import decontaminate, quality_rules
+from texloom.llm import bpe, decontaminate, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(hits).drop("text_key")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), bpe.vocabulary_path())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from texloom.llm.store import written
 
@@ -29,6 +33,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_bpe": op4_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
 
