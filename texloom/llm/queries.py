@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texloom.llm import bpe, decontaminate, near_dedup, quality_crf, quality_rules, substring_dedup
+from texloom.llm import bpe, decontaminate, near_dedup, pii, quality_crf, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[n(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.as_text("base").cast("binary"), 256).alias("base_sha256"),
+        pii.as_text("spans").alias("spans"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.judged(hits).drop("text_key")
@@ -46,6 +57,7 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op7_near_dedup": op7_near_dedup,
