@@ -7,13 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texloom.llm import bpe, decontaminate, near_dedup, pii, quality_crf, quality_rules, substring_dedup
+from texloom.llm import bpe, decontaminate, line_dedup, near_dedup, pii, quality_crf, quality_rules, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (verdict, rule)
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP1_SQL = r"""
+with parts as (
+  select page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+  from pages
+), rules(rule, verdict, rule_host, rule_path) as (
+  values ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
+    ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')
+), fits as (
+  select page_id, rule, verdict, row_number() over (partition by page_id order by length(rule) desc) as k
+  from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+)
+select p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') as verdict
+from parts p left join fits f on f.page_id = p.page_id and f.k = 1
+"""
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(_table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long")
@@ -34,6 +61,35 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), bpe.vocabulary_path())
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+with lines as (
+  select doc_id, pos - 1 as pos, parts[pos] as line
+  from (select doc_id, parts, unnest(generate_series(1, len(parts))) as pos
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents))
+), runs as (
+  select doc_id, pos, line,
+    lead(line, 1) over w as b, lead(line, 2) over w as c,
+    lead(pos, 2) over w as last
+  from lines window w as (partition by doc_id order by pos)
+), starts as (
+  select doc_id, pos, row_number() over (partition by line, b, c order by doc_id, pos) as nth
+  from runs where last is not null
+), marked as (
+  select l.doc_id, l.pos, l.line,
+    exists (select 1 from starts s where s.nth > 1 and s.doc_id = l.doc_id and s.pos between l.pos - 2 and l.pos) as gone
+  from lines l
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(_table(spark, sf_dir, "documents"), threshold=85)
 
@@ -57,13 +113,15 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
+    "op5_line_dedup": op5_line_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_crf": op10_quality_crf,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_line_dedup": OP5_SQL}
