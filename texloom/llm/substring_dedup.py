@@ -9,10 +9,11 @@ starts, with the same words, in a document of smaller id. Three steps:
    a repeat inside the chunk already is sent on as such and isn't dealt. So a passage in
    a third of all documents reaches its shard once per chunk, not once per document.
 2. Compile. The repeats come back to their documents by id, together with the texts (the only
-   time texts are shuffled). Each slice of about a megabyte compiles one Aho-Corasick
-   automaton over the word sequences of its confirmed phrases, each with its first document.
+   time texts are shuffled). Adjacent repeats join to passages, and each slice of about a
+   megabyte compiles one Aho-Corasick automaton over the word sequences of its passages.
 3. Stream. All documents of the slice run through the automaton, which locates every
-   occurrence; those in documents after the phrase's first are marked, and their words removed.
+   occurrence; where all windows of the passage start before the document at hand, its words
+   are removed. (Each document's own repeats are all in its own passages, so none is missed.)
 
 Shards hold `SHARD_WINDOWS` windows each, so their number grows with the corpus; no task and
 not the driver holds more than a shard, a chunk or a slice.
@@ -37,7 +38,9 @@ from texloom.llm import textvec as tv
 
 WINDOW = 13
 SHARD_WINDOWS = 6_000_000
+MIN_SHARDS = 32
 CHUNK = 4 << 20
+PIECE = 1000  # windows of a passage in one pattern; longer passages are cut, overlapping by a window
 LAST = np.iinfo(np.int64).max  # stands for a null id
 
 
@@ -139,35 +142,42 @@ def _streamed(part: pa.RecordBatch, size: int) -> tuple[list[int], list[int], li
         ids = np.unique(words.h, return_inverse=True)[1]
         at, h = words.windows(size)
         edges = np.searchsorted(words.row[at], np.arange(part.num_rows + 1))
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        phrases: dict[int, int] = {}
-        where: dict[int, int] = {}
+        passages: dict[int, tuple[int, int, int]] = {}  # fingerprint: first word, end, latest first document of its windows
         for i in holders:
             fh = np.frombuffer(b"".join(known[i]), np.uint64)
-            fl = np.frombuffer(b"".join(firsts[i]), np.int64)
+            order = np.argsort(fh)
+            fh, fl = fh[order], np.frombuffer(b"".join(firsts[i]), np.int64)[order]
             own = slice(edges[i], edges[i + 1])
-            uniq, pos = np.unique(h[own], return_index=True)
-            spot = np.searchsorted(uniq, fh)
-            for key, low, p in zip(fh.tolist(), fl.tolist(), at[own][pos[np.minimum(spot, len(uniq) - 1)]].tolist(), strict=True):
-                if key not in phrases or low < phrases[key]:
-                    phrases[key] = low
-                    where[key] = p
-        lows = np.array(list(phrases.values()), np.int64)
+            spot = np.minimum(np.searchsorted(fh, h[own]), len(fh) - 1)
+            hit = fh[spot] == h[own]
+            pos, low = at[own][hit], fl[spot[hit]]
+            run = np.cumsum(np.diff(pos, prepend=pos[:1]) != 1)
+            nth = np.arange(len(pos)) - np.searchsorted(run, run)
+            starts = np.flatnonzero((nth % PIECE == 0))
+            ends = np.concatenate([starts[1:], [len(pos)]])
+            a, b = pos[starts], pos[ends - 1] + size
+            for key, x, y, z in zip(words.spans(a, b).tolist(), a.tolist(), b.tolist(), np.maximum.reduceat(low, starts).tolist(), strict=True):
+                old = passages.get(key)
+                if old is None or z < old[2]:
+                    passages[key] = (x, y, z)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         listed = ids.tolist()
-        for k, p in enumerate(where.values()):
-            automaton.add_word(tuple(listed[p : p + size]), k)
+        for k, (x, y, _) in enumerate(passages.values()):
+            automaton.add_word(tuple(listed[x:y]), k)
         automaton.make_automaton()
+        lengths, lows = (np.array([f(p) for p in passages.values()], np.int64) for f in (lambda p: p[1] - p[0], lambda p: p[2]))
         ends, found = [], []
         for i in range(part.num_rows):
             a, b = int(words.first[i]), int(words.first[i + 1])
             if b - a >= size:
                 for end, k in automaton.iter(tuple(listed[a:b])):
-                    ends.append(a + end)
+                    ends.append(a + end + 1)
                     found.append(k)
         ends, found = np.array(ends, np.int64), np.array(found, np.int64)
         if len(ends):
-            gone = lows[found] < doc[words.row[ends]]
-            keep = ~tv.covered(len(words.h), ends[gone] - (size - 1), size)
+            # all windows of the passage start in a document before this one
+            gone = lows[found] < doc[words.row[ends - 1]]
+            keep = ~tv.covered(len(words.h), ends[gone] - lengths[found[gone]], lengths[found[gone]])
     removed = tv.per_row(~keep, words.first)
     kept = []
     for i, text in enumerate(part.column("text").to_pylist()):
@@ -180,7 +190,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """One row per document: doc_id, n_words, n_removed, kept_text (the kept words, one space between them)."""
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("doc"), F.col(text).cast("binary").alias("text"))
     size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = max(1, -(-int(size) // (6 * shard_windows)))  # a word takes about six bytes
+    shards = max(MIN_SHARDS, -(-int(size) // (6 * shard_windows)))  # a word takes about six bytes
     found = _dealt(source, window, shards).groupBy("shard").applyInArrow(_confirmed, "doc long, h binary, low binary")
     pairs = found.groupBy("doc").agg(F.collect_list(F.struct("h", "low")).alias("p"))
     per_doc = pairs.select("doc", F.transform("p", lambda x: x["h"]).alias("h"), F.transform("p", lambda x: x["low"]).alias("low"))
