@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texloom.llm import bpe, decontaminate, line_dedup, near_dedup, pii, quality_crf, quality_rules, substring_dedup, url_filter
+from texloom.llm import bpe, decontaminate, line_dedup, near_dedup, pii, quality_crf, quality_rules, substring_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,20 @@ from marked group by doc_id
 """
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = r"""
+select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest,
+  case when strlen(coalesce(html, '')) >= 100 and page_id > min(page_id) over (partition by coalesce(html, ''))
+    then 'revisit' else 'response' end as record_type,
+  case when strlen(coalesce(html, '')) >= 100 and page_id > min(page_id) over (partition by coalesce(html, ''))
+    then min(page_id) over (partition by coalesce(html, '')) end as refers_to
+from pages
+"""
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(_table(spark, sf_dir, "documents"), threshold=85)
 
@@ -118,10 +132,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_crf": op10_quality_crf,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_line_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL}
