@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Words as the byte-level vocabularies cut them (a fixed value of the file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,7 +180,7 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
     """`docs` with a column `to`, the token ids of each text (array<int>)."""
     kept = [c for c in docs.columns if c != to]
-    schema = docs.select(*kept).schema.add(to, "array<int>")
+    schema = StructType([*docs.select(*kept).schema.fields, StructField(to, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -195,7 +196,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> D
 def decode(coded: DataFrame, path: str, ids: str = "ids", to: str = "text") -> DataFrame:
     """`coded` with a column `to`, the text of each row's token ids; null ids give null."""
     kept = [c for c in coded.columns if c != to]
-    schema = coded.select(*kept).schema.add(to, "string")
+    schema = StructType([*coded.select(*kept).schema.fields, StructField(to, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -231,3 +232,11 @@ def round_trip_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
                 )
 
     return source.mapInArrow(run, schema)
+
+
+def coded_corpus(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text: str = "text") -> DataFrame:
+    """The columns in `keep`, n_tokens, ids and the digest of the text that the ids decode to."""
+    kept = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
+    coded = encode(kept, path, "_text", "ids").drop("_text").withColumn("n_tokens", F.size("ids").cast("long"))
+    decoded = decode(coded, path, "ids", "_decoded")
+    return decoded.select(*keep, "n_tokens", "ids", F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -7,8 +7,8 @@ reaches a threshold; linked documents form a component.
 1. Equal sets become one class (pre-aggregated by a 128-bit set digest): copies are counted,
    never paired.
 2. Each class is posted under its (coordinate, value) tokens. Two similar classes agree on at
-   least `MATCHES` coordinates, so they share a token among the COORDINATES - MATCHES + 1
-   rarest tokens of each: only this prefix is joined, and the long lists are skipped; there
+   least m coordinates (see `matches_needed`), so they share a token among the
+   COORDINATES - m + 1 rarest tokens of each: only this prefix is joined, and the long lists are skipped; there
    signatures are compared in place.
 3. Per list, the smallest class is the centre; the others are compared with it only. Pairs
    with enough matches are verified on the full sets, and verified links merge components.
@@ -19,8 +19,8 @@ reaches a threshold; linked documents form a component.
    at last all. So every pair that could still join two components is verified, while
    a large group of copies costs rows in proportion to its size.
 
-Threshold 0.85 and 16 of 32 matches: a true link falls below 16 matches once in about 10
-million; all links that pass are exact.
+A link at the threshold has too few matches with a chance below `MISS`, a closer one far less
+often; all links that pass are exact.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; texts of
 fewer than five words are one shingle; rows of one doc_id are one node; a null doc_id gets a
@@ -30,6 +30,7 @@ null component and is kept; other columns are ignored or pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from texloom.llm.store import written
 
 SHINGLE = 5
 COORDINATES = 32
-MATCHES = 16
+MISS = 1e-6
 STAR_ROUNDS = 3
 BLOCK = 512
 BROADCAST_ROWS = 400_000
@@ -51,6 +52,16 @@ _XOR = tv.mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA24
 _ODD = tv.mixed(np.arange(101, COORDINATES + 101, dtype=np.uint64)) | np.uint64(1)
 
 
+def matches_needed(threshold: int) -> int:
+    """The most coordinates that a pair at the threshold misses with a chance below MISS."""
+    p, tail = threshold / 100, 0.0
+    for m in range(COORDINATES):
+        tail += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if tail >= MISS:
+            return m
+    return COORDINATES
+
+
 def shingles(part: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Row and fingerprint of the distinct shingles of each text, rows ascending."""
     words = tv.Words(tv.Texts(part.column(column)), tv.SPACE_LOWER)
@@ -96,7 +107,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return source.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
+def _prefixes(classes: DataFrame, matches: int) -> DataFrame:
     """token, rep: the rarest tokens of each class that another class has too."""
     tokens = classes.select("rep", F.posexplode("sig").alias("k", "v")).select(
         "rep", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token")
@@ -104,7 +115,7 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     lists = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     # tokens that no other class has come first in the order of rarity and use up the prefix
-    take = F.greatest(F.lit(0), F.size("t") - F.lit(MATCHES - 1))
+    take = F.greatest(F.lit(0), F.size("t") - F.lit(matches - 1))
     return lists.select("rep", F.explode(F.slice("t", 1, take)).alias("t")).select("t.token", "rep")
 
 
@@ -114,7 +125,7 @@ def _with_signatures(pairs: DataFrame, classes: DataFrame, threshold: int) -> Da
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
-    return both.where(sizes & (same >= MATCHES)).select("a", "b")
+    return both.where(sizes & (same >= matches_needed(threshold))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, source: DataFrame, threshold: int) -> DataFrame:
@@ -184,7 +195,7 @@ def _block_pairs(lists: DataFrame, classes: DataFrame, threshold: int, best: int
         "token", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "comp"
     )
     spread = spread.join(classes.select("rep", "sig", "n_shingles"), "rep")
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, least = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), matches_needed(threshold)
     dealt = spread.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def pairs_of(t: pa.Table) -> Iterator[tuple[int, int]]:
@@ -196,7 +207,7 @@ def _block_pairs(lists: DataFrame, classes: DataFrame, threshold: int, best: int
             y = right[(comp[right] != comp[x]) & (rep[right] > rep[x] if i == j else True)]
             y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * threshold]
             same = (sig[y] == sig[x]).sum(axis=1)
-            y, same = y[same >= MATCHES], same[same >= MATCHES]
+            y, same = y[same >= least], same[same >= least]
             for k in np.argsort(-same, kind="stable")[:best]:
                 a, b = int(rep[x]), int(rep[y[k]])
                 yield (a, b) if a < b else (b, a)
@@ -234,7 +245,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
     classes = written(
         sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near-classes"
     )
-    lists = written(_prefixes(classes), "near-lists").withColumn("comp", F.col("rep"))
+    lists = written(_prefixes(classes, matches_needed(threshold)), "near-lists").withColumn("comp", F.col("rep"))
     labels = tested = edges = None
     for round_ in range(STAR_ROUNDS + 3):
         span = lists.groupBy("token").agg(F.min("rep").alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))

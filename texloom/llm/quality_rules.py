@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from texloom.llm import textvec as tv
+from texloom.llm.store import written
 
 #: Bound of the labelled rows that come to the driver for training.
 SAMPLE_ROWS = 20_000
@@ -252,3 +253,12 @@ def fit(stats: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> list[R
     """Rules from the labels that aren't held out."""
     x, bad = training_rows(stats, labels, limit, held_out())
     return learn_rules(x, bad) if len(x) else []
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`docs` without the documents that the base rules or the learned rules reject; columns as they were."""
+    stats = written(document_stats(docs), "rules-stats")
+    rules = fit(stats, labels)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    judged = judge(document_stats(whole, keep=("_row",), text="_text"), rules)
+    return judged.where("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
