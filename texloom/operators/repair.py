@@ -13,7 +13,7 @@ def error_lines(logs: DataFrame) -> DataFrame:
     """(paper_id, line): distinct lines named as `stem.tex:N:` or, at a line's begin, `l.N`."""
     named = F.regexp_extract_all("log_text", F.concat(F.lit("\\Q"), "stem", F.lit(r"\E\.tex:(\d{1,6}):")), F.lit(1))
     marked = F.regexp_extract_all("log_text", F.lit(r"(?md)^l\.(\d{1,6})"), F.lit(1))
-    return logs.select("paper_id", F.explode(F.concat(named, marked)).cast("int").alias("line")).distinct()
+    return logs.select("paper_id", F.explode(F.concat(named, marked)).alias("line")).select("paper_id", F.col("line").cast("int").alias("line")).distinct()
 
 
 def known_lines(old: DataFrame, new: DataFrame) -> DataFrame:

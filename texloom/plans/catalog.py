@@ -5,6 +5,507 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from texloom.functions import latex as lx
+from texloom.operators import audit, cache, merge, repair, segment, tasks, terms
+from texloom.plans import fixtures as fx
+from texloom.plans import jobs
+from texloom.sources import latex as src
+from texloom.streaming import progress
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL for the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join("'" + w + "'" for w in words)
+
+
+# ---------------------------------------------------------------- terms
+
+TERMS_CTE = rf"""
+phrases as (
+  select source, doc_id, k, ps[k] as term
+  from (select source, doc_id, ps, unnest(generate_series(1, len(ps))) as k from (
+    select source, doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'),
+      '\b([A-Za-z][A-Za-z0-9\-]*(?:\s+[A-Za-z][A-Za-z0-9\-]*){{0,2}})\b', 1) as ps from documents))
+), split as (select *, regexp_split_to_array(term, '\s+') as words from phrases
+), kept as (
+  select * from split where case when len(words) = 1
+    then (regexp_matches(substring(term, 2), '[A-Z]') or contains(term, '-') or (length(term) >= 2 and regexp_matches(term, '^[A-Z][^a-z]*$')))
+      and lower(term) not in ({_quoted(terms.STOP_WORDS)})
+    else lower(words[1]) not in ({_quoted(terms.STARTERS + terms.STOP_WORDS)}) and lower(words[-1]) not in ({_quoted(terms.STOP_WORDS)})
+      and len(list_filter(words, lambda w: regexp_matches(w, '^[A-Z]'))) > 0 end
+), counted as (
+  select source, term, count(*) as cnt, min(doc_id * 10000000 + k) as first_pos from kept group by source, term having count(*) >= 4
+), ranked as (
+  select source, term, cnt, row_number() over (partition by source order by cnt desc, length(term) desc, first_pos) as rank from counted
+)"""
+
+
+@query(f"with {TERMS_CTE} select source, rank, term, cnt from ranked where rank <= 40")
+def term_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.top_terms(fx.table(spark, sf_dir, "documents"), "source", ["doc_id"])
+
+
+@query(f"with {TERMS_CTE} select source, term, cnt from counted")
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.term_counts(fx.table(spark, sf_dir, "documents"), "source", ["doc_id"]).select("source", "term", "cnt")
+
+
+@query(
+    f"""with {TERMS_CTE}, lowered as (
+  select source, lower(term) as low, arg_max(term, rank) as term, arg_max(rank, rank) as rank from ranked where rank <= 40 group by source, lower(term))
+select source, term, '译' || rank as target from lowered where rank % 4 <> 3"""
+)
+def glossary_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers list every term in one of four forms; those without a target, and unknown terms, don't count."""
+    top = term_topk(spark, sf_dir)
+    name = F.when(F.col("rank") % 4 == 1, F.upper("term")).otherwise(F.col("term"))
+    target = F.concat(F.lit("译"), F.col("rank").cast("string"))
+    line = (
+        F.when(F.col("rank") % 4 == 0, F.concat(F.lit("- "), name, F.lit(" => "), target)).when(F.col("rank") % 4 == 3, F.concat(name, F.lit(" =>")))
+        .otherwise(F.concat(F.lit("• "), name, F.lit(" → "), target))
+    )
+    answers = top.groupBy("source").agg(F.concat(F.lit("zzz => x\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n")).alias("answer"))
+    return terms.parse_glossary(answers, top, "source")
+
+
+@query(
+    f"""with {TERMS_CTE} select source, '{terms.GLOSSARY_HEAD}' || string_agg('- ' || term || ' → ' || '译' || rank, chr(10) order by rank) as prompt
+from ranked where rank <= 40 group by source"""
+)
+def glossary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = term_topk(spark, sf_dir).withColumn("target", F.concat(F.lit("译"), F.col("rank").cast("string")))
+    return terms.glossary_prompts(top, "source")
+
+
+# ---------------------------------------------------------------- identifiers, hashes, sizes
+
+
+@query(
+    f"""with {fx.REFS_SQL} select ref_id, case when ref_id % 8 < 7 then number end as arxiv_id,
+  case when ref_id % 8 < 7 then number else 'paper-' || ref_id || '.zip' end as work_key from source_refs"""
+)
+def arxiv_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.source_refs(spark, sf_dir).select("ref_id", lx.arxiv_id("url").alias("arxiv_id"), lx.work_key("url").alias("work_key"))
+
+
+@query(f"with {fx.SOURCES_SQL} select paper_id, rel_path, md5(content) as src_hash, substring(md5(rel_path), 1, 16) as cache_key from sources")
+def content_hash_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.sources(spark, sf_dir).select("paper_id", "rel_path", lx.content_hash("content").alias("src_hash"), lx.cache_key("rel_path").alias("cache_key"))
+
+
+@query("select source, count(*) as calls, sum(greatest(1, length(text) // 3))::bigint as tokens, max(greatest(1, length(text) // 3)) as longest from documents group by source")
+def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = lx.token_estimate("text")
+    return fx.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("calls"), F.sum(tokens).alias("tokens"), F.max(tokens).alias("longest"))
+
+
+@query(
+    rf"""with {fx.TASKS_SQL}, safe as (select task_id, k, trim(left(trim(regexp_replace(regexp_replace(title, '[\\/:*?"<>|]', ' ', 'g'), '\s+', ' ', 'g')), 120)) as s from tasks)
+select task_id, case when coalesce(s, '') = '' then 'f' || k || '.pdf' else s || case k % 3 when 0 then '_中英对照' when 1 then '_原文' else '_中文' end || '.pdf' end as name from safe"""
+)
+def download_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fx.tasks(spark, sf_dir).withColumn("k", F.substring("task_id", 2, 20).cast("long"))
+    kind = F.element_at(F.array(F.lit("bilingual"), F.lit("original"), F.lit("translated")), (F.col("k") % 3 + 1).cast("int"))
+    return t.select("task_id", lx.download_name("title", kind, F.concat(F.lit("f"), F.col("k").cast("string"), F.lit(".pdf"))).alias("name"))
+
+
+# ---------------------------------------------------------------- checks and repairs of segments
+
+_BALANCE = r"(length(replace(regexp_replace({x}, '(?s)\\.', '', 'g'), '}}', '')) - length(replace(regexp_replace({x}, '(?s)\\.', '', 'g'), '{{', '')))"
+_STRUCTURE = r"array_to_string(list_sort(list_filter(list_transform(regexp_extract_all({x}, '\\([a-zA-Z]+)', 1), lambda n: lower(n)), lambda n: n in (" + _quoted(lx.STRUCTURAL) + "))), ',')"
+_META = "(trim({x}) = '' or " + " or ".join(f"contains({{x}}, '{m}')" for m in lx.META_MARKS) + ")"
+_WORD = r"regexp_matches(regexp_replace({x}, '\\[a-zA-Z]+|[{{}}]', ' ', 'g'), '[A-Za-z]{{2,}}|[一-鿿]')"
+
+
+def _sql(template: str, x: str) -> str:
+    return template.format(x=x)
+
+
+@query(
+    f"""with {fx.TRANSLATIONS_SQL} select doc_id, {_sql(_BALANCE, "text")} as balance, {_sql(_STRUCTURE, "text")} as structure,
+  {_sql(_META, "text")} as meta, {_sql(_WORD, "text")} as word from (select doc_id, coalesce(translated, original) as text from translations)"""
+)
+def segment_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brace balance, structural commands, meta talk and words of every translation, or of the original where there is none."""
+    t = F.coalesce("translated", "original")
+    return fx.translations(spark, sf_dir).select(
+        "doc_id", lx.brace_balance(t).alias("balance"), F.array_join(lx.structural_commands(t), ",").alias("structure"), lx.is_meta(t).alias("meta"), lx.has_word(t).alias("word")
+    )
+
+
+@query(
+    f"""with {fx.TRANSLATIONS_SQL}, lines as (
+  select doc_id, k, ls[k] as line from (select doc_id, ls, unnest(generate_series(1, len(ls))) as k from (select doc_id, string_split(translated, nl) as ls from translations, (select chr(10) as nl) where translated is not null))
+), sums as (select *, sum({_sql(_BALANCE, "line")}) over (partition by doc_id order by k) as s from lines
+), depths as (select *, s - least(0, min(s) over (partition by doc_id order by k)) as depth from sums
+), before as (select *, coalesce(lag(depth) over (partition by doc_id order by k), 0) as d from depths
+), kept as (select doc_id, string_agg(line, chr(10) order by k) as collapsed from before where not (trim(line) = '' and d > 0) group by doc_id)
+select t.doc_id, collapsed from translations t left join kept using (doc_id)"""
+)
+def collapse_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.translations(spark, sf_dir).select("doc_id", lx.drop_blank_in_arguments("translated").alias("collapsed"))
+
+
+_ESC = "replace(replace(replace(replace(replace(replace({p}, '\\_', chr(1)), '\\^', chr(2)), '_', '\\_'), '^', '\\^'), chr(1), '\\_'), chr(2), '\\^')"
+ESCAPED_CTE = (
+    fx.TRANSLATIONS_SQL
+    + r""", e0 as (select *, regexp_replace(translated, '^(?:\s*\[(?i:"""
+    + "|".join(lx.STRAY_TAGS)
+    + r""")\]\s*)+', '') as x from translations
+), e1 as (select * replace (case when contains(x, '{术语' || chr(10) || chr(10)) then replace(x, chr(10) || chr(10), chr(10)) else x end as x) from e0
+), e2 as (select * replace (replace(replace(replace(x, '\%', chr(1)), '%', '\%'), chr(1), '\%') as x) from e1
+), e3 as (select * replace (array_to_string(list_transform(generate_series(1, len(string_split_regex(x, '(?s)\$.*?\$'))),
+    lambda i: """
+    + _ESC.format(p=r"(string_split_regex(x, '(?s)\$.*?\$'))[i]")
+    + r""" || coalesce((regexp_extract_all(x, '(?s)\$.*?\$'))[i], '')), '') as x) from e2
+), e4 as (select * replace (regexp_replace(regexp_replace(x, '\\([a-zA-Z]{2,})[ \t]+\{', '\\\1{', 'g'), '\\[ \t]+([a-zA-Z]{2,})\{', '\\\1{', 'g') as x) from e3
+), e5 as (select * replace (regexp_replace(x, '(\\item)([^\s\[])', '\1 \2', 'g') as x) from e4
+), escaped as (select * replace (regexp_replace(x, '(\\[a-zA-Z]+)([一-鿿　-〿＀-￯])', '\1{}\2', 'g') as x) from e5
+)"""
+)
+
+
+@query(f"with {ESCAPED_CTE} select doc_id, x as fixed from escaped")
+def escape_specials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags, blank lines, escapes and spacing repaired, without the fallbacks."""
+    t = lx.strip_tags("translated")
+    for step in (lx.drop_blank_in_arguments, lx.escape_percent, lx.escape_scripts, lx.join_commands, lx.space_after_item, lx.separate_cjk):
+        t = step(t)
+    return fx.translations(spark, sf_dir).select("doc_id", t.alias("fixed"))
+
+
+@query(
+    rf"""with {ESCAPED_CTE}, judged as (
+  select doc_id, x, original, case when translated is null then 'missing' when {_sql(_META, "translated")} then 'meta'
+    when {_sql(_STRUCTURE, "x")} <> {_sql(_STRUCTURE, "original")} then 'structure' when {_sql(_BALANCE, "x")} = {_sql(_BALANCE, "original")} then 'ok' else 'partial' end as outcome
+  from escaped)
+select doc_id, outcome, case outcome when 'ok' then x when 'partial' then regexp_extract(x, '^(.*)\{{[^{{}}]*$', 1) || ' ' || original else original end as fixed from judged"""
+)
+def fix_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, outcome = lx.repaired("original", "translated")
+    return fx.translations(spark, sf_dir).select("doc_id", outcome.alias("outcome"), text.alias("fixed"))
+
+
+@query(
+    rf"""with {fx.TRANSLATIONS_SQL} select paper_id, count(*) as n_segments, count(*) filter (where translated is null) as n_hard,
+  count(*) filter (where translated is null or trim(translated) = '' or (trim(translated) = trim(original)
+    and regexp_matches(regexp_replace(original, '\\[a-zA-Z]+|[{{}}]', ' ', 'g'), '[A-Za-z]{{3,}}'))) as n_failed from translations group by paper_id"""
+)
+def failed_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fx.translations(spark, sf_dir)
+    return t.groupBy("paper_id").agg(F.count("*").alias("n_segments"), F.count_if(F.col("translated").isNull()).alias("n_hard"), F.count_if(lx.is_failed("original", "translated")).alias("n_failed"))
+
+
+_NEEDS = r"""(length(trim({s})) >= 40 and length(regexp_replace({s}, '[^A-Za-z]', '', 'g')) > 15 and not regexp_matches(coalesce({t}, ''), '[一-鿿]')
+  and not (starts_with(trim({s}), '\') and length({s}) - length(replace({s}, '\', '')) > 3 and not regexp_matches(trim({s}), '[.!?]\s')))"""
+
+
+@query(f"with {fx.TRANSLATIONS_SQL} select doc_id, {_NEEDS.format(s='original', t='translated')} as needs from translations")
+def needs_retranslation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.translations(spark, sf_dir).select("doc_id", lx.needs_retranslation("original", "translated").alias("needs"))
+
+
+# ---------------------------------------------------------------- cache and audit
+
+_FIT = "from files f join cache_files c using (paper_id, rel_path) where f.n_chunks = c.n_chunks"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cached, chunk_rows = fx.chunk_cache(spark, sf_dir), fx.chunk_rows(spark, sf_dir)
+    counts = chunk_rows.groupBy("paper_id", "rel_path").agg(F.count("*").alias("n"))
+    fit = cached.join(counts, ["paper_id", "rel_path"]).where(F.size("chunks") == F.col("n"))
+    return chunk_rows.join(cache.cached_chunks(fit), ["paper_id", "rel_path", "chunk_idx"])
+
+
+@query(
+    f"""with {fx.CACHE_SQL}, pairs as (select c.paper_id, c.rel_path, c.text, k.translated from chunks c join cache k using (doc_id, chunk_idx) where doc_id in (select f.doc_id {_FIT}))
+select paper_id, rel_path, count(*) filter (where {_NEEDS.format(s="text", t="translated")}) as n_untranslated, count(*) as n_chunks, grouping(paper_id, rel_path) as level
+from pairs group by rollup (paper_id, rel_path)"""
+)
+def retranslation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(_pairs(spark, sf_dir))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = fx.documents(spark, sf_dir).withColumnRenamed("text", "content")
+    return cache.file_keys(texts, fx.chunk_rows(spark, sf_dir))
+
+
+@query(f"with {fx.CACHE_SQL} select paper_id, rel_path, f.src_hash, cache_key, n_chunks from files f semi join cache_files c using (paper_id, rel_path, src_hash, n_chunks)")
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.hits(_files(spark, sf_dir), fx.chunk_cache(spark, sf_dir))
+
+
+@query(f"with {fx.CACHE_SQL} select paper_id, rel_path, f.src_hash, cache_key, n_chunks from files f anti join cache_files c using (paper_id, rel_path, src_hash, n_chunks)")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.misses(_files(spark, sf_dir), fx.chunk_cache(spark, sf_dir))
+
+
+@query(
+    f"""with {fx.CACHE_SQL} select paper_id, rel_path, f.n_chunks, c.n_chunks as n_cached, f.src_hash <> c.src_hash as hash_differs
+from files f join cache_files c using (paper_id, rel_path) where f.n_chunks <> c.n_chunks or f.src_hash <> c.src_hash"""
+)
+def cache_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.stale(_files(spark, sf_dir), fx.chunk_cache(spark, sf_dir))
+
+
+@query(f"with {fx.CACHE_SQL} select c.paper_id, c.rel_path, chunk_idx, coalesce(k.translated, c.text) as final from chunks c left join cache k using (doc_id, chunk_idx)")
+def paired_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with its cached translation by position, or itself."""
+    return cache.paired(fx.chunk_rows(spark, sf_dir), cache.cached_chunks(fx.chunk_cache(spark, sf_dir))).select("paper_id", "rel_path", "chunk_idx", "final")
+
+
+@query(
+    f"""with {fx.CACHE_SQL} select paper_id, rel_path, chunk_idx, case when chunk_idx % 3 = 0 then 'neu' || chunk_idx else translated end as translated from cache"""
+)
+def replaced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third cached chunk is replaced; null replacements change nothing."""
+    new = fx.chunk_rows(spark, sf_dir).select(
+        "paper_id", "rel_path", "chunk_idx", F.when(F.col("chunk_idx") % 3 == 0, F.concat(F.lit("neu"), F.col("chunk_idx").cast("string"))).alias("translated")
+    )
+    return cache.cached_chunks(cache.replaced(fx.chunk_cache(spark, sf_dir), new))
+
+
+@query(
+    f"""with {fx.CHUNKS_SQL} select paper_id, rel_path, src_hash, string_agg(text, '|' order by chunk_idx) as joined from chunks
+group by paper_id, rel_path, src_hash having count(*) filter (where chunk_idx % 7 = 6) = 0"""
+)
+def stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which no chunk failed (every seventh does), chunks in order."""
+    rows = fx.chunk_rows(spark, sf_dir).withColumn("translated", F.when(F.col("chunk_idx") % 7 != 6, F.col("text")))
+    return cache.to_store(_files(spark, sf_dir), rows).select("paper_id", "rel_path", "src_hash", F.array_join("chunks", "|").alias("joined"))
+
+
+# ---------------------------------------------------------------- segmentation and merge
+
+
+def _clean_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose own text holds no math or comment marks, so that SQL can tell the nodes from the template."""
+    s = fx.sources(spark, sf_dir)
+    marked = F.replace(F.replace("content", F.lit("$x_1$"), F.lit("\x01")), F.lit("%"), F.lit("P"))
+    return s.withColumn("content", F.replace(F.replace(marked, F.lit("$"), F.lit("S")), F.lit("\x01"), F.lit("$x_1$")))
+
+
+NODES_CTE = (
+    fx.DOCS_SQL
+    + r""", pieces as (
+  select paper_id, rel_path, doc_id, unnest(case when doc_id % 4 = 0 then [
+      {'i': 0, 'p': true, 't': '\documentclass{article}' || nl || '\newcommand{\hl}[1]{\textbf{#1}}' || nl || '\title{'}, {'i': 1, 'p': false, 't': 'Study ' || doc_id || ' of ' || lang},
+      {'i': 2, 'p': true, 't': '}' || nl || '\begin{document}' || nl || '\maketitle' || nl || '\section{'}, {'i': 3, 'p': false, 't': 'Part ' || doc_id}, {'i': 4, 'p': true, 't': '}' || nl},
+      {'i': 5, 'p': false, 't': body}, {'i': 6, 'p': true, 't': ' \cite{k' || doc_id || '} '}, {'i': 7, 'p': false, 't': 'and more'}, {'i': 8, 'p': true, 't': ' $x_1$ '},
+      {'i': 9, 'p': false, 't': 'end'}, {'i': 10, 'p': true, 't': nl || '\end{document}' || nl}]
+    else [{'i': 0, 'p': true, 't': '\section{'}, {'i': 1, 'p': false, 't': 'Part ' || doc_id}, {'i': 2, 'p': true, 't': '}' || nl}, {'i': 3, 'p': false, 't': body || ' \hl{note ' || lang || '} see'},
+      {'i': 4, 'p': true, 't': ' \ref{r' || doc_id || '} '}, {'i': 5, 'p': false, 't': 'again' || nl}] end, recursive := true)
+  from (select *, translate(text, '$%', 'SP') as body from docs)
+), nodes as (
+  select paper_id, rel_path, i as node_idx, t as text, p as preserve, case when not p then count(*) filter (where not p) over w - 1 end as t_idx,
+    coalesce(sum(length(t) - length(replace(t, chr(10), ''))) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as line_start,
+    sum(length(t) - length(replace(t, chr(10), ''))) over w::bigint as line_end,
+    coalesce(sum(length(t)) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from pieces window w as (partition by paper_id, rel_path order by i)
+)"""
+)
+
+
+@query(f"with {NODES_CTE} select paper_id, rel_path, node_idx, text, preserve, t_idx, line_start, line_end from nodes")
+def nodes_from_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.nodes(_clean_sources(spark, sf_dir))
+
+
+@query(f"with {NODES_CTE} select paper_id, rel_path, node_idx, start, length(text) as length, preserve from nodes")
+def node_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.span_table(segment.nodes(_clean_sources(spark, sf_dir)))
+
+
+@query(
+    f"""with {NODES_CTE} select paper_id, count(*) as total, count(*) filter (where not preserve) as translated, count(*) filter (where preserve) as preserved, 0 as reverted from nodes group by paper_id"""
+)
+def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = segment.nodes(_clean_sources(spark, sf_dir)).withColumn("outcome", F.lit("ok"))
+    return merge.segment_stats(own)
+
+
+@query(
+    rf"""with {NODES_CTE} select paper_id, rel_path, string_agg(case when preserve then text else '译文' || t_idx end, '' order by node_idx) as merged from nodes group by paper_id, rel_path"""
+)
+def merged_from_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every translatable node translated by its number, repaired and merged."""
+    own = segment.nodes(_clean_sources(spark, sf_dir))
+    done = own.where(~F.col("preserve")).select("paper_id", "rel_path", "t_idx", F.concat(F.lit("译文"), F.col("t_idx").cast("string")).alias("translated"))
+    return merge.merged_files(merge.finished_nodes(own, done))
+
+
+@query()
+def chunks_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of at most 100 tokens of every source's nodes."""
+    return segment.chunks(segment.nodes(fx.sources(spark, sf_dir)), 100)
+
+
+@query()
+def segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.segment_report(fx.sources(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- error lines
+
+
+@query(f"with {fx.LINES_SQL} select paper_id, line from error_lines")
+def buggy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.error_lines(fx.compile_logs(spark, sf_dir))
+
+
+@query(f"with {fx.LINES_SQL} select paper_id, line from error_lines where line % 2 = 1")
+def new_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error lines that an earlier round (the even ones) didn't have."""
+    found = repair.error_lines(fx.compile_logs(spark, sf_dir))
+    return repair.new_lines(found.where("line % 2 = 0"), found)
+
+
+@query(
+    f"""with {fx.CHUNKS_SQL}, {fx.LINES_SQL} select paper_id, rel_path, chunk_idx as node_idx from chunks c
+where exists (select 1 from error_lines e where e.paper_id = c.paper_id and e.line between c.chunk_idx - 5 and c.chunk_idx + 5)"""
+)
+def reverted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents, taken as nodes, near the error lines of their paper."""
+    own = fx.chunk_rows(spark, sf_dir).select("paper_id", "rel_path", F.col("chunk_idx").alias("node_idx"), F.lit(False).alias("preserve"), F.col("chunk_idx").alias("line_start"), F.col("chunk_idx").alias("line_end"))
+    return repair.near_errors(own, repair.error_lines(fx.compile_logs(spark, sf_dir)), 5).select("paper_id", "rel_path", "node_idx")
+
+
+# ---------------------------------------------------------------- titles, main files, preambles
+
+
+@query(f"with {fx.SOURCES_SQL} select paper_id, rel_path, 18 as score from sources where doc_id % 4 = 0")
+def main_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.main_file(fx.sources(spark, sf_dir))
+
+
+@query(f"with {fx.DOCS_SQL} select paper_id, rel_path, case when doc_id % 4 = 0 then 'Study ' || doc_id || ' of ' || lang end as title from docs")
+def title_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.sources(spark, sf_dir).select("paper_id", "rel_path", lx.title("content").alias("title"))
+
+
+@query(
+    rf"""with {fx.SOURCES_SQL} select paper_id, rel_path, case when doc_id % 4 = 0 then '\documentclass{{article}}' || chr(10) || chr(10) || '% 中文支持' || chr(10) || '\usepackage[UTF8]{{ctex}}'
+  || chr(10) || substring(content, length('\documentclass{{article}}') + 1) else content end as content from sources"""
+)
+def cjk_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = fx.sources(spark, sf_dir).select("paper_id", "rel_path", lx.with_cjk_preamble("content").alias("content"))
+    return once.select("paper_id", "rel_path", lx.with_cjk_preamble("content").alias("content"))  # a second run changes nothing
+
+
+# ---------------------------------------------------------------- tasks and progress
+
+
+@query(
+    f"""with {fx.TASKS_SQL} select task_id, coalesce(nullif(title, ''), nullif(source, ''), task_id) as label, status, created_at,
+  strftime(to_timestamp(created_at) at time zone 'UTC', '%Y-%m-%d %H:%M') as created from tasks"""
+)
+def task_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.history(fx.tasks(spark, sf_dir))
+
+
+_ART = """
+arts as (
+  select k, workdir, case k % 6 when 2 then 'p' || k || '_cn_wm.pdf' when 4 then 'p' || k || '_cn_wm.pdf' when 1 then 'p' || k || '_cn.pdf' when 3 then 'p' || k || '_cn.pdf' end as cn,
+    case when k % 6 in (3, 4) then 'p' || k || '_bilingual.pdf' end as bi, case when k % 6 = 4 then 'p' || k || '_orig.pdf' end as orig from tasks
+)"""
+
+
+@query(
+    f"""with {fx.TASKS_SQL}, {_ART} select workdir, workdir || '/output/' || cn as translated_pdf, workdir || '/output/' || bi as bilingual_pdf, workdir || '/output/' || orig as original_pdf
+from arts where k % 6 between 1 and 4"""
+)
+def artifact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.artifact_paths(fx.artifacts(spark, sf_dir))
+
+
+@query(
+    f"""with {fx.TASKS_SQL}, {_ART}, joined as (
+  select t.*, a.cn, a.bi, a.orig, t.status not in ('running', 'queued') and a.cn is not null as touched from tasks t join arts a using (k)
+), new as (
+  select task_id, status, error, case when touched then workdir || '/output/' || cn else translated_pdf end as translated_pdf, translated_pdf as old,
+    case when touched then workdir || '/output/' || bi end as bilingual_pdf, case when touched then workdir || '/output/' || orig end as original_pdf, touched from joined
+)
+select task_id, case when touched then 'done' else status end as status, case when touched and status <> 'done' then null else error end as error,
+  translated_pdf, bilingual_pdf, original_pdf, touched as changed from new"""
+)
+def reconcile_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = tasks.reconcile(fx.tasks(spark, sf_dir), fx.artifacts(spark, sf_dir))
+    return done.select("task_id", "status", "error", "translated_pdf", "bilingual_pdf", "original_pdf", "changed")
+
+
+@query(f"with {fx.TASKS_SQL}, {_ART} select count(*) filter (where status not in ('running', 'queued') and cn is not null) as changed, count(*) as total from tasks join arts using (k)")
+def reload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.reload_counts(tasks.reconcile(fx.tasks(spark, sf_dir), fx.artifacts(spark, sf_dir)))
+
+
+@query(
+    f"""with {fx.TASKS_SQL} select task_id, case when status in ('running', 'queued') then 'failed' else status end as status, case when status in ('running', 'queued') then 'failed' else status end as stage,
+  case when status in ('running', 'queued') then '{tasks.INTERRUPTED}' else error end as error from tasks"""
+)
+def interrupted_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.interrupted(fx.tasks(spark, sf_dir)).select("task_id", "status", "stage", "error")
+
+
+@query(f"with {fx.TASKS_SQL} select task_id, case when k % 3 = 0 then 'done' else status end as status, case when k % 3 = 0 then 'new' else 'm' end as message from tasks")
+def upsert_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = fx.tasks(spark, sf_dir)
+    new = old.where(F.substring("task_id", 2, 20).cast("long") % 3 == 0).withColumn("status", F.lit("done")).withColumn("message", F.lit("new"))
+    return tasks.upsert(old, new).select("task_id", "status", "message")
+
+
+@query(
+    f"""with {fx.TASKS_SQL} select task_id, current as progress_current, total as progress_total, case when total > 0 then floor(current / total * 100 + 0.5) else 0 end::bigint as percent,
+  case when translated_pdf is not null then '/api/tasks/' || task_id || '/download/translated' end as translated,
+  case when status = 'failed' then 'failed' when status = 'done' then 'done' else 'active' end as first_step from tasks"""
+)
+def status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = tasks.status_view(fx.tasks(spark, sf_dir))
+    return v.select(
+        "task_id", "progress_current", "progress_total", "percent", F.col("artifacts.translated_pdf").alias("translated"), lx.step_state("status", "stage", 0).alias("first_step")
+    )
+
+
+LATEST_SQL = """with p as (
+  select user_id::varchar as task_id, event_id as seq, case event_type when 'signup' then 'queued' when 'view' then 'downloading' when 'click' then 'translating' when 'purchase' then 'done' else 'failed' end as stage,
+    event_id % 11 as current, case when event_id % 13 = 0 then 0 else 10 end as total from events
+), pick as (select *, row_number() over (partition by task_id order by case when stage in ('done', 'failed') then 0 else 1 end, case when stage in ('done', 'failed') then seq else -seq end) as n from p)
+select task_id, seq, stage, current, total, case when total <> 0 then current / total else 0.0 end::double as fraction,
+  case when stage in ('done', 'failed') then stage when stage = 'queued' then 'queued' else 'running' end as status from pick where n = 1"""
+_PROGRESS = ["task_id", "seq", "stage", "current", "total", "fraction", "status"]
+
+
+@query(LATEST_SQL)
+def latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.latest_progress(fx.progress(spark, sf_dir)).select(*_PROGRESS)
+
+
+@query(LATEST_SQL)
+def latest_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of the events, run until its input is used up."""
+    import tempfile
+    import uuid
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-texloom-")
+    name = "progress_" + uuid.uuid4().hex
+    progress.run_to_table(fx.progress_of(stream), name, f"{base}/{name}")
+    return spark.table(name).select(*_PROGRESS)
