@@ -57,6 +57,28 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(hits).drop("text_key")
 
 
+#: Words of a text as a list, A-Z lower-cased.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3_SQL = f"""
+with items as (select item_id, ws, least(13, len(ws)) as k from (select item_id, {_WORDS} as ws from benchmark) where len(ws) > 0
+), windows as (
+  select distinct item_id, k, array_to_string(ws[i:i + k - 1], ' ') as seq from (select *, unnest(generate_series(1, len(ws) - k + 1)) as i from items)
+), docs as (select doc_id, {_WORDS} as ws from documents
+), starts as (
+  select doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') as seq
+  from (select doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) as i from docs, (select distinct k from windows) where len(ws) >= k)
+), hits as (select doc_id, i, s.k, item_id from starts s join windows w on s.k = w.k and s.seq = w.seq
+), words as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(generate_series(i, i + k - 1)) as j from hits) group by doc_id
+), found as (
+  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from hits) group by doc_id
+)
+select d.doc_id, len(d.ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.ws) as contaminated
+from docs d left join words using (doc_id) left join found using (doc_id)
+"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), bpe.vocabulary_path())
 
@@ -122,6 +144,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), starts as (
+  select doc_id, i, array_to_string(ws[i:i + 12], ' ') as seq from (select doc_id, ws, unnest(generate_series(1, len(ws) - 12)) as i from docs where len(ws) >= 13)
+), later as (select doc_id, i from (select *, min(doc_id) over (partition by seq) as low from starts) where low < doc_id
+), gone as (select distinct doc_id, unnest(generate_series(i, i + 12)) as i from later
+), words as (select doc_id, i, ws[i] as word from (select doc_id, ws, unnest(generate_series(1, len(ws))) as i from docs)
+), kept as (
+  select w.doc_id, count(g.i) as n_removed, string_agg(case when g.i is null then word end, ' ' order by w.i) as text from words w left join gone g on w.doc_id = g.doc_id and w.i = g.i group by w.doc_id
+)
+select d.doc_id, len(d.ws)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256 from docs d left join kept k using (doc_id)
+"""
+
+
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -139,4 +175,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_crf": op10_quality_crf,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
+    "op3_decontaminate": OP3_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op6_warc": OP6_SQL,
+    "op9_substring_dedup": OP9_SQL,
+}
