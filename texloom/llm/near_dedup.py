@@ -14,10 +14,10 @@ reaches a threshold; linked documents form a component.
    with enough matches are verified on the full sets, and verified links merge components.
    Then the centre, with all its pairs done, leaves the list, and lists whose rest lies in one
    component are finished: two documents that are linked by way of others needn't be paired.
-4. Lists that still span components after `STAR_ROUNDS` are compared in blocks of `BLOCK`
-   classes; pairs between components leave a block, first the best few per class, then more,
-   at last all. So every pair that could still join two components is verified, while
-   a large group of copies costs rows in proportion to its size.
+4. In lists that still span components after `STAR_ROUNDS`, all pairs between components are
+   judged inside one task, by signature and then on the full sets, in blocks of `BLOCK` classes;
+   only links leave the task. So every pair that could still join two components is judged, and
+   no list of pairs is ever made.
 
 A link at the threshold has too few matches with a chance below `MISS`, a closer one far less
 often; all links that pass are exact.
@@ -186,31 +186,57 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return labels
 
 
-def _block_pairs(lists: DataFrame, classes: DataFrame, threshold: int, best: int | None) -> DataFrame:
-    """Pairs of one list and different components with enough matches, at most `best` for each class and block."""
+def _block_links(lists: DataFrame, classes: DataFrame, source: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components within lists: every pair of a list is judged in one task, by
+    signature first and then on the full sets, and only links leave it, one for each class and component.
+
+    A list of more than `BLOCK` classes is dealt out by pairs of blocks. A pair that shares several
+    lists is judged in that of its smallest common token.
+    """
     sized = lists.join(lists.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), "token")
     own = sized.withColumn("blk", F.expr("cast(pmod(xxhash64(rep), nb) as int)"))
     # a class meets every block pair that its block is part of
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "token", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "comp"
     )
-    spread = spread.join(classes.select("rep", "sig", "n_shingles"), "rep")
+    tokens = lists.groupBy("rep").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    ids = tokens.select("rep")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    texts = source.join(ids, source["doc_id"] == ids["rep"]).select("rep", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tv.chunks(batch, "text"):
+                row, h = shingles(part)
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                data = [np.sort(h[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+                yield pa.record_batch([part.column("rep"), pa.array(data, pa.binary())], names=["rep", "hashes"])
+
+    about = texts.mapInArrow(sets, "rep long, hashes binary").dropDuplicates(["rep"]).join(tokens, "rep").join(classes.select("rep", "sig"), "rep")
     n, least = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), matches_needed(threshold)
-    dealt = spread.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    dealt = spread.join(written(about, "near-sets"), "rep").repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j")
 
-    def pairs_of(t: pa.Table) -> Iterator[tuple[int, int]]:
-        rep, comp, blk, size = (t.column(c).to_numpy() for c in ("rep", "comp", "blk", "n_shingles"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    def links_of(t: pa.Table) -> Iterator[tuple[int, int]]:
+        rep, comp, blk = (t.column(c).to_numpy() for c in ("rep", "comp", "blk"))
+        token, i, j = (t.column(c)[0].as_py() for c in ("token", "i", "j"))
         sig = np.array(t.column("sig").to_pylist(), np.int32)
+        known, own = t.column("tokens").to_pylist(), [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in own])
         left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
         for x in left:
-            y = right[(comp[right] != comp[x]) & (rep[right] > rep[x] if i == j else True)]
+            y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i != j))]
             y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * threshold]
-            same = (sig[y] == sig[x]).sum(axis=1)
-            y, same = y[same >= least], same[same >= least]
-            for k in np.argsort(-same, kind="stable")[:best]:
-                a, b = int(rep[x]), int(rep[y[k]])
-                yield (a, b) if a < b else (b, a)
+            y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
+            mine, joined = set(known[x]), set()
+            for k in y.tolist():
+                if comp[k] in joined or min(mine.intersection(known[k])) != token:
+                    continue
+                at = np.minimum(np.searchsorted(own[x], own[k]), size[x] - 1)
+                inter = int((own[x][at] == own[k]).sum())
+                if 100 * inter >= threshold * (size[x] + size[k] - inter):
+                    joined.add(comp[k])
+                    yield int(rep[x]), int(rep[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -218,19 +244,18 @@ def _block_pairs(lists: DataFrame, classes: DataFrame, threshold: int, best: int
         def done(table: pa.Table) -> pa.RecordBatch:
             key = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
-            found = [p for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for p in pairs_of(table.slice(a, b - a))]
+            found = [p for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for p in links_of(table.slice(a, b - a))]
             return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            key = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
-            last = int(np.flatnonzero((key == key[:, -1:]).all(axis=0))[0])  # the last group may go on in the next batch
-            if last:
-                yield done(table.slice(0, last))
-            rest = table.slice(last)
+            for at in range(0, batch.num_rows, BLOCK):
+                table = pa.Table.from_batches([batch.slice(at, BLOCK)])
+                table = table if rest is None else pa.concat_tables([rest, table])
+                key = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
+                last = int(np.flatnonzero((key == key[:, -1:]).all(axis=0))[0])  # the last group may go on
+                if last:
+                    yield done(table.slice(0, last))
+                rest = table.slice(last)
         if rest is not None:
             yield done(rest)
 
@@ -247,26 +272,25 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
     )
     lists = written(_prefixes(classes, matches_needed(threshold)), "near-lists").withColumn("comp", F.col("rep"))
     labels = tested = edges = None
-    for round_ in range(STAR_ROUNDS + 3):
+    for round_ in range(STAR_ROUNDS + 1):
         span = lists.groupBy("token").agg(F.min("rep").alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         open_lists = written(lists.join(span.where("lo < hi").select("token", "centre"), "token"), "near-open")
         if open_lists.isEmpty():
             break
-        if round_ < STAR_ROUNDS:
+        if round_ == STAR_ROUNDS:
+            new = written(_block_links(open_lists.select("token", "rep", "comp"), classes, source, threshold), "near-links")
+            lists = open_lists.limit(0).select("token", "rep", "comp")
+        else:
             centres = open_lists.where("rep = centre").select("token", F.col("comp").alias("own"))
             pairs = open_lists.where("rep > centre").join(centres, "token").where("comp != own").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
             pairs = _with_signatures(pairs.distinct(), classes, threshold)
-            lists = open_lists.where("rep > centre").select("token", "rep", "comp")
-        else:
-            lists = open_lists.select("token", "rep", "comp")
-            best = (4, 64, None)[round_ - STAR_ROUNDS]
-            pairs = _block_pairs(lists, classes, threshold, best)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not pairs.isEmpty():
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = written(pairs, "near-pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
             new = written(_verified(pairs, source, threshold), "near-links")
+            lists = open_lists.where("rep > centre").select("token", "rep", "comp")
+        if not new.isEmpty():
             edges = new if edges is None else edges.unionByName(new)
             labels = components(edges)
             known = labels.select(F.col("node").alias("rep"), F.col("comp").alias("label"))
