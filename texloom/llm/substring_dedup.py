@@ -150,6 +150,8 @@ def _streamed(part: pa.RecordBatch, size: int) -> tuple[list[int], list[int], li
             own = slice(edges[i], edges[i + 1])
             spot = np.minimum(np.searchsorted(fh, h[own]), len(fh) - 1)
             hit = fh[spot] == h[own]
+            if not hit.any():  # repeats of another row of this id
+                continue
             pos, low = at[own][hit], fl[spot[hit]]
             run = np.cumsum(np.diff(pos, prepend=pos[:1]) != 1)
             nth = np.arange(len(pos)) - np.searchsorted(run, run)
@@ -160,24 +162,25 @@ def _streamed(part: pa.RecordBatch, size: int) -> tuple[list[int], list[int], li
                 old = passages.get(key)
                 if old is None or z < old[2]:
                     passages[key] = (x, y, z)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        listed = ids.tolist()
-        for k, (x, y, _) in enumerate(passages.values()):
-            automaton.add_word(tuple(listed[x:y]), k)
-        automaton.make_automaton()
-        lengths, lows = (np.array([f(p) for p in passages.values()], np.int64) for f in (lambda p: p[1] - p[0], lambda p: p[2]))
-        ends, found = [], []
-        for i in range(part.num_rows):
-            a, b = int(words.first[i]), int(words.first[i + 1])
-            if b - a >= size:
-                for end, k in automaton.iter(tuple(listed[a:b])):
-                    ends.append(a + end + 1)
-                    found.append(k)
-        ends, found = np.array(ends, np.int64), np.array(found, np.int64)
-        if len(ends):
-            # all windows of the passage start in a document before this one
-            gone = lows[found] < doc[words.row[ends - 1]]
-            keep = ~tv.covered(len(words.h), ends[gone] - lengths[found[gone]], lengths[found[gone]])
+        if passages:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            listed = ids.tolist()
+            for k, (x, y, _) in enumerate(passages.values()):
+                automaton.add_word(tuple(listed[x:y]), k)
+            automaton.make_automaton()
+            lengths, lows = (np.array([f(p) for p in passages.values()], np.int64) for f in (lambda p: p[1] - p[0], lambda p: p[2]))
+            ends, found = [], []
+            for i in range(part.num_rows):
+                a, b = int(words.first[i]), int(words.first[i + 1])
+                if b - a >= size:
+                    for end, k in automaton.iter(tuple(listed[a:b])):
+                        ends.append(a + end + 1)
+                        found.append(k)
+            ends, found = np.array(ends, np.int64), np.array(found, np.int64)
+            if len(ends):
+                # all windows of the passage start in a document before this one
+                gone = lows[found] < doc[words.row[ends - 1]]
+                keep = ~tv.covered(len(words.h), ends[gone] - lengths[found[gone]], lengths[found[gone]])
     removed = tv.per_row(~keep, words.first)
     kept = []
     for i, text in enumerate(part.column("text").to_pylist()):
