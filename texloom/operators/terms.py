@@ -72,3 +72,14 @@ def glossary_prompts(glossary: DataFrame, group: str = "paper_id") -> DataFrame:
     """(group, prompt): the glossary as a block of text, in order of rank."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "term", "target"))), lambda x: F.concat(F.lit("- "), x["term"], F.lit(" → "), x["target"]))
     return glossary.groupBy(group).agg(F.concat(F.lit(GLOSSARY_HEAD), F.array_join(lines, "\n")).alias("prompt"))
+
+
+def paper_hashes(sources: DataFrame) -> DataFrame:
+    """(paper_id, paper_hash): one hash over all sources of a paper, whatever their order."""
+    files = F.array_sort(F.collect_list(F.concat_ws(":", "rel_path", lx.content_hash("content"))))
+    return sources.groupBy("paper_id").agg(F.md5(F.array_join(files, "\n").cast("binary")).alias("paper_hash"))
+
+
+def without_glossary(hashes: DataFrame, stored: DataFrame) -> DataFrame:
+    """Papers whose glossary isn't stored (paper_id, paper_hash, …) or is of other sources; append theirs to the store."""
+    return hashes.join(stored, ["paper_id", "paper_hash"], "left_anti")

@@ -352,6 +352,50 @@ def merged_from_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merged_files(merge.finished_nodes(own, done))
 
 
+def _stand_in():
+    return lambda texts, prompt: ["译" + t for t in texts]
+
+
+@query(
+    rf"""with {NODES_CTE}, merged as (
+  select paper_id, rel_path, string_agg(case when preserve then text else '译' || text end, '' order by node_idx) as m from nodes group by paper_id, rel_path)
+select paper_id, rel_path, case when rel_path = 'main.tex' then '\documentclass{{article}}' || chr(10) || chr(10) || '% 中文支持' || chr(10) || '\usepackage[UTF8]{{ctex}}' || chr(10)
+  || substring(m, length('\documentclass{{article}}') + 1) else m end as merged from merged"""
+)
+def translated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job with a stand-in translator and an empty cache; nodes are not cut into chunks here."""
+    none = fx.chunk_cache(spark, sf_dir).limit(0)
+    return jobs.translate_corpus(_clean_sources(spark, sf_dir), none, _stand_in, max_tokens=1 << 20)["merged"]
+
+
+@query(
+    rf"""with {NODES_CTE}, {fx.LINES_SQL}, kept as (
+  select *, not preserve and rel_path = 'main.tex' and exists (
+    select 1 from error_lines e where e.paper_id = n.paper_id and e.line between n.line_start - 10 and n.line_end + 10) as back from nodes n)
+select paper_id, rel_path, string_agg(case when preserve or back then text else '译文' || t_idx end, '' order by node_idx) as merged, count(*) filter (where back) as n_reverted
+from kept group by paper_id, rel_path"""
+)
+def repair_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of reverting main files near their error lines, then merging."""
+    own = segment.nodes(_clean_sources(spark, sf_dir))
+    done = own.where(~F.col("preserve")).select("paper_id", "rel_path", "t_idx", F.concat(F.lit("译文"), F.col("t_idx").cast("string")).alias("translated"))
+    lines = repair.error_lines(fx.compile_logs(spark, sf_dir))
+    merged, reverted = jobs.revert_on_errors(own, done, lines, 1, "main.tex")
+    counts = reverted.groupBy("paper_id", "rel_path").agg(F.count("*").alias("n_reverted"))
+    return merged.join(counts, ["paper_id", "rel_path"], "left").withColumn("n_reverted", F.coalesce("n_reverted", F.lit(0)))
+
+
+@query(
+    f"""with {fx.SOURCES_SQL}, hashes as (
+  select paper_id, md5(string_agg(rel_path || ':' || md5(content), chr(10) order by rel_path || ':' || md5(content))) as paper_hash from sources group by paper_id)
+select paper_id, paper_hash from hashes where paper_id % 2 = 1"""
+)
+def glossaries_to_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers without a stored glossary, where every second one has it."""
+    hashes = terms.paper_hashes(fx.sources(spark, sf_dir))
+    return terms.without_glossary(hashes, hashes.where("paper_id % 2 = 0"))
+
+
 @query()
 def chunks_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of at most 100 tokens of every source's nodes."""
