@@ -77,6 +77,8 @@ def later_copies(docs: DataFrame, *, min_lines: int = MIN_LINES, doc_id: str = "
 def remove_repeated_lines(docs: DataFrame, *, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """`docs` with the later copies deleted from their texts; with `counts`, also n_lines and n_removed."""
     gone = written(later_copies(docs, min_lines=min_lines, doc_id=doc_id, text=text), "lines-gone").select(F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+    # texts move once at every size; a join that broadcasts small lists would only look cheaper on small inputs
+    gone = gone.hint("merge")
     joined = docs.withColumn("_key", _row_key(doc_id, text)).join(gone, F.col("_key") == F.col("_row"), "left")
     parts = _lines_of(text)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
