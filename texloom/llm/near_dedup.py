@@ -309,5 +309,6 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
 
 def drop_near_duplicates(docs: DataFrame, *, threshold: int = 80) -> DataFrame:
     """`docs` without the documents of each component but the one of smallest id."""
-    gone = link(docs, threshold=threshold).where("not kept").select(F.col("doc_id").alias("_gone"))
+    gone = written(link(docs, threshold=threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
