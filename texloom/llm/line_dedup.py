@@ -80,8 +80,9 @@ def remove_repeated_lines(docs: DataFrame, *, min_lines: int = MIN_LINES, doc_id
     # texts move once at every size; a join that broadcasts small lists would only look cheaper on small inputs
     gone = gone.hint("merge")
     joined = docs.withColumn("_key", _row_key(doc_id, text)).join(gone, F.col("_key") == F.col("_row"), "left")
-    parts = _lines_of(text)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    new = F.when(F.col("_gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")).otherwise(F.col(text))
-    more = [F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    # the lines are a column: inside the element function an expression would be split again for each line
+    joined = joined.withColumn("_parts", _lines_of(text))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
+    new = F.when(F.col("_gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("_parts", i)), "\n")).otherwise(F.col(text))
+    more = [F.size("_parts").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
     return joined.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], *more)
