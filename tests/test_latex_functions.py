@@ -90,8 +90,7 @@ def test_outcomes(spark):
         ("\\item a", "中", "structure"), ("\\item \\textbf{b}", "\\item 中 \\textbf{术", "partial"), ("{b}", "{中", "original"),
     ]
     df = spark.createDataFrame(rows, "o string, t string, e string")
-    text, outcome = lx.repaired("o", "t")
-    for r in df.select("*", text.alias("x"), outcome.alias("got")).collect():
+    for r in lx.with_repaired(df, "o", "t", "x", "got").collect():
         assert r.got == r.e
         if r.got in ("missing", "meta", "structure", "original"):
             assert r.x == r.o

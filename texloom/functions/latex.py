@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values of the formats -------------------------------------------------------------
@@ -198,18 +198,19 @@ def balanced_prefix(text: str | Column) -> Column:
     return F.aggregate(pieces, start, step, lambda a: F.left(c(text), a["cut"]))
 
 
-def repaired(original: str | Column, translated: str | Column) -> tuple[Column, Column]:
-    """The repaired translation and what came of it: ok, meta, structure, partial or original."""
-    t = strip_tags(translated)
-    for step in (drop_blank_in_arguments, escape_percent, escape_scripts, join_commands, space_after_item, separate_cjk):
-        t = step(t)
-    same_structure = structural_commands(t) == structural_commands(original)
-    prefix = balanced_prefix(t)
-    outcome = (
-        F.when(c(translated).isNull(), "missing").when(is_meta(translated), "meta").when(~same_structure, "structure").when(brace_balance(t) == brace_balance(original), "ok")
-    ).otherwise(F.when(prefix == "", "original").otherwise("partial"))
-    text = F.when(outcome == "ok", t).when(outcome == "partial", F.concat(prefix, F.lit(" "), c(original))).otherwise(c(original))
-    return text, outcome
+def with_repaired(df: DataFrame, original: str, translated: str, to: str = "fixed", outcome: str = "outcome") -> DataFrame:
+    """`df` with the repaired translation and what came of it: ok, missing, meta, structure, partial or original.
+
+    Each step is a column of its own, as a nested expression would be evaluated again for each use.
+    """
+    out = df.withColumn("_a", drop_blank_in_arguments(strip_tags(translated))).withColumn("_b", escape_percent("_a")).withColumn("_c", escape_scripts("_b"))
+    out = out.withColumn("_d", separate_cjk(space_after_item(join_commands("_c"))))
+    out = out.withColumn("_same", structural_commands("_d") == structural_commands(original)).withColumn("_even", brace_balance("_d") == brace_balance(original))
+    found = F.when(c(translated).isNull(), "missing").when(is_meta(translated), "meta").when(~F.col("_same"), "structure").when(F.col("_even"), "ok")
+    out = out.withColumn("_o", found).withColumn("_p", F.when(F.col("_o").isNull(), balanced_prefix("_d")))
+    out = out.withColumn("_o", F.coalesce("_o", F.when(F.col("_p") == "", "original").otherwise("partial")))
+    text = F.when(F.col("_o") == "ok", F.col("_d")).when(F.col("_o") == "partial", F.concat("_p", F.lit(" "), c(original))).otherwise(c(original))
+    return out.withColumn(to, text).withColumn(outcome, F.col("_o")).drop("_a", "_b", "_c", "_d", "_same", "_even", "_o", "_p")
 
 
 def collapse_document(text: str | Column) -> Column:
@@ -241,7 +242,8 @@ def simple_macros(content: str | Column) -> Column:
     """Map of argument-free macros to their plain text of 1 to 40 characters; the last definition counts."""
     names, bodies = (F.regexp_extract_all(c(content), F.lit(_MACRO), F.lit(g)) for g in (1, 2))
     pairs = F.filter(F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("n"), plain_text(b).alias("v"))), lambda p: F.length(p["v"]).between(1, 40))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["n"] == p["n"]))
+    none = F.expr("cast(array() as array<struct<n:string,v:string>>)")
+    last = F.aggregate(pairs, none, lambda a, p: F.array_append(F.filter(a, lambda q: q["n"] != p["n"]), p))
     return F.map_from_entries(last)
 
 

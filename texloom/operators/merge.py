@@ -21,22 +21,21 @@ def node_translations(chunk_rows: DataFrame) -> DataFrame:
 
 def finished_nodes(nodes: DataFrame, translated: DataFrame, reverted: DataFrame | None = None) -> DataFrame:
     """Nodes with `final` text and `outcome`; reverted nodes, and those without translation, keep their own."""
-    joined = nodes.join(translated, [*KEY, "t_idx"], "left")
-    text, outcome = lx.repaired("text", "translated")
+    joined = lx.with_repaired(nodes.join(translated, [*KEY, "t_idx"], "left"), "text", "translated", "final", "outcome")
     blank = F.coalesce(F.col("translated"), F.lit("")) == ""
-    outcome = F.when(F.col("preserve"), "preserved").when(blank, "missing").otherwise(outcome)
+    outcome = F.when(F.col("preserve"), "preserved").when(blank, "missing").otherwise(F.col("outcome"))
     if reverted is not None:
         joined = joined.join(reverted.select(*KEY, "node_idx", F.lit(True).alias("_back")), [*KEY, "node_idx"], "left")
         outcome = F.when(F.col("_back"), "reverted").otherwise(outcome)
     done = joined.withColumn("outcome", outcome)
     own = F.col("outcome").isin("preserved", "missing", "reverted")
-    return done.withColumn("final", F.when(own, F.col("text")).otherwise(text)).drop("_back")
+    return done.withColumn("final", F.when(own, F.col("text")).otherwise(F.col("final"))).drop("_back")
 
 
 def merged_files(finished: DataFrame) -> DataFrame:
     """(paper_id, rel_path, merged): node texts in order, then the repairs that need the whole file."""
     whole = finished.groupBy(*KEY).agg(_joined("node_idx", "final").alias("merged"))
-    return whole.withColumn("merged", lx.collapse_document(lx.separate_cjk("merged")))
+    return whole.withColumn("merged", lx.separate_cjk("merged")).withColumn("merged", lx.collapse_document("merged"))
 
 
 def segment_stats(finished: DataFrame) -> DataFrame:

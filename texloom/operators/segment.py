@@ -256,18 +256,17 @@ def detached(runs: Column) -> Column:
     return F.transform(runs, one)
 
 
-def merged(runs: Column) -> Column:
-    """Empty runs go and equal neighbours join. Starts of groups are found first, so each text is joined once."""
-    full = F.filter(runs, lambda r: r["text"] != "")
-    kinds = F.transform(full, lambda r: r["preserve"])
-    starts = F.filter(F.sequence(F.lit(0), F.size(full)), lambda i: (i < F.size(full)) & ((i == 0) | (F.get(kinds, i) != F.get(kinds, i - 1))))
-    return F.transform(
-        starts,
-        lambda s, k: F.struct(
-            F.array_join(F.transform(F.slice(full, s + 1, F.coalesce(F.get(starts, k + 1), F.size(full)) - s), lambda r: r["text"]), "").alias("text"),
-            F.get(kinds, s).alias("preserve"),
-        ),
+def with_merged(df: DataFrame, runs: str = "runs") -> DataFrame:
+    """Empty runs go and equal neighbours join. Starts of groups are found first, so each text is joined once;
+    the arrays that element functions look into are columns, as an expression would be evaluated for each element."""
+    df = df.withColumn("_full", F.filter(runs, lambda r: r["text"] != "")).withColumn("_kinds", F.transform("_full", lambda r: r["preserve"]))
+    at = F.sequence(F.lit(0), F.size("_full"))
+    starts = F.filter(at, lambda i: (i < F.size("_full")) & ((i == 0) | (F.get("_kinds", i) != F.get("_kinds", i - 1))))
+    joined = lambda s, k: F.struct(
+        F.array_join(F.transform(F.slice("_full", s + 1, F.coalesce(F.get("_starts", k + 1), F.size("_full")) - s), lambda r: r["text"]), "").alias("text"),
+        F.get("_kinds", s).alias("preserve"),
     )
+    return df.withColumn("_starts", starts).withColumn(runs, F.transform("_starts", joined)).drop("_full", "_kinds", "_starts")
 
 
 def explode_nodes(df: DataFrame, runs: str = "runs") -> DataFrame:
@@ -302,8 +301,8 @@ def explode_nodes(df: DataFrame, runs: str = "runs") -> DataFrame:
 
 def nodes(sources: DataFrame) -> DataFrame:
     """The node table of a corpus of sources."""
-    cleaned = segment_runs(sources).withColumn("runs", demoted(F.col("runs"))).withColumn("runs", detached(F.col("runs"))).withColumn("runs", merged(F.col("runs")))
-    return explode_nodes(cleaned)
+    cleaned = segment_runs(sources).withColumn("runs", demoted(F.col("runs"))).withColumn("runs", detached(F.col("runs")))
+    return explode_nodes(with_merged(cleaned))
 
 
 def span_table(node_rows: DataFrame) -> DataFrame:

@@ -199,8 +199,7 @@ def escape_specials(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, outcome, case outcome when 'ok' then x when 'partial' then regexp_extract(x, '^(.*)\{{[^{{}}]*$', 1) || ' ' || original else original end as fixed from judged"""
 )
 def fix_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text, outcome = lx.repaired("original", "translated")
-    return fx.translations(spark, sf_dir).select("doc_id", outcome.alias("outcome"), text.alias("fixed"))
+    return lx.with_repaired(fx.translations(spark, sf_dir), "original", "translated").select("doc_id", "outcome", "fixed")
 
 
 @query(
