@@ -100,6 +100,8 @@ class Source:
                 self.open[m.start() : braces[1] + 1] = 0
 
     def protect_env(self, name: str, max_lines: int | None = None) -> None:
+        if "\\begin{" + name not in self.text:
+            return
         for m in re.finditer(r"(?s)\\begin\{(" + re.escape(name) + r"\*?)\}.*?\\end\{\1\}", self.text):
             if max_lines is None or m[0].count("\n") <= max_lines:
                 self.open[m.start() : m.end()] = 0
@@ -117,6 +119,8 @@ class Source:
                 self.open_inside(m.start(), braces[0] + 1, braces[1], braces[1] + 1)
 
     def open_env(self, name: str) -> None:
+        if "\\begin{" + name not in self.text:
+            return
         e = re.escape(name)
         for m in re.finditer(r"(?s)\\begin\{" + e + r"\}(.*?)\\end\{" + e + r"\}", self.text):
             self.open_inside(m.start(), m.start(1), m.end(1), m.end())
