@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 #: Words as the byte-level vocabularies cut them (a fixed value of the file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 200
-TABLE_WORDS = 200_000
+TABLE_WORDS = 400_000
 NONE = 1 << 60
 
 
@@ -142,8 +142,8 @@ class Codec:
             if len(new) > TABLE_WORDS // 2:  # a text of very many words: the table holds them for this text only
                 known = {}
             else:
-                for old in list(known)[: TABLE_WORDS // 2]:  # those met first go first
-                    del known[old]
+                for late in list(known)[TABLE_WORDS // 2 :]:  # the words met first are the common ones, and stay
+                    del known[late]
             new = set(words).difference(known)
         merge = self.merge
         for word in new:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from texloom.functions import latex as lx
 from texloom.operators import audit, cache, merge, repair, segment, tasks, terms
+from texloom.operators import nodes as node_windows
 from texloom.plans import fixtures as fx
 from texloom.plans import jobs
 from texloom.sources import latex as src
@@ -406,6 +407,44 @@ def segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.segment_report(fx.sources(spark, sf_dir))
 
 
+def _line_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents as nodes, a blank before and a newline after each; every third one is translatable."""
+    return fx.chunk_rows(spark, sf_dir).select(
+        "paper_id", "rel_path", F.col("chunk_idx").alias("node_idx"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("text"), (F.col("chunk_idx") % 3 != 1).alias("preserve")
+    )
+
+
+LINE_NODES = (
+    fx.CHUNKS_SQL
+    + """, line_nodes as (
+  select paper_id, rel_path, chunk_idx as node_idx, ' ' || text || chr(10) as text, chunk_idx % 3 <> 1 as preserve, max(chunk_idx) over (partition by doc_id) as last from chunks
+)"""
+)
+
+
+@query(
+    f"""with {LINE_NODES} select paper_id, rel_path, node_idx, node_idx as line_start, node_idx + 1 as line_end, case when not preserve then (node_idx - 1) // 3 end as t_idx from line_nodes"""
+)
+def node_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_windows.with_t_idx(node_windows.with_lines(_line_nodes(spark, sf_dir))).drop("text", "preserve")
+
+
+@query(
+    f"""with {LINE_NODES} select paper_id, rel_path, node_idx, preserve, case when not preserve then substring(text, 2, length(text) - 2 + (node_idx = last)::int)
+  when node_idx % 3 = 2 then chr(10) || text when node_idx < last then text || ' ' else text end as text from line_nodes"""
+)
+def whitespace_detach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_windows.detach_whitespace(_line_nodes(spark, sf_dir))
+
+
+@query(
+    f"""with {LINE_NODES}, numbered as (select *, case when preserve then (node_idx + 1) // 3 * 2 else (node_idx - 1) // 3 * 2 + 1 end as island from line_nodes)
+select paper_id, rel_path, island as node_idx, string_agg(text, '' order by numbered.node_idx) as text, preserve from numbered group by paper_id, rel_path, island, preserve"""
+)
+def merge_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_windows.merge_neighbours(_line_nodes(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- error lines
 
 
