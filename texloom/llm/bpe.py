@@ -27,12 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Words as the byte-level vocabularies cut them (a fixed value of the file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 200
-TABLE_WORDS = 400_000
+TABLE_WORDS = 200_000
 NONE = 1 << 60
 
 
@@ -235,8 +235,25 @@ def round_trip_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
 
 
 def coded_corpus(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text: str = "text") -> DataFrame:
-    """The columns in `keep`, n_tokens, ids and the digest of the text that the ids decode to."""
+    """The columns in `keep`, n_tokens, ids and the digest of the text that the ids decode to.
+
+    One pass: two chained ones would hold a second worker with its own tables for each task.
+    """
     kept = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
-    coded = encode(kept, path, "_text", "ids").drop("_text").withColumn("n_tokens", F.size("ids").cast("long"))
-    decoded = decode(coded, path, "ids", "_decoded")
-    return decoded.select(*keep, "n_tokens", "ids", F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256"))
+    more = [StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("decoded_sha256", StringType())]
+    schema = StructType([*kept.drop("_text").schema.fields, *more])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [own.encode(t) for t in part.column("_text").to_pylist()]
+                digests = [hashlib.sha256(own.decode(i).encode()).hexdigest() for i in ids]
+                columns = [part.column(c) for c in keep]
+                yield pa.record_batch(
+                    [*columns, pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string())],
+                    names=[*keep, "n_tokens", "ids", "decoded_sha256"],
+                )
+
+    return kept.mapInArrow(run, schema)

@@ -81,13 +81,15 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
 
 def document_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns in `keep`, then COUNTS and EXTRA as longs; one row per document, no shuffle."""
-    source = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
+    within = text in keep  # then the text travels once
+    read = text if within else "_text"
+    source = docs.select(*keep, *([] if within else [F.col(text).cast("binary").alias("_text")]))
     fields = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in COUNTS + EXTRA]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tv.chunks(batch, "_text"):
-                counts = text_counts(part.column("_text"))
+            for part in tv.chunks(batch, read):
+                counts = text_counts(part.column(read))
                 yield pa.record_batch(
                     [part.column(c) for c in keep] + [pa.array(counts[c], pa.int64()) for c in COUNTS + EXTRA],
                     names=[*keep, *COUNTS, *EXTRA],
@@ -259,6 +261,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without the documents that the base rules or the learned rules reject; columns as they were."""
     stats = written(document_stats(docs), "rules-stats")
     rules = fit(stats, labels)
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    judged = judge(document_stats(whole, keep=("_row",), text="_text"), rules)
-    return judged.where("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    own = [f"c{i}" for i in range(len(docs.columns))]  # names that clash with no count
+    judged = judge(document_stats(docs.toDF(*own), keep=tuple(own), text=own[docs.columns.index("text")]), rules)
+    return judged.where("kept").select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)])
