@@ -318,6 +318,16 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
+@pytest.mark.parametrize("ids", ["shuffled", "descending"])
+def test_components_of_long_chains_in_any_order_of_ids(spark, ids):
+    order = list(range(1, 1000))
+    random.Random(3).shuffle(order) if ids == "shuffled" else order.reverse()
+    chain = [0, *order] if ids == "descending" else [*order[:500], 0, *order[500:]]
+    edges = spark.createDataFrame([*zip(chain, chain[1:]), (5000, 5001), (5001, 5002)], "a long, b long")
+    got = {r.node: r.comp for r in near_dedup.components(edges).collect()}
+    assert got == dict.fromkeys(range(1000), 0) | dict.fromkeys((5000, 5001, 5002), 5000)
+
+
 # ---------------------------------------------------------------- quality rules
 
 

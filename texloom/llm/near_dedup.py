@@ -168,21 +168,34 @@ def _verified(pairs: DataFrame, source: DataFrame, threshold: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, comp (the smallest node reachable) for all nodes of `edges` (a, b): smallest labels
-    spread along edges and along labels, so long chains take few rounds."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "near-labels")
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
-        step = written(step, "near-step")
-        jump = step.select(F.col("node").alias("mid"), F.col("next").alias("far"))
-        moved = step.join(jump, step["next"] == jump["mid"]).select("node", F.least("next", "far").alias("comp"), "was")
-        moved = written(moved, "near-moved")
-        labels = moved.select("node", "comp")
-        if moved.where("comp < was").isEmpty():
-            break
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp (the smallest node reachable) for all nodes of `edges` (a, b), by contraction.
+
+    Each round every node hooks on to its smallest neighbour or itself, the trees are flattened by
+    pointer jumping, and the edges between their roots are the next round's edges, until none is
+    left. A root that no neighbour hooked on to has a smaller neighbour in the next round, so the
+    roots of a component halve in two rounds: rounds and jumps grow with the logarithm of its
+    size, however ids lie along a chain.
+    """
+    ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = None
+    both = written(ends.distinct(), "near-edges")
+    while labels is None or not both.isEmpty():
+        tops = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("top")), "near-hooks")
+        while True:
+            jump = tops.select(F.col("node").alias("mid"), F.col("top").alias("far"))
+            moved = written(tops.join(jump, tops["top"] == jump["mid"]).select("node", F.col("far").alias("top"), F.col("top").alias("was")), "near-tops")
+            tops = moved.select("node", "top")
+            if moved.where("top < was").isEmpty():
+                break
+        if labels is None:
+            labels = tops.select("node", F.col("top").alias("comp"))
+        else:
+            of = tops.select(F.col("node").alias("root"), "top")
+            labels = written(labels.join(of, labels["comp"] == of["root"], "left").select("node", F.coalesce("top", "comp").alias("comp")), "near-labels")
+        side = lambda s: tops.select(F.col("node").alias(s), F.col("top").alias(f"top_{s}"))
+        raised = both.join(side("a"), "a").join(side("b"), "b").where("top_a != top_b")
+        both = written(raised.select(F.col("top_a").alias("a"), F.col("top_b").alias("b")).distinct(), "near-edges")
     return labels
 
 
