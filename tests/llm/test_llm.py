@@ -126,6 +126,20 @@ def test_pii_base_spans(spark, empty):
     assert {r.doc_id: r.text for r in masked.collect()} == {1: "mail [EMAIL] or [IP]!", 2: None, 3: "none"}
 
 
+def test_pii_labels_are_exact_at_every_size(spark):
+    rng = random.Random(6)
+    bits = ["x@y.com", "a (at) b.org", "x @ y.com", "1.2.3.4", "4111111111111111", "4111 1111 1111 1111", "4111 1111 1111 1112", "+1 555 123 4567", "555 123 4567", "17", "aa:bb:cc:1"]
+    texts = [None, ""] + [rng.choice([" ", "\n", ", "]).join(rng.choice(bits) for _ in range(n)) for n in (1, 2, 3, 7, 50, 400, 1500)]
+    rows = pii.candidate_rows(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    assert max(len(r.cands) for r in rows) > 2048
+    for r in rows:
+        base = [b for b in r.cands if b.base]
+        want = [any(b.kind == c.kind and b.start < c.end and c.start < b.end for b in base) for c in r.cands]
+        assert [c.positive for c in r.cands] == want
+    largest = max(rows, key=lambda r: len(r.cands)).cands
+    assert any(c.positive and not c.base for c in largest) and any(not c.positive for c in largest)
+
+
 def test_pii_trees_learn():
     cells = []
     for gen in range(4):

@@ -71,9 +71,27 @@ def candidate_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     for number, (name, (kind, _, _)) in enumerate(GENERATORS.items()):
         every.append(F.transform(F.coalesce(f"c_{name}", F.expr(_NO_SPANS)), _describer(number, kind, name)))
     df = df.select("doc_id", F.concat(*every).alias("cands"))
-    overlap = lambda c: F.exists("cands", lambda b: b["base"] & (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    few = F.size("cands") <= 4 * BLOCK  # the test of all against all only where it is short; else base spans alone count
-    return df.withColumn("cands", F.transform("cands", lambda c: c.withField("positive", c["base"] | (few & overlap(c)))))
+    bases = [F.transform(F.filter("cands", _base_of(k)), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))) for k in range(len(KINDS))]
+    df = df.withColumn("bases", F.array(*bases))
+    return df.select("doc_id", F.transform("cands", lambda c: c.withField("positive", c["base"] | _overlaps_base(c))).alias("cands"))
+
+
+def _base_of(kind: int):
+    return lambda c: c["base"] & (c["kind"] == kind)
+
+
+def _overlaps_base(c: Column) -> Column:
+    """Whether a candidate overlaps one of its kind's `bases`, found by binary search: they are the
+    matches of one pattern, so they are disjoint and in order."""
+    own = F.get("bases", c["kind"])
+    halves = F.sequence(F.length(F.bin(F.size(own))) - 1, F.lit(0), F.lit(-1))
+
+    def further(n: Column, k: Column) -> Column:
+        more = n + F.call_function("shiftleft", F.lit(1), k)
+        return F.when(F.get(own, more - 1)["start"] < c["end"], more).otherwise(n)
+
+    before = F.aggregate(halves, F.lit(0), further)  # so many base spans begin before the candidate's end
+    return F.coalesce(F.get(own, before - 1)["end"] > c["start"], F.lit(False))
 
 
 #: Gaps and matches to spans: offsets of blocks of matches first, then inside each block.
