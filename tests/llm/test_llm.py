@@ -247,6 +247,39 @@ def test_line_dedup(spark, empty, size):
     assert line_dedup.remove_repeated_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [2, 3, 4])
+def test_line_dedup_of_short_runs_by_characters(spark, size):
+    rng = random.Random(size)
+    bank = ["", "a", "bb", "漢" * 6, "é" * 9, "long " * 5, "passage " * 60]
+    rows = [(i, "\n".join(rng.choice(bank) for _ in range(rng.randint(1, 6)))) for i in range(60)] + [(100, None), (101, ""), (None, "a\n" + bank[6]), (102, bank[6])]
+    rows += [rows[3]]
+    unique = {(i if i is not None else 1 << 62, t) for i, t in rows}
+    gone, first = collections.defaultdict(set), {}
+    for key in sorted(unique, key=lambda r: r[0]):
+        lines = (key[1] or "").split("\n")
+        for p in range(len(lines)):
+            for d in range(1, size + 1):
+                seq = tuple(lines[p : p + d])
+                if len(seq) == d and first.setdefault(seq, (key[0], p)) < (key[0], p) and (d == size or sum(map(len, seq)) >= 20):
+                    gone[key].update(range(p, p + d))
+    want = {k: None if k[1] is None else "\n".join(x for p, x in enumerate(k[1].split("\n")) if p not in gone[k]) for k in unique}
+    out = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, DOCS), min_lines=size, min_chars=20).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter((i, want[i if i is not None else 1 << 62, t]) for i, t in rows)
+    assert {r.text for r in out if r.doc_id == 102} == {""}
+
+
+def test_line_dedup_passages_equals_sql(spark):
+    import duckdb
+
+    from texloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    got = queries.op5_line_dedup_passages(spark, sf).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+    assert {tuple(r) for r in got} == set(con.sql(queries.OP5_PASSAGES_SQL).fetchall())
+
+
 # ---------------------------------------------------------------- archives
 
 

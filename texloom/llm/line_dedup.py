@@ -11,6 +11,10 @@ by its own sub-runs of `min_lines` lines. Suffixes whose next line occurs once l
 first round, so later rounds hold repeated text only. In each interval the first suffix in the
 order of (doc_id, line) stays; the runs that begin at the others are deleted.
 
+With `min_chars`, shorter runs whose lines hold that many characters together count too, so that
+repeated passages on one or two lines go and short or blank lines stay; every depth up to
+`min_lines` is then ranked.
+
 A very common line is counted before the shuffle; joins on it are between sorted sides, which
 adaptive execution splits.
 
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from texloom.llm.store import written
 
 MIN_LINES = 3
+MIN_CHARS = 20
 _LAST = (1 << 63) - 1
 
 
@@ -39,17 +44,17 @@ def _lines_of(text: str) -> Column:
 
 
 def line_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, doc, pos and a 128-bit line id (h1, h2) for every line."""
+    """row, doc, pos, a 128-bit line id (h1, h2) and the characters (own) of every line."""
     return docs.select(
         _row_key(doc_id, text).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(_lines_of(text)).alias("pos", "line")
-    ).select("row", "doc", "pos", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
+    ).select("row", "doc", "pos", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), F.length("line").alias("own"))
 
 
-def _ranked(suffixes: DataFrame, keys: list[str], label: str) -> DataFrame:
+def _ranked(suffixes: DataFrame, keys: list[str], label: str, *more: str) -> DataFrame:
     """Suffixes whose key another suffix has too, with the key's rank (in sort order) and the first suffix of the class."""
     classes = suffixes.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first")).where("n > 1")
     ranks = written(classes.orderBy(*keys).withColumn("new_rank", F.monotonically_increasing_id()), f"{label}-ranks")
-    return written(suffixes.join(ranks, keys).select("row", "doc", "pos", F.col("new_rank").alias("rank"), "first"), label)
+    return written(suffixes.join(ranks, keys).select("row", "doc", "pos", F.col("new_rank").alias("rank"), "first", *more), label)
 
 
 def suffix_classes(lines: DataFrame, depth: int) -> DataFrame:
@@ -65,18 +70,38 @@ def suffix_classes(lines: DataFrame, depth: int) -> DataFrame:
     return ranked
 
 
-def later_copies(docs: DataFrame, *, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def long_classes(lines: DataFrame, depth: int, min_chars: int) -> DataFrame:
+    """row, doc, pos, first, depth: suffixes in classes that share `depth` lines, or fewer of `min_chars` characters together."""
+    ranked = _ranked(lines.withColumn("chars", F.col("own")), ["h1", "h2"], "lines-1", "own", "chars")
+    found = None
+    for done in range(1, depth + 1):
+        own = ranked if done == depth else ranked.where(F.col("chars") >= min_chars)
+        own = own.select("row", "doc", "pos", "first", F.lit(done).alias("depth"))
+        found = own if found is None else found.unionByName(own)
+        if done < depth:
+            ahead = ranked.select("row", (F.col("pos") - 1).alias("pos"), F.col("rank").alias("next"), F.col("chars").alias("rest")).dropDuplicates(["row", "pos"])
+            pairs = ranked.drop("first", "chars").join(ahead, ["row", "pos"]).withColumn("chars", F.col("own") + F.col("rest"))
+            ranked = _ranked(pairs, ["rank", "next"], f"lines-{done + 1}", "own", "chars")
+    return found
+
+
+def later_copies(docs: DataFrame, *, min_lines: int = MIN_LINES, min_chars: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row, gone: for each document that loses lines, their positions."""
-    lines = written(line_ids(docs, doc_id, text), "lines-0")
-    classes = suffix_classes(lines, min_lines)
-    starts = classes.where(F.struct("doc", "pos") > F.col("first")).select("row", "pos").distinct()
-    gone = starts.select("row", F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos"))
+    ids = line_ids(docs, doc_id, text)
+    if min_chars is None:
+        classes = suffix_classes(written(ids.drop("own"), "lines-0"), min_lines).withColumn("depth", F.lit(min_lines))
+    else:
+        classes = long_classes(written(ids, "lines-0"), min_lines, min_chars)
+    starts = classes.where(F.struct("doc", "pos") > F.col("first")).select("row", "pos", "depth").distinct()
+    gone = starts.select("row", F.explode(F.sequence("pos", F.col("pos") + F.col("depth") - 1)).alias("pos"))
     return gone.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
-def remove_repeated_lines(docs: DataFrame, *, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
+def remove_repeated_lines(
+    docs: DataFrame, *, min_lines: int = MIN_LINES, min_chars: int | None = None, doc_id: str = "doc_id", text: str = "text", counts: bool = False
+) -> DataFrame:
     """`docs` with the later copies deleted from their texts; with `counts`, also n_lines and n_removed."""
-    gone = written(later_copies(docs, min_lines=min_lines, doc_id=doc_id, text=text), "lines-gone").select(F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+    gone = written(later_copies(docs, min_lines=min_lines, min_chars=min_chars, doc_id=doc_id, text=text), "lines-gone").select(F.col("row").alias("_row"), F.col("gone").alias("_gone"))
     # texts move once at every size; a join that broadcasts small lists would only look cheaper on small inputs
     gone = gone.hint("merge")
     joined = docs.withColumn("_key", _row_key(doc_id, text)).join(gone, F.col("_key") == F.col("_row"), "left")

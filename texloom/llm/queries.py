@@ -112,6 +112,37 @@ from marked group by doc_id
 """
 
 
+def op5_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5_line_dedup; shorter runs of `MIN_CHARS` characters or more go too."""
+    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents"), min_chars=line_dedup.MIN_CHARS, counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_PASSAGES_SQL = r"""
+with lines as (
+  select doc_id, pos - 1 as pos, parts[pos] as line
+  from (select doc_id, parts, unnest(generate_series(1, len(parts))) as pos
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents))
+), runs as (
+  select doc_id, pos, line, lead(line, 1) over w as b, lead(line, 2) over w as c
+  from lines window w as (partition by doc_id order by pos)
+), starts as (
+  select doc_id, pos, line,
+    length(line) >= 20 and row_number() over (partition by line order by doc_id, pos) > 1 as one,
+    b is not null and length(line) + length(b) >= 20 and row_number() over (partition by line, b order by doc_id, pos) > 1 as two,
+    c is not null and row_number() over (partition by line, b, c order by doc_id, pos) > 1 as three
+  from runs
+), marked as (
+  select doc_id, pos, line,
+    one or two or three or lag(two or three, 1, false) over w or lag(three, 2, false) over w as gone
+  from starts window w as (partition by doc_id order by pos)
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -168,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op5_line_dedup_passages": op5_line_dedup_passages,
     "op6_warc": op6_warc,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality_rules": op8_quality_rules,
@@ -179,6 +211,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op5_line_dedup_passages": OP5_PASSAGES_SQL,
     "op6_warc": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,
 }
