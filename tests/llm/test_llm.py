@@ -299,6 +299,16 @@ def test_archives(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_archives_with_repeated_page_ids(spark):
+    a, b, own = "a" * 150, "b" * 150, "c" * 150
+    rows = [(1, "u", a), (2, "u", b), (7, "u", a), (7, "u", own), (8, "u", a), (8, "u", b)]
+    out = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = collections.Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in out)
+    refers = {(7, a): 1, (8, a): 1, (8, b): 2}
+    assert got == collections.Counter((i, sha(t), "revisit" if (i, t) in refers else "response", refers.get((i, t))) for i, _, t in rows)
+    assert [bytes(r.payload) for r in out if r.page_id == 7 and r.record_type == "response"] == [own.encode()]
+
+
 def test_archive_versions_and_damage():
     one = b"filedesc://x 0.0.0.0 20240101000000 text/plain 15\n1 0 o\nURL ... \nhttp://a/ 1.2.3.4 20240101000000 text/html 4\nbo\ny\n"
     assert [(r["URL"], b) for r, b in warc.parse_arc(one)] == [("http://a/", b"bo\ny")]

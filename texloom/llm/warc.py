@@ -203,18 +203,18 @@ def _page_of(uri: str) -> int | None:
 
 
 def roles(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id and refers_to: for each page that repeats an earlier payload, the id of the response."""
+    """page_id, payload_digest and refers_to: for each page that repeats an earlier payload, the id of the response."""
     narrow = records.where(F.col("payload_bytes") >= min_revisit).select("page_id", "payload_digest")
     firsts = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     joined = narrow.join(firsts.select("payload_digest", "refers_to"), "payload_digest")
-    return joined.where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return joined.where("page_id > refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int = MIN_REVISIT) -> None:
     """WARC files with one record for each record of the ARC files."""
     narrow = written(read_arc(spark, arc_path, payloads=False).drop("payload", "http", "url"), "warc-digests")
     revisits = written(roles(narrow, min_revisit), "warc-roles")
-    full = read_arc(spark, arc_path).join(revisits, "page_id", "left")
+    full = read_arc(spark, arc_path).join(revisits, ["page_id", "payload_digest"], "left")
     again = F.col("refers_to").isNotNull()
     crlf = F.lit("\r\n")
     digits = lambda a, n: F.substring("date", a, n)
