@@ -237,7 +237,7 @@ def brute_lines(rows, size):
 def test_line_dedup(spark, empty, size):
     rng = random.Random(size)
     rows = [(i, "\n".join(rng.choice("abcd") for _ in range(rng.randint(1, 9)))) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, "\n\n\n\n\n\n\n"), (None, "a\nb\nc\nd\na"), rows[3], (103, "x\n" * 3000)]
+    rows += [(100, None), (101, ""), (102, "\n\n\n\n\n\n\n"), (None, "a\nb\nc\nd\na"), rows[3], (103, "x\n" * (3000 if size == 3 else 200))]
     df = spark.createDataFrame(rows, DOCS).withColumn("pos", F.lit(1)).withColumn("row", F.lit(2))
     out = line_dedup.remove_repeated_lines(df, min_lines=size)
     assert out.columns == df.columns
@@ -247,6 +247,23 @@ def test_line_dedup(spark, empty, size):
     assert line_dedup.remove_repeated_lines(empty).count() == 0
 
 
+def test_maximal_runs_are_found_whole(spark):
+    own = iter(range(10**6))
+    fresh = lambda n: [f"line {next(own)}" for _ in range(n)]
+    three, seven, many = fresh(3), fresh(7), fresh(700)
+    texts = [fresh(2) + three + fresh(1), fresh(1) + seven + fresh(4), many + fresh(1), seven + fresh(1) + three, fresh(5) + many, many[100:600] + fresh(1) + seven[2:], fresh(9)]
+    runs = line_dedup.repeated_runs(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], DOCS))
+    assert {r.doc: [tuple(x) for x in r.runs] for r in runs.collect()} == {3: [(0, 7), (8, 11)], 4: [(5, 705)], 5: [(0, 500), (501, 506)]}
+
+
+def test_line_dedup_with_text_ids_and_clashing_names(spark):
+    rows = [("b", "1\n2\n3\n4", 1, 2, 3), ("a", "1\n2\n3", 4, 5, 6), (None, "0\n1\n2\n3", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _key int, gone int, _parts int")
+    out = line_dedup.remove_repeated_lines(df)
+    assert out.columns == df.columns
+    assert {tuple(r) for r in out.collect()} == {("b", "4", 1, 2, 3), ("a", "1\n2\n3", 4, 5, 6), (None, "0", 7, 8, 9)}
+
+
 @pytest.mark.parametrize("size", [2, 3, 4])
 def test_line_dedup_of_short_runs_by_characters(spark, size):
     rng = random.Random(size)
