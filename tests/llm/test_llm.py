@@ -470,6 +470,34 @@ def test_substring_dedup(spark, docs, empty, shard_windows):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_equal_fingerprints_remove_nothing(spark, monkeypatch):
+    """With fingerprints of 8 bits nearly all windows seem to recur; only what the automata locate may go."""
+    monkeypatch.setattr(substring_dedup, "BITS", 8)
+    rng = random.Random(8)
+    fresh = lambda i, n: [f"d{i}w{k}" for k in range(n)]
+    rows = [(i, " ".join(fresh(i, rng.randint(20, 60)))) for i in range(40)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r.doc_id, r.n_removed, r.kept_text) for r in got} == {(i, 0, t) for i, t in rows}
+
+
+def test_automata_locate_passages_and_single_windows():
+    words = [b"w%d" % i for i in range(40)]
+    text = lambda a, b: b" ".join(words[a:b])
+    held = [(7, text(0, 30)), (3, text(5, 18)), (9, text(30, 40))]
+    # one is found whole, of one only two windows, one nowhere
+    found = substring_dedup._found_in([text(4, 20), text(16, 31), text(28, 40)], held, 13)
+    assert sorted(found) == [(0, 7, 0, 16), (1, 7, 0, 13), (1, 7, 1, 14)]
+
+
+def test_one_document_that_many_repeat_is_dealt_to_several_automata(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY_BYTES", 500)
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 500)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(0, " ".join(passage))] + [(i, " ".join([f"x{i}", *passage[i % 20 : i % 20 + 15], f"y{i}"])) for i in range(1, 80)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r.doc_id, r.n_removed, r.kept_text) for r in got} == {(0, 0, rows[0][1])} | {(i, 15, f"x{i} y{i}") for i in range(1, 80)}
+
+
 # ---------------------------------------------------------------- quality classifier
 
 

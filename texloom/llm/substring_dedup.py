@@ -3,30 +3,34 @@
 A window is 13 consecutive words of one document. A word goes if a window that covers it also
 starts, with the same words, in a document of smaller id. Three steps:
 
-1. Confirm. Every task fingerprints its documents' windows (8 bytes each), keeps for each
-   fingerprint the smallest document of the task's chunk, and deals these out by fingerprint
-   as packed blocks. A shard sorts its block and finds each window's first document. What is
-   a repeat inside the chunk already is sent on as such and isn't dealt. So a passage in
-   a third of all documents reaches its shard once per chunk, not once per document.
-2. Compile. The repeats come back to their documents by id, together with the texts (the only
-   time texts are shuffled). Adjacent repeats join to passages, and each slice of about a
-   megabyte compiles one Aho-Corasick automaton over the word sequences of its passages.
-3. Stream. All documents of the slice run through the automaton, which locates every
-   occurrence; where all windows of the passage start before the document at hand, its words
-   are removed. (Each document's own repeats are all in its own passages, so none is missed.)
-
-Shards hold `SHARD_WINDOWS` windows each, so their number grows with the corpus; no task and
-not the driver holds more than a shard, a chunk or a slice.
+1. Recurring windows. Every task fingerprints its documents' windows (48 bits, and a shard by other
+   bits), keeps for each fingerprint the smallest document of the task's chunk, and deals these out
+   by shard as packed blocks. A shard sorts its block and finds each window's first document. What
+   repeats inside the chunk already is sent on as such and isn't dealt. So a passage in a third of
+   all documents reaches its shard once per chunk, not once per document.
+2. Passages. First documents give out the stretches of text that others seem to repeat, the others
+   their runs of such windows, as words; runs of equal words that meet in a chunk are one.
+3. Automata. Passages are dealt out by first document, those of one that many texts repeat with a salt,
+   to shards of a few megabytes. Each compiles one Aho-Corasick automaton over the word sequences of its
+   passages and streams the first documents through it, which locates every occurrence word by word.
+   Only located passages are removed, wherever they stand; of a passage that isn't found whole each
+   window is sought by itself. So equal fingerprints of different words remove nothing.
+
+Only narrow rows and repeated passages are shuffled, and texts once, by id: all joins with them share one
+exchange. No task and not the driver holds more than a shard, a chunk or a slice; all numbers of shards
+grow with the corpus.
 
 Defined cases: null and empty texts, and those of fewer than 13 words, lose nothing; rows of
 one doc_id are not earlier than each other; a null doc_id counts as later than every other;
-the other columns are ignored, whatever their names.
+ids are integers below 2**63 - 2**40; the other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, count
 
 import ahocorasick
 import numpy as np
@@ -37,15 +41,20 @@ from pyspark.sql import functions as F
 from texloom.llm import textvec as tv
 
 WINDOW = 13
-SHARD_WINDOWS = 6_000_000
+SHARD_WINDOWS = 3_000_000
 MIN_SHARDS = 32
 CHUNK = 4 << 20
-PIECE = 1000  # windows of a passage in one pattern; longer passages are cut, overlapping by a window
-LAST = np.iinfo(np.int64).max  # stands for a null id
+PIECE = 1000  # windows of a run in one passage; longer runs are cut, overlapping by all words of a window but one
+SHARD_BYTES = 2 << 20  # text of the passages in one automaton, where a quarter of all text repeats; four times as much where all does
+HEAVY_BYTES = 4 << 20  # a first document whose passages are longer is streamed by several shards
+BROADCAST_ROWS = 400_000
+NULLS = (1 << 63) - (1 << 40)  # ids from here on stand for null ids, told apart by their texts
+BITS = 48
 
 
 def _dealt(docs: DataFrame, size: int, shards: int) -> DataFrame:
     """Blocks of first-in-chunk windows by shard, and the repeats inside chunks (shard < 0)."""
+    width = BITS // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,8 +74,11 @@ def _dealt(docs: DataFrame, size: int, shards: int) -> DataFrame:
                 low = d[np.flatnonzero(first)][np.cumsum(first) - 1]
                 new = first.copy()
                 new[1:] |= d[1:] != d[:-1]
-                later = new & (d > low)
-                out = [_by_shard(h[first], d[first], shards), _by_doc(h[later], d[later], low[later], -64)]
+                later = new & (d > low) & (low < NULLS)
+                held = np.zeros(len(h), bool)
+                held[:-1] = first[:-1] & ~first[1:]  # of those, any that others in the chunk repeat
+                told = later | (held & (d < NULLS))
+                out = [_by_shard(h[first], d[first], shards, width), _by_doc(h[told], d[told], low[told], max(64, shards), width)]
                 yield pa.record_batch(
                     [pa.array(np.concatenate([o[0] for o in out]), pa.int32())] + [pa.array(out[0][k] + out[1][k], pa.binary()) for k in (1, 2, 3)],
                     names=["shard", "h", "doc", "n"],
@@ -75,112 +87,229 @@ def _dealt(docs: DataFrame, size: int, shards: int) -> DataFrame:
     return docs.mapInArrow(run, "shard int, h binary, doc binary, n binary")
 
 
+def _packed(h: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view(np.uint64).reshape(-1)
+
+
+def _short(h: np.ndarray, width: int) -> np.ndarray:
+    return h & np.uint64((1 << 8 * width) - 1)
+
+
 def _windows(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     words = tv.Words(tv.Texts(part.column("text")), tv.SPACE)
     at, h = words.windows(size)
     return words.row[at], h
 
 
-def _by_shard(h: np.ndarray, d: np.ndarray, shards: int) -> tuple:
+def _by_shard(h: np.ndarray, d: np.ndarray, shards: int, width: int) -> tuple:
     """For each shard, its windows in order of documents, as packed arrays."""
-    shard = (h >> np.uint64(33)) % np.uint64(shards)
+    shard = (h >> np.uint64(40)) % np.uint64(shards)
     order = np.lexsort((d, shard))
     h, d, shard = h[order], d[order], shard[order]
     cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(h) else np.zeros(0, int)
     hs, ds, ns = [], [], []
     for a, b in zip(cut, [*cut[1:], len(h)], strict=True):
         ids, n = np.unique(d[a:b], return_counts=True)
-        hs.append(h[a:b].tobytes())
+        hs.append(_packed(h[a:b], width))
         ds.append(ids.tobytes())
         ns.append(n.astype(np.uint32).tobytes())
     return shard[cut].astype(np.int32), hs, ds, ns
 
 
-def _by_doc(h: np.ndarray, d: np.ndarray, low: np.ndarray, spread: int | None) -> tuple:
-    """For each document, its repeats and their first documents; n holds the document."""
+def _by_doc(h: np.ndarray, d: np.ndarray, low: np.ndarray, spread: int | None, width: int) -> tuple:
+    """For each document, its repeated windows and their first documents (itself, where others repeat it); n holds the document."""
     order = np.argsort(d, kind="stable")
     h, d, low = h[order], d[order], low[order]
     cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(h) else np.zeros(0, int)
     ends = [*cut[1:], len(h)] if len(cut) else []
-    hs = [h[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
+    hs = [_packed(h[a:b], width) for a, b in zip(cut, ends, strict=True)]
     ls = [low[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
-    shard = (-1 - d[cut] % abs(spread)).astype(np.int32) if spread else d[cut]
+    shard = (-1 - d[cut] % spread).astype(np.int32) if spread else d[cut]
     return shard, hs, ls, [d[a : a + 1].tobytes() for a in cut]
 
 
-def _confirmed(table: pa.Table) -> pa.Table:
-    """The repeats of one shard: for each document, fingerprints and first documents."""
-    hs, ds, ns = ([x or b"" for x in table.column(c).to_pylist()] for c in ("h", "doc", "n"))
-    if table.column("shard")[0].as_py() < 0:  # known already
-        return _result([np.frombuffer(n, np.int64)[0] for n in ns], hs, ds)
-    h = np.frombuffer(b"".join(hs), np.uint64)
-    d = np.repeat(np.frombuffer(b"".join(ds), np.int64), np.frombuffer(b"".join(ns), np.uint32))
-    order = np.argsort(h)
-    h, d = h[order], d[order]
-    first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    starts = np.flatnonzero(first)
-    low = np.minimum.reduceat(d, starts)[np.cumsum(first) - 1]
-    later = d > low
-    docs, hs, ls, _ = _by_doc(h[later], d[later], low[later], None)
-    return _result(docs, hs, ls)
+def _confirmed(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The repeats of one shard: for each document, fingerprints and first documents."""
+        hs, ds, ns = ([x or b"" for x in table.column(c).to_pylist()] for c in ("h", "doc", "n"))
+        if table.column("shard")[0].as_py() < 0:  # known already
+            return _result([np.frombuffer(n, np.int64)[0] for n in ns], hs, ds)
+        h = _unpacked(b"".join(hs), width)
+        d = np.repeat(np.frombuffer(b"".join(ds), np.int64), np.frombuffer(b"".join(ns), np.uint32))
+        order = np.argsort(h)
+        h, d = h[order], d[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        starts = np.flatnonzero(first)
+        which = np.cumsum(first) - 1
+        low, high = np.minimum.reduceat(d, starts)[which], np.maximum.reduceat(d, starts)[which]
+        told = (low < high) & (low < NULLS)
+        docs, hs, ls, _ = _by_doc(h[told], d[told], low[told], None, width)
+        return _result(docs, hs, ls)
+
+    return run
 
 
 def _result(docs, hs: list, ls: list) -> pa.Table:
     return pa.table([pa.array(docs, pa.int64()), pa.array(hs, pa.binary()), pa.array(ls, pa.binary())], names=["doc", "h", "low"])
 
 
-def _streamed(part: pa.RecordBatch, size: int) -> tuple[list[int], list[int], list[bytes]]:
-    """Words, removed words and the kept text of each row of a slice."""
+def _runs(pos: np.ndarray, low: np.ndarray, piece: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of runs of adjacent windows of one first document."""
+    new = np.ones(len(pos), bool)
+    new[1:] = (np.diff(pos) != 1) | (low[1:] != low[:-1])
+    starts = np.flatnonzero(new)
+    if piece:
+        nth = np.arange(len(pos)) - starts[np.cumsum(new) - 1]
+        starts = np.flatnonzero(nth % piece == 0)
+    return starts, np.concatenate([starts[1:], [len(pos)]]) - 1
+
+
+def _passages(part: pa.RecordBatch, size: int, width: int) -> list[tuple]:
+    """(first document, held, digest, words, documents, word positions) of a slice: what first documents hold, and the distinct runs of others."""
     words = tv.Words(tv.Texts(part.column("text")), tv.SPACE)
-    doc = part.column("doc").to_numpy()
-    known = part.column("h").to_pylist()
-    keep = np.ones(len(words.h), bool)
-    holders = [i for i, x in enumerate(known) if x]
-    if holders:
-        firsts = part.column("low").to_pylist()
-        ids = np.unique(words.h, return_inverse=True)[1]
-        at, h = words.windows(size)
-        edges = np.searchsorted(words.row[at], np.arange(part.num_rows + 1))
-        passages: dict[int, tuple[int, int, int]] = {}  # fingerprint: first word, end, latest first document of its windows
-        for i in holders:
-            fh = np.frombuffer(b"".join(known[i]), np.uint64)
-            order = np.argsort(fh)
-            fh, fl = fh[order], np.frombuffer(b"".join(firsts[i]), np.int64)[order]
-            own = slice(edges[i], edges[i + 1])
-            spot = np.minimum(np.searchsorted(fh, h[own]), len(fh) - 1)
-            hit = fh[spot] == h[own]
+    data = tv.Texts(part.column("text")).bytes
+    at, h = words.windows(size)
+    h = _short(h, width)
+    edges = np.searchsorted(words.row[at], np.arange(part.num_rows + 1))
+    doc, known, firsts = part.column("doc").to_pylist(), part.column("h").to_pylist(), part.column("low").to_pylist()
+    held, found = [], {}
+    for i in range(part.num_rows):
+        fh, fl = _unpacked(b"".join(known[i]), width), np.frombuffer(b"".join(firsts[i]), np.int64)
+        own = slice(edges[i], edges[i + 1])
+        for mine in (True, False):
+            some = (fl == doc[i]) == mine
+            if not some.any() or own.start == own.stop:
+                continue
+            order = np.lexsort((fl[some], fh[some]))
+            keys, lows = fh[some][order], fl[some][order]
+            spot = np.minimum(np.searchsorted(keys, h[own]), len(keys) - 1)
+            hit = keys[spot] == h[own]
             if not hit.any():  # repeats of another row of this id
                 continue
-            pos, low = at[own][hit], fl[spot[hit]]
-            run = np.cumsum(np.diff(pos, prepend=pos[:1]) != 1)
-            nth = np.arange(len(pos)) - np.searchsorted(run, run)
-            starts = np.flatnonzero((nth % PIECE == 0))
-            ends = np.concatenate([starts[1:], [len(pos)]])
-            a, b = pos[starts], pos[ends - 1] + size
-            for key, x, y, z in zip(words.spans(a, b).tolist(), a.tolist(), b.tolist(), np.maximum.reduceat(low, starts).tolist(), strict=True):
-                old = passages.get(key)
-                if old is None or z < old[2]:
-                    passages[key] = (x, y, z)
-        if passages:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            listed = ids.tolist()
-            for k, (x, y, _) in enumerate(passages.values()):
-                automaton.add_word(tuple(listed[x:y]), k)
-            automaton.make_automaton()
-            lengths, lows = (np.array([f(p) for p in passages.values()], np.int64) for f in (lambda p: p[1] - p[0], lambda p: p[2]))
-            ends, found = [], []
-            for i in range(part.num_rows):
-                a, b = int(words.first[i]), int(words.first[i + 1])
-                if b - a >= size:
-                    for end, k in automaton.iter(tuple(listed[a:b])):
-                        ends.append(a + end + 1)
-                        found.append(k)
-            ends, found = np.array(ends, np.int64), np.array(found, np.int64)
-            if len(ends):
-                # all windows of the passage start in a document before this one
-                gone = lows[found] < doc[words.row[ends - 1]]
-                keep = ~tv.covered(len(words.h), ends[gone] - lengths[found[gone]], lengths[found[gone]])
+            pos, low = at[own][hit], lows[spot[hit]]
+            for a, b in zip(*(x.tolist() for x in _runs(pos, low, None if mine else PIECE)), strict=True):
+                x, y = int(pos[a]), int(pos[b]) + size
+                text = b" ".join(data[words.start[x] : words.end[y - 1]].tobytes().split())
+                if mine:
+                    held.append((doc[i], True, b"", text, b"", b""))
+                else:
+                    found.setdefault((int(low[a]), text), []).append((doc[i], x - int(words.first[i])))
+    out = held
+    for (x, text), places in found.items():
+        ids, spots = zip(*places, strict=True)
+        out.append((x, False, hashlib.md5(text).digest(), text, np.array(ids, np.int64).tobytes(), np.array(spots, np.int64).tobytes()))
+    return out
+
+
+_PASSAGE = "x long, held boolean, digest binary, words binary, docs binary, spots binary"
+
+
+def _numbered(rows: list[bytes], ids: dict) -> list[tuple[int, ...]]:
+    return [tuple(map(ids.__getitem__, r.split(b" "))) for r in rows]
+
+
+def _automaton(patterns: list[tuple[int, ...]]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    of: dict = {}
+    for k, p in enumerate(patterns):
+        of.setdefault(p, []).append(k)
+    for p, ks in of.items():
+        automaton.add_word(p, ks)
+    automaton.make_automaton()
+    return automaton
+
+
+def _located(patterns: list[tuple[int, ...]], streamed: list[tuple[int, tuple[int, ...]]]) -> dict[int, int]:
+    """The smallest streamed document that holds each pattern, of those that any holds."""
+    best: dict[int, int] = {}
+    if patterns and streamed:
+        automaton = _automaton(patterns)
+        for x, text in streamed:
+            for _, ks in automaton.iter(text):
+                for k in ks:
+                    if x < best.get(k, NULLS):
+                        best[k] = x
+    return best
+
+
+def _found_in(passages: list[bytes], held: list[tuple[int, bytes]], size: int) -> list[tuple[int, int, int, int]]:
+    """(passage, first document, from, to): the stretches of passages that the streamed documents hold word for word."""
+    ids: dict = defaultdict(count().__next__)
+    patterns = _numbered(passages, ids)
+    streamed = list(zip([x for x, _ in held], _numbered([t for _, t in held], ids), strict=True))
+    whole = _located(patterns, streamed)
+    out = [(k, x, 0, len(patterns[k])) for k, x in whole.items()]
+    rest = [(k, a) for k, p in enumerate(patterns) if k not in whole for a in range(len(p) - size + 1)]
+    for j, x in _located([patterns[k][a : a + size] for k, a in rest], streamed).items():
+        k, a = rest[j]
+        out.append((k, x, a, a + size))
+    return out
+
+
+def _places(patterns: dict[bytes, list], held: list[tuple[int, bytes]], size: int) -> pa.RecordBatch:
+    """doc, a, b: word spans of located passages in the documents that repeat them."""
+    entries = list(patterns.values())
+    docs, starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, x, a, b in _found_in([e[0] for e in entries], held, size):
+        doc, spot = (np.frombuffer(b"".join(e), np.int64) for e in entries[k][1:])
+        later = doc > x
+        docs.append(doc[later])
+        starts.append(spot[later] + a)
+        ends.append(spot[later] + b)
+    return pa.record_batch([pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(ends), pa.int32())], names=["doc", "a", "b"])
+
+
+def located_spans(passages: DataFrame, size: int, corpus_bytes: int) -> DataFrame:
+    """doc, a, b: the word spans of documents that an earlier document holds word for word."""
+    shards = max(1, -(-corpus_bytes // (4 * SHARD_BYTES)))
+    heavy = passages.where("not held").groupBy("x").agg(F.ceil(F.sum(F.octet_length("words")) / HEAVY_BYTES).cast("int").alias("fan")).where("fan > 1")
+    # a heavy first document has HEAVY_BYTES of passages at least, so there are at most so many of them
+    heavy = F.broadcast(heavy) if corpus_bytes // HEAVY_BYTES <= BROADCAST_ROWS else heavy.hint("merge")
+    salted = passages.join(heavy, "x", "left").withColumn("fan", F.coalesce("fan", F.lit(1)))
+    salts = F.when(F.col("held"), F.sequence(F.lit(0), F.col("fan") - 1)).otherwise(F.array(F.expr("cast(pmod(xxhash64(digest), fan) as int)")))
+    dealt = salted.withColumn("salt", F.explode(salts)).withColumn("shard", F.pmod(F.xxhash64("x", "salt"), F.lit(shards))).drop("fan", "salt")
+    n = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, patterns, held = None, {}, []
+        for batch in batches:
+            for part in tv.chunks(batch, "words"):
+                columns = [part.column(c).to_pylist() for c in ("shard", "held", "x", "digest", "words", "docs", "spots")]
+                for shard, mine, x, digest, words, docs, spots in zip(*columns, strict=True):
+                    if shard != now:
+                        if patterns and held:
+                            yield _places(patterns, held, size)
+                        now, patterns, held = shard, {}, []
+                    if mine:
+                        held.append((x, words))
+                    else:
+                        entry = patterns.setdefault(digest, [words, [], []])
+                        entry[1].append(docs)
+                        entry[2].append(spots)
+        if patterns and held:
+            yield _places(patterns, held, size)
+
+    return dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "doc long, a int, b int")
+
+
+def _stripped(part: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
+    """Words, removed words and the kept text of each row."""
+    words = tv.Words(tv.Texts(part.column("text")), tv.SPACE)
+    gone = np.zeros(len(words.h) + 1, np.int64)
+    for i, spans in enumerate(part.column("spans").to_pylist()):
+        n, base = int(words.count[i]), int(words.first[i])
+        for s in spans or ():
+            if s["b"] <= n:
+                gone[base + s["a"]] += 1
+                gone[base + s["b"]] -= 1
+    keep = np.cumsum(gone[:-1]) == 0
     removed = tv.per_row(~keep, words.first)
     kept = []
     for i, text in enumerate(part.column("text").to_pylist()):
@@ -191,21 +320,34 @@ def _streamed(part: pa.RecordBatch, size: int) -> tuple[list[int], list[int], li
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the kept words, one space between them)."""
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("doc"), F.col(text).cast("binary").alias("text"))
+    of_null = F.lit(NULLS) + F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 40) - 1))
+    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), of_null).alias("doc"), F.col(text).cast("binary").alias("text"))
     size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(MIN_SHARDS, -(-int(size) // (6 * shard_windows)))  # a word takes about six bytes
-    found = _dealt(source, window, shards).groupBy("shard").applyInArrow(_confirmed, "doc long, h binary, low binary")
+    width = BITS // 8
+    found = _dealt(source, window, shards).groupBy("shard").applyInArrow(_confirmed(width), "doc long, h binary, low binary")
     pairs = found.groupBy("doc").agg(F.collect_list(F.struct("h", "low")).alias("p"))
     per_doc = pairs.select("doc", F.transform("p", lambda x: x["h"]).alias("h"), F.transform("p", lambda x: x["low"]).alias("low"))
-    joined = source.join(per_doc, "doc", "left").select("doc", "text", "h", "low")
+    known = source.join(per_doc.hint("merge"), "doc").select("doc", "text", "h", "low")
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        for batch in batches:
+            for part in tv.chunks(batch, "text"):
+                rows = _passages(part, window, width)
+                yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["x", "held", "digest", "words", "docs", "spots"])
+
+    places = located_spans(known.mapInArrow(passages, _PASSAGE), window, int(size))
+    spans = places.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    joined = source.join(spans.hint("merge"), "doc", "left").select("doc", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.chunks(batch, "text"):
-                n, removed, kept = _streamed(part, window)
+                n, removed, kept = _stripped(part)
                 ids = part.column("doc").to_numpy()
                 yield pa.record_batch(
-                    [pa.array(ids, pa.int64(), mask=ids == LAST), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())],
+                    [pa.array(ids, pa.int64(), mask=ids >= NULLS), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())],
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
