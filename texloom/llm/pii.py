@@ -4,25 +4,33 @@ Base patterns find e-mail addresses, IP addresses, card and phone numbers; match
 their check (parts, Luhn, digits) are dropped. Looser generators propose more spans, which may
 overlap: spaced or spelled-out addresses, groups of four digits, digit runs, phone numbers
 without a plus, colon-separated addresses. Each candidate has small integer features of its
-format and context. A candidate counts as positive for training if it is a base span or
-overlaps one of its kind (distant labels).
+format and context.
+
+Nobody has labelled personal data here, so a candidate's label is the check that its number or address
+carries in itself: Luhn's digit, the parts of an address, a top-level domain of letters, an area code. Features don't
+see what the check sees, so trees learn which formats and contexts hold valid data. Loose candidates
+that touch a base span of their kind say nothing new and neither train nor count.
 
 Training pre-aggregates all candidates of all documents by their feature cell (at most
 `MAX_CELLS` cells by construction), so the driver boosts trees on cell counts, whatever the
-size of the corpus. Trees become `CASE WHEN` expressions; for each kind the lowest score at
-which held-out documents reach `PRECISION` is the threshold, and candidates above it are
-added to the base spans, which always stay. Kinds without such a threshold add nothing.
+size of the corpus. Trees become `CASE WHEN` expressions. For each kind the lowest score at
+which held-out candidates besides the base spans reach `PRECISION` is the threshold, and candidates
+above it are added to the base spans, which always stay. Kinds without such a threshold, or with
+fewer than `MIN_HELD` valid held-out candidates above it, add nothing.
 
 Patterns are anchored at the previous match or the start of a run of their first class and
 use possessive repeats: they find the same leftmost matches in linear time and stack.
 
 Defined cases: null and empty texts have no spans; a text of any length is scanned whole;
-repeated rows are judged row by row; other columns are ignored.
+repeated rows are judged row by row; other columns are ignored, whatever their names. All steps take time in
+proportion to the matches of a text (times their logarithm): spans of a kind's base pattern are disjoint and in
+order, so overlaps are found by binary search, and equal spans are neighbours once sorted.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +40,7 @@ from texloom.llm.store import written
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.9
+MIN_HELD = 10
 _LOCAL = "A-Za-z0-9._%+-"
 #: generator -> (kind, pattern, characters one of which any match holds)
 BASE = {
@@ -50,7 +59,7 @@ LOOSE = {
 GENERATORS = BASE | LOOSE
 KEYWORDS = r"(?i)(mail|contact|phone|tel|call|fax|card|visa|iban|account|addr|\bip\b|host|server)"
 #: feature -> number of values; the product bounds the cells that can occur.
-FEATURES = {"gen": len(GENERATORS), "digits": 6, "seps": 4, "before": 4, "after": 4, "keyword": 2, "luhn": 2, "parts": 2}
+FEATURES = {"gen": len(GENERATORS), "digits": 6, "seps": 4, "before": 4, "after": 4, "keyword": 2, "long": 3}
 MAX_CELLS = math.prod(FEATURES.values())
 BLOCK = 512
 
@@ -71,27 +80,40 @@ def candidate_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     for number, (name, (kind, _, _)) in enumerate(GENERATORS.items()):
         every.append(F.transform(F.coalesce(f"c_{name}", F.expr(_NO_SPANS)), _describer(number, kind, name)))
     df = df.select("doc_id", F.concat(*every).alias("cands"))
-    bases = [F.transform(F.filter("cands", _base_of(k)), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))) for k in range(len(KINDS))]
-    df = df.withColumn("bases", F.array(*bases))
-    return df.select("doc_id", F.transform("cands", lambda c: c.withField("positive", c["base"] | _overlaps_base(c))).alias("cands"))
+    return df.select("doc_id", _with_bases(lambda bases: F.transform("cands", lambda c: c.withField("overlaps", c["base"] | _overlaps_base(bases, c)))).alias("cands"))
+
+
+def _with_bases(body: Callable[[Column], Column]) -> Column:
+    """An expression over the base spans of each kind. They are an element of an array here: as a column they could be
+    merged into the element functions that look into them and be found anew for each element."""
+    as_span = lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"))
+    bases = F.array(*[F.transform(F.filter("cands", _base_of(k)), as_span) for k in range(len(KINDS))])
+    return F.get(F.transform(F.array(bases), body), F.lit(0))
 
 
 def _base_of(kind: int):
     return lambda c: c["base"] & (c["kind"] == kind)
 
 
-def _overlaps_base(c: Column) -> Column:
-    """Whether a candidate overlaps one of its kind's `bases`, found by binary search: they are the
-    matches of one pattern, so they are disjoint and in order."""
-    own = F.get("bases", c["kind"])
-    halves = F.sequence(F.length(F.bin(F.size(own))) - 1, F.lit(0), F.lit(-1))
+def _last_before(spans: Column, at: Column) -> Column:
+    """The last of some disjoint, ordered spans that begins before a position, or null, by binary search."""
+    halves = F.sequence(F.length(F.bin(F.size(spans))) - 1, F.lit(0), F.lit(-1))
 
     def further(n: Column, k: Column) -> Column:
         more = n + F.call_function("shiftleft", F.lit(1), k)
-        return F.when(F.get(own, more - 1)["start"] < c["end"], more).otherwise(n)
+        return F.when(F.get(spans, more - 1)["start"] < at, more).otherwise(n)
+
+    return F.get(spans, F.aggregate(halves, F.lit(0), further) - 1)
+
+
+def _overlaps_base(bases: Column, c: Column) -> Column:
+    """Whether a candidate overlaps one of its kind's `bases`."""
+    return F.coalesce(_last_before(F.get(bases, c["kind"]), c["end"])["end"] > c["start"], F.lit(False))
 
-    before = F.aggregate(halves, F.lit(0), further)  # so many base spans begin before the candidate's end
-    return F.coalesce(F.get(own, before - 1)["end"] > c["start"], F.lit(False))
+
+def _inside_base(bases: Column, c: Column) -> Column:
+    """Whether a candidate lies in one of its kind's `bases`."""
+    return F.coalesce(_last_before(F.get(bases, c["kind"]), c["start"] + 1)["end"] >= c["end"], F.lit(False))
 
 
 #: Gaps and matches to spans: offsets of blocks of matches first, then inside each block.
@@ -148,28 +170,36 @@ def _describer(number: int, kind: str, name: str):
     return lambda c: _described(c, number, kind, name)
 
 
+#: What loose candidates are checked for; no feature tells it.
+CHECKS = {
+    "email": r"[A-Za-z].*[A-Za-z]{2,6}$",
+    "spelled": r"^[^@(\[]*[A-Za-z].*[.)\]]\x20?[A-Za-z]{2,6}$",
+    "local": r"^\(?[2-9][0-9]{1,3}\)?[\x20.-]?[2-9][0-9]{2}[\x20.-][0-9]{3,4}$",
+    "colons": r"^(?=.*[A-Fa-f])(?!(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}$)",
+}
+
+
 def _described(c: Column, number: int, kind: str, name: str) -> Column:
     digits = F.regexp_replace(c["m"], "[^0-9]", "")
     n = F.length(digits)
     seps = F.length(c["m"]) - F.length(F.regexp_replace(c["m"], r"[\x20().\-]", ""))
-    luhn, parts = _luhn(digits), F.lit(False)
-    if name == "ip":
-        parts = _parts_ok(c["m"])
-    valid = {"email": F.lit(True), "ip": parts, "card": n.between(16, 19) & luhn, "phone": n.between(8, 15)}.get(name, F.lit(False))
+    luhn = _luhn(digits)
+    valid = {"email": F.lit(True), "ip": _parts_ok(c["m"]), "card": n.between(16, 19) & luhn, "phone": n.between(8, 15)}.get(name, F.lit(False))
+    checked = c["m"].rlike(CHECKS[name]) if name in CHECKS else luhn if kind == "card" else valid
     return F.struct(
         F.lit(KINDS.index(kind)).alias("kind"),
         c["s"].alias("start"),
         c["e"].alias("end"),
         valid.alias("base"),
-        F.lit(False).alias("positive"),
+        F.lit(False).alias("overlaps"),
+        checked.alias("label"),
         F.lit(number).alias("gen"),
         F.when(n < 4, 0).when(n < 8, 1).when(n < 12, 2).when(n < 16, 3).when(n == 16, 4).otherwise(5).alias("digits"),
         F.least(seps, F.lit(3)).alias("seps"),
         _class(F.right(c["pre"], F.lit(1))).alias("before"),
         _class(F.left(c["post"], F.lit(1))).alias("after"),
         c["pre"].rlike(KEYWORDS).cast("int").alias("keyword"),
-        luhn.cast("int").alias("luhn"),
-        parts.cast("int").alias("parts"),
+        F.when(F.length(c["m"]) < 12, 0).when(F.length(c["m"]) < 20, 1).otherwise(2).alias("long"),
     )
 
 
@@ -180,6 +210,8 @@ class Trees:
     start: float = 0.0
     trees: list = field(default_factory=list)
     thresholds: dict[int, float] = field(default_factory=dict)
+    #: kind -> precision and recall of what is added, over held-out candidates besides base spans
+    quality: dict[int, tuple[float, float]] = field(default_factory=dict)
 
     def value(self, cell: dict) -> float:
         return self.start + sum(_leaf(t, cell) for t in self.trees)
@@ -260,8 +292,9 @@ def boost(cells: list[dict], rounds: int = 25, depth: int = 3, ridge: float = 1.
         for i, (s, c) in enumerate(own):
             good, bad = good + c["v1"], bad + c["v0"]
             last = i + 1 == len(own) or own[i + 1][0] < s
-            if last and good and good / (good + bad) >= PRECISION:
+            if last and good >= MIN_HELD and good / (good + bad) >= PRECISION:
                 model.thresholds[kind] = s
+                model.quality[kind] = (good / (good + bad), good / sum(c["v1"] for _, c in own))
     return model
 
 
@@ -269,10 +302,11 @@ def fit(cands: DataFrame) -> Trees:
     """Trees from all candidates, counted by cell; every fourth document only sets thresholds."""
     names = list(FEATURES)
     held = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held")
-    rows = cands.select(held, F.explode("cands").alias("c")).select("held", *[f"c.{f}" for f in ("kind", "positive", *names)])
-    count = lambda held, positive: F.count_if((F.col("held") == held) & (F.col("positive") == positive))
+    rows = cands.select(held, F.explode("cands").alias("c")).select("held", *[f"c.{f}" for f in ("kind", "base", "overlaps", "label", *names)])
+    held_, label, more = F.col("held"), F.col("label"), ~F.col("overlaps")
+    trains = ~held_ & (F.col("base") | more)  # held-out ones count only where they'd add something
     cells = rows.groupBy("kind", *names).agg(
-        count(False, False).alias("n0"), count(False, True).alias("n1"), count(True, False).alias("v0"), count(True, True).alias("v1")
+        F.count_if(trains & ~label).alias("n0"), F.count_if(trains & label).alias("n1"), F.count_if(held_ & more & ~label).alias("v0"), F.count_if(held_ & more & label).alias("v1")
     )
     return boost([r.asDict() for r in sorted(cells.collect())])  # at most MAX_CELLS rows
 
@@ -283,11 +317,14 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     cands = written(candidate_rows(docs, doc_id, text), "pii-candidates")
     model = fit(cands)
     as_span = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
-    base = F.array_sort(F.transform(F.filter("cands", lambda c: c["base"]), as_span))
-    inside = lambda c: F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
-    cands = cands.withColumn("base", base)
-    chosen = F.filter("cands", lambda c: c["base"] | (model.accepts(c) & ~inside(c)) if model.thresholds else c["base"])
-    return cands.select("doc_id", "base", F.array_sort(F.array_distinct(F.transform(chosen, as_span))).alias("spans"))
+
+    def chosen(bases: Column) -> Column:
+        keep = F.filter("cands", lambda c: c["base"] | (model.accepts(c) & ~_inside_base(bases, c)) if model.thresholds else c["base"])
+        every = F.array_sort(F.transform(keep, as_span))
+        new = F.get(F.transform(F.array(every), lambda a: F.filter(a, lambda c, i: (i == 0) | (c != F.get(a, i - 1)))), F.lit(0))
+        return F.struct(F.flatten(bases).alias("base"), new.alias("spans"))
+
+    return cands.select("doc_id", _with_bases(chosen).alias("s")).select("doc_id", "s.base", "s.spans")
 
 
 def as_text(spans: str) -> Column:
