@@ -449,6 +449,18 @@ def test_near_dedup(spark, empty, rounds, monkeypatch):
         assert sorted((r.doc_id is None, r.component_id is None, r.kept) for r in same) == [(False, False, True), (False, False, True), (True, True, True)]
 
 
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_near_dedup_of_ids_with_several_texts(spark, rounds, monkeypatch):
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "HEAVY", 2)
+    words = lambda k: [f"{k}{i}" for i in range(60)]
+    x, y, z, y2, z2 = (" ".join(w) for w in (words("x"), words("y"), words("z"), words("y")[:-1], words("z")[1:]))
+    rows = [(3, x), (5, x), (5, y), (7, y), (8, y2), (9, "a b c"), (9, None), (20, z), (21, z2), (21, "q"), (30, z2), (20, z), (7, words("u")[0]), (40, "u0")]
+    got = near_dedup.link(spark.createDataFrame(rows, DOCS).withColumn("fan", F.lit(1)), threshold=85).collect()
+    want = {3: 3, 5: 3, 7: 3, 8: 3, 9: 9, 20: 20, 21: 20, 30: 20, 40: 3}
+    assert len(got) == len(rows) and all((r.component_id, r.kept) == (want[r.doc_id], r.doc_id == want[r.doc_id]) for r in got)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r.node: r.comp for r in near_dedup.components(edges).collect()}

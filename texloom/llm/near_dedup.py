@@ -23,8 +23,8 @@ A link at the threshold has too few matches with a chance below `MISS`, a closer
 often; all links that pass are exact.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; texts of
-fewer than five words are one shingle; rows of one doc_id are one node; a null doc_id gets a
-null component and is kept; other columns are ignored or pass through.
+fewer than five words are one shingle; rows of one doc_id are one node, which links whatever any of its texts links; a null doc_id gets a
+null component and is kept; other columns are ignored or pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ STAR_ROUNDS = 3
 BLOCK = 512
 BROADCAST_ROWS = 400_000
 FANOUT = 256
+HEAVY = 256  # classes of a token in one part of the join with token counts
 
 _XOR = tv.mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ODD = tv.mixed(np.arange(101, COORDINATES + 101, dtype=np.uint64)) | np.uint64(1)
@@ -113,7 +114,13 @@ def _prefixes(classes: DataFrame, matches: int) -> DataFrame:
         "rep", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token")
     )
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    lists = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    shared = written(shared.withColumn("fan", F.expr(f"cast(df div {HEAVY} + 1 as int)")), "near-counts")
+    # a token of very many classes is joined in several parts
+    heavy = shared.where("fan > 1").select("token", "fan")
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy.hint("merge")
+    dealt = tokens.join(heavy, "token", "left").select("token", "rep", F.expr("if(fan is null, 0, cast(pmod(xxhash64(rep), fan) as int))").alias("salt"))
+    parts = shared.select("token", "df", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
+    lists = dealt.join(parts, ["token", "salt"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     # tokens that no other class has come first in the order of rarity and use up the prefix
     take = F.greatest(F.lit(0), F.size("t") - F.lit(matches - 1))
     return lists.select("rep", F.explode(F.slice("t", 1, take)).alias("t")).select("t.token", "rep")
@@ -223,10 +230,12 @@ def _block_links(lists: DataFrame, classes: DataFrame, source: DataFrame, thresh
             for part in tv.chunks(batch, "text"):
                 row, h = shingles(part)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-                data = [np.sort(h[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.record_batch([part.column("rep"), pa.array(data, pa.binary())], names=["rep", "hashes"])
+                data = [np.sort(h[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+                d1 = np.array([tv.mixed(x).sum(dtype=np.uint64) for x in data], np.uint64).view(np.int64)
+                yield pa.record_batch([part.column("rep"), pa.array(d1), pa.array([x.tobytes() for x in data], pa.binary())], names=["rep", "d1", "hashes"])
 
-    about = texts.mapInArrow(sets, "rep long, hashes binary").dropDuplicates(["rep"]).join(tokens, "rep").join(classes.select("rep", "sig"), "rep")
+    own_sets = texts.mapInArrow(sets, "rep long, d1 long, hashes binary").dropDuplicates(["rep", "d1"])
+    about = own_sets.join(classes.select("rep", "d1", "sig"), ["rep", "d1"]).join(tokens, "rep").drop("d1")
     n, least = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), matches_needed(threshold)
     dealt = spread.join(written(about, "near-sets"), "rep").repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j")
 
@@ -275,6 +284,11 @@ def _block_links(lists: DataFrame, classes: DataFrame, source: DataFrame, thresh
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("node").alias("rep"), F.col("comp").alias("label"))
+    return lists.join(known, "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("comp"))
+
+
 def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. `threshold` in hundredths."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -285,6 +299,14 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
     )
     lists = written(_prefixes(classes, matches_needed(threshold)), "near-lists").withColumn("comp", F.col("rep"))
     labels = tested = edges = None
+    # an id whose rows hold different sets is one node, so it links their classes
+    several = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*digest)).alias("x"), F.max(F.struct(*digest)).alias("y")).where("x != y")
+    several = written(several.select("doc_id"), "near-several")
+    if not several.isEmpty():
+        tied = sigs.join(several, "doc_id").join(classes.select(*digest, "rep"), digest)
+        edges = written(tied.where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-tied")
+        labels = components(edges)
+        lists = _labelled(lists, labels)
     for round_ in range(STAR_ROUNDS + 1):
         span = lists.groupBy("token").agg(F.min("rep").alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         open_lists = written(lists.join(span.where("lo < hi").select("token", "centre"), "token"), "near-open")
@@ -306,8 +328,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
         if not new.isEmpty():
             edges = new if edges is None else edges.unionByName(new)
             labels = components(edges)
-            known = labels.select(F.col("node").alias("rep"), F.col("comp").alias("label"))
-            lists = lists.join(known, "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("comp"))
+            lists = _labelled(lists, labels)
     of = classes.select(*digest, "rep")
     out = sigs.select("doc_id", *digest).join(of, digest, "left")
     if labels is not None:
