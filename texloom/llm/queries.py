@@ -144,7 +144,7 @@ from marked group by doc_id
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = r"""

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from texloom.llm.store import new_path, written
 
 MIN_REVISIT = 100
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 FIELDS = {1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]}
 FIELDS[2] = [*FIELDS[1][:4], "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"]
 _SPACE_URN = "7465786c6f6f6d00"  # the first half of our record ids; the second is the page id
@@ -63,7 +64,7 @@ def write_arc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str
                 head = f"{_one_field(u)} 0.0.0.0 {date} text/html{tail} {len(body)}\n"
                 yield _lines([head.encode("utf-8", "surrogatepass") + body])
 
-    source.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    source.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.options(lineSep="\n", **GZIP).text(path)
 
 
 def _lines(values: list[bytes]) -> pa.RecordBatch:
@@ -237,7 +238,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int
         crlf,
     )
     value = F.concat(head.cast("binary"), block).cast("string").alias("value")  # bytes stay as they are
-    full.select(value).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+    full.select(value).write.options(lineSep="\r\n\r\n", **GZIP).text(warc_path)
 
 
 def parse_warc(data: bytes, name: str = "warc") -> Iterator[tuple[dict[str, str], bytes]]:
@@ -255,8 +256,8 @@ def parse_warc(data: bytes, name: str = "warc") -> Iterator[tuple[dict[str, str]
         yield fields, stream.take(_length(fields.get("Content-Length", ""), name))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload (null for revisits).
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """page_id, url, record_type, refers_to, payload_bytes, payload_digest and, if asked for, payload (null for revisits).
 
     The digest of a response is computed from the payload read; that of a revisit is the record's.
     """
@@ -276,8 +277,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if fields["WARC-Type"] == "revisit":
                         rows.append((page, fields["WARC-Target-URI"], "revisit", _page_of(fields["WARC-Refers-To"]), int(http["Content-Length"]), stated, None))
                     else:
-                        rows.append((page, fields["WARC-Target-URI"], "response", None, len(payload), hashlib.sha256(payload).hexdigest(), payload))
-                        held += len(payload)
+                        rows.append((page, fields["WARC-Target-URI"], "response", None, len(payload), hashlib.sha256(payload).hexdigest(), payload if payloads else None))
+                        held += len(payload) if payloads else 100
                     if held > 4 << 20:
                         yield to_batch(rows)
                         rows, held = [], 0
@@ -287,10 +288,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
-def archive_round_trip(pages: DataFrame) -> DataFrame:
+def archive_round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
     """Pages to ARC files, these to WARC files, and those read back; all in the shared folder."""
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
     convert(spark, arc, warc)
-    return read_warc(spark, warc)
+    return read_warc(spark, warc, payloads)
