@@ -1,19 +1,24 @@
 """Segmentation of LaTeX sources: protected and translatable runs, nodes, chunks.
 
-`runs_of` decides for every character whether it is protected, by an ordered list of rules in
-which later rules overwrite earlier ones; nesting makes it the one per-document helper. From
-its runs on, everything is arrays in the document's row: cleaning, merging and line numbers
-need no shuffle, and a node table comes from one `posexplode`.
+`runs_of` indexes a document's braces, commands and environments in one pass. An ordered table of
+rules (`RULES`) selects stretches from that index; each lays layers, closed or open, on the text, and a sweep
+over the layers' ends gives the runs, where the layer laid last shows. Nesting makes it the one
+per-document helper. From its runs on, everything is arrays in the document's row: cleaning, merging and
+line numbers need no shuffle, and a node table comes from one `posexplode`.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +42,7 @@ AUTHOR_COMMANDS = [
 ]
 OPEN_ANYWHERE = ["caption", "subcaption", "title", "abstract", "titlesubtitle"]
 OPEN_IN_BODY = [
-    "section", r"section\*", "subsection", r"subsection\*", "subsubsection", r"subsubsection\*", "paragraph", "textbf", "textit", "emph", "text",
+    "section", "section*", "subsection", "subsection*", "subsubsection", "subsubsection*", "paragraph", "textbf", "textit", "emph", "text",
 ]
 OPEN_ENVS = ["abstract", "quote", "quotation"]
 NOT_TEXT_MACROS = {
@@ -60,139 +65,175 @@ LAYOUT = [
 MACRO = r"\\(?:re)?newcommand\s*\{?\\([a-zA-Z]+)\}?\s*\[1\]\s*(?:\[[^\]]*\])?\s*\{([^\n]*)"
 # -----------------------------------------------------------------------------------------------
 
-_COMMAND = re.compile(r"\\([a-zA-Z]+)\*?")
-_LINE_BREAK = re.compile(r"\\\\(?:\[[^\]]*\])?")
-_INLINE = re.compile(INLINE_MATH)
+_TOKEN = re.compile(r"\\(?:(begin|end)\{([^{}]*)\}|([a-zA-Z]+)(\*?))|\\[^a-zA-Z]|[{}]", re.S)
+_MATH_OR_BREAK = (re.compile(INLINE_MATH), re.compile(r"\\\\(?:\[[^\]]*\])?"))
 
 
-class Source:
-    """One document and the state of each of its characters (1: translatable)."""
+@dataclass(frozen=True)
+class Stretch:
+    """A piece of a document from `start` to `end`, with the text inside it where it has some."""
+
+    start: int
+    end: int
+    inside: tuple[int, int] | None = None
+
+
+class Index:
+    """Where a document's braces close, and its commands and environment marks by name."""
 
     def __init__(self, text: str):
-        self.text, self.open = text, np.ones(len(text), np.uint8)
+        self.text = text
         self.closing: dict[int, int] = {}
-        stack: list[int] = []
-        for m in re.finditer(r"(?s)\\.|[{}]", text):  # all braces are matched once, in linear time
-            if m[0] == "{":
-                stack.append(m.start())
-            elif m[0] == "}" and stack:
-                self.closing[stack.pop()] = m.start()
-
-    def protect(self, pattern: str) -> None:
-        for m in re.finditer(pattern, self.text):
-            self.open[m.start() : m.end()] = 0
-
-    def _blanks(self, at: int, end: int) -> int:
-        while at < end and self.text[at] in " \t":
+        self.commands: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.marks: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        self.order: list[tuple[int, int, str]] = []  # every command: start, end, name without star
+        depth: list[int] = []
+        at = 0
+        while token := _TOKEN.search(text, at):
+            at = token.end()
+            mark, env, name, star = token.groups()
+            if mark:
+                self.marks[mark, env].append(token.span())
+                name, star, at = mark, "", token.start() + 1 + len(mark)  # its braces are tokens too
+            if name:
+                span = (token.start(), at)
+                self.commands[name + star].append(span)
+                self.order.append((*span, name))
+            elif token[0] == "{":
+                depth.append(token.start())
+            elif token[0] == "}" and depth:
+                self.closing[depth.pop()] = token.start()
+            elif len(token[0]) == 2 and token[0][1] == "\\":
+                # the second backslash of a line break begins a command where letters follow it
+                follow = re.compile(r"[a-zA-Z]+\*?").match(text, at)
+                at = at - 1 if follow else at
+        self.starts = [c[0] for c in self.order]
+
+    def blanks(self, at: int) -> int:
+        while self.text[at : at + 1] in (" ", "\t"):
             at += 1
         return at
 
-    def argument(self, at: int, end: int | None = None) -> tuple[int, int] | None:
-        """The braces that follow a position, blanks allowed, closed before `end`."""
-        end = len(self.text) if end is None else end
-        at = self._blanks(at, end)
-        close = self.closing.get(at, -1) if at < end and self.text[at] == "{" else -1
-        return (at, close) if 0 <= close < end else None
-
-    def protect_command(self, pattern: str) -> None:
-        for m in re.finditer(pattern, self.text):
-            if braces := self.argument(m.end()):
-                self.open[m.start() : braces[1] + 1] = 0
-
-    def protect_env(self, name: str, max_lines: int | None = None) -> None:
-        if "\\begin{" + name not in self.text:
-            return
-        for m in re.finditer(r"(?s)\\begin\{(" + re.escape(name) + r"\*?)\}.*?\\end\{\1\}", self.text):
-            if max_lines is None or m[0].count("\n") <= max_lines:
-                self.open[m.start() : m.end()] = 0
-
-    def open_inside(self, start: int, a: int, b: int, end: int) -> None:
-        """Protect [start, end) but for [a, b), and there what is no text."""
-        self.open[start:end] = 0
-        if b > a:
-            self.open[a:b] = 1
-            self._protect_inline(a, b)
-
-    def open_command(self, pattern: str, least: int = 0) -> None:
+    def braces(self, at: int) -> tuple[int, int] | None:
+        """The argument that begins at a position, blanks allowed: its two braces."""
+        at = self.blanks(at)
+        return (at, self.closing[at]) if at in self.closing else None
+
+    def arguments(self, names: Iterable[str], least: int = 0) -> Iterator[Stretch]:
+        """Commands of these names with their argument."""
+        for name in names:
+            for start, end in self.commands.get(name, ()):
+                if start >= least and (pair := self.braces(end)):
+                    yield Stretch(start, pair[1] + 1, (pair[0] + 1, pair[1]))
+
+    def environments(self, names: Iterable[str], starred: bool) -> Iterator[Stretch]:
+        """Environments from begin to the next end of the same name; they don't overlap."""
+        for name in names:
+            kinds = [name, name + "*"] if starred else [name]
+            free = 0
+            for (start, end), kind in sorted((span, k) for k in kinds for span in self.marks.get(("begin", k), ())):
+                ends = self.marks.get(("end", kind), ())
+                k = bisect_left(ends, (end, 0))
+                if start >= free and k < len(ends):
+                    yield Stretch(start, ends[k][1], (end, ends[k][0]))
+                    free = ends[k][1]
+
+    def matches(self, pattern: str) -> Iterator[Stretch]:
         for m in re.finditer(pattern, self.text):
-            if m.start() >= least and (braces := self.argument(m.end())):
-                self.open_inside(m.start(), braces[0] + 1, braces[1], braces[1] + 1)
-
-    def open_env(self, name: str) -> None:
-        if "\\begin{" + name not in self.text:
-            return
-        e = re.escape(name)
-        for m in re.finditer(r"(?s)\\begin\{" + e + r"\}(.*?)\\end\{" + e + r"\}", self.text):
-            self.open_inside(m.start(), m.start(1), m.end(1), m.end())
-
-    def _protect_inline(self, start: int, end: int) -> None:
-        """Commands with their arguments, math and line breaks of a region; wrappers of text keep their text open."""
-        regions = [(start, end)]
-        while regions:
-            a, b = regions.pop()
-            region = self.text[a:b]
-            for m in _COMMAND.finditer(region):
-                after = self._blanks(a + m.end(), b)
-                if after < b and self.text[after] == "[":
-                    close = self.text.find("]", after, b)
-                    after = close + 1 if close >= 0 else after
-                braces = self.argument(after, b)
-                if not braces:
-                    self.open[a + m.start() : after] = 0
-                elif m[1] in TRANSPARENT:
-                    self.open[a + m.start() : braces[0] + 1] = 0
-                    self.open[braces[1]] = 0
-                    regions.append((braces[0] + 1, braces[1]))
-                else:
-                    self.open[a + m.start() : braces[1] + 1] = 0
-            for pattern in (_INLINE, _LINE_BREAK):
-                for m in pattern.finditer(region):
-                    self.open[a + m.start() : a + m.end()] = 0
+            yield Stretch(*m.span())
+
+    def code_in(self, start: int, end: int) -> Iterator[tuple[int, int]]:
+        """What is no text between two positions: commands with options and arguments, math, line breaks.
+        Of commands that only dress up their text, the text is left out."""
+        texts = [(start, end)]
+        for first, last, name in self.order[bisect_left(self.starts, start) : bisect_left(self.starts, end)]:
+            stop = self.blanks(last)
+            if self.text[stop : stop + 1] == "[":
+                stop = self.text.find("]", stop, end) + 1 or stop
+            pair = self.braces(stop)
+            if pair is None or pair[1] >= end:
+                yield first, min(stop, end)
+            elif name in TRANSPARENT:
+                yield first, pair[0] + 1
+                yield pair[1], pair[1] + 1
+                texts.append((pair[0] + 1, pair[1]))
+            else:
+                yield first, pair[1] + 1
+        for a, b in texts:
+            piece = self.text[a:b]
+            for pattern in _MATH_OR_BREAK:
+                for m in pattern.finditer(piece):
+                    yield a + m.start(), a + m.end()
 
 
 def text_macros(text: str) -> list[str]:
     """Names of one-argument macros that print their argument as text."""
-    out = []
-    for m in re.finditer(MACRO, text):
-        swallowed = re.search(r"\\(?:url|verb|lstinline|texttt|path)\b[^\n]*#1", m[2])
-        if m[1] not in NOT_TEXT_MACROS and "#1" in m[2] and not swallowed:
-            out.append(m[1])
+    swallow = re.compile(r"\\(?:url|verb|lstinline|texttt|path)\b[^\n]*#1")
+    bodies = ((m[1], m[2]) for m in re.finditer(MACRO, text))
+    return [name for name, body in bodies if "#1" in body and name not in NOT_TEXT_MACROS and not swallow.search(body)]
+
+
+#: Rules in the order in which they are laid: what they select, and whether its inside is text.
+RULES: list[tuple[str, object, bool]] = [
+    *[("pattern", x, False) for x in [*BLOCKS, COMMENT, *MATH]],
+    ("environment", [*MATH_ENVS, *FLOAT_ENVS, *VERBATIM_ENVS, *AUTHOR_ENVS], False),
+    ("command", AUTHOR_COMMANDS, False),
+    *[("pattern", x, False) for x in [*REFERENCES, *LAYOUT]],
+    ("command", OPEN_ANYWHERE, True),
+    ("body command", OPEN_IN_BODY, True),
+    ("macro", None, True),
+    ("environment", OPEN_ENVS, True),
+    ("pattern", COMMENT, False),
+]
+
+
+def layers(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, open) in the order in which they are laid; what no layer covers is open."""
+    index = Index(text)
+    begins, ends = index.marks.get(("begin", "document")), index.marks.get(("end", "document"))
+    body = begins[0][1] if begins else 0
+    out = [(0, body, False)]
+    if ends:
+        out.append((ends[0][0], len(text), False))
+    select = {
+        "pattern": lambda what, opens: index.matches(what),
+        "environment": lambda what, opens: index.environments(what, starred=not opens),
+        "command": lambda what, opens: index.arguments(what),
+        "body command": lambda what, opens: index.arguments(what, body),
+        "macro": lambda what, opens: index.arguments(text_macros(text), body),
+    }
+    for kind, what, opens in RULES:
+        for piece in select[kind](what, opens):
+            out.append((piece.start, piece.end, False))
+            if opens and piece.inside[0] < piece.inside[1]:
+                out.append((*piece.inside, True))
+                out += [(a, b, False) for a, b in index.code_in(*piece.inside)]
     return out
 
 
-def apply_rules(text: str) -> np.ndarray:
-    """1 for each translatable character; rules in order, the last one that touches a character wins."""
-    s = Source(text)
-    begin, end = re.search(r"\\begin\{document\}", text), re.search(r"\\end\{document\}", text)
-    body = begin.end() if begin else 0
-    s.open[:body] = 0
-    if end:
-        s.open[end.start() :] = 0
-    for pattern in [*BLOCKS, COMMENT, *MATH]:
-        s.protect(pattern)
-    for env in [*MATH_ENVS, *FLOAT_ENVS, *VERBATIM_ENVS, *AUTHOR_ENVS]:
-        s.protect_env(env)
-    for name in AUTHOR_COMMANDS:
-        s.protect_command(r"\\" + name)
-    for pattern in [*REFERENCES, *LAYOUT]:
-        s.protect(pattern)
-    for name in OPEN_ANYWHERE:
-        s.open_command(r"\\" + name)
-    for name in [*OPEN_IN_BODY, *map(re.escape, text_macros(text))]:
-        s.open_command(r"\\" + name, body)
-    for env in OPEN_ENVS:
-        s.open_env(env)
-    s.protect(COMMENT)
-    return s.open
+def visible(length: int, laid: list[tuple[int, int, bool]]) -> Iterator[tuple[int, int, bool]]:
+    """Runs (start, end, open) of what shows of the layers from above: a sweep over their ends."""
+    coming = sorted(((a, -n, b, open_) for n, (a, b, open_) in enumerate(laid) if a < b), reverse=True)
+    cuts = sorted({0, length, *(x for a, b, _ in laid for x in (a, b))})
+    top: list[tuple[int, int, bool]] = []  # the layer laid last comes first
+    start, state = 0, None
+    for cut in cuts:
+        while coming and coming[-1][0] <= cut:
+            _, n, end, open_ = coming.pop()
+            heapq.heappush(top, (n, end, open_))
+        while top and top[0][1] <= cut:
+            heapq.heappop(top)
+        now = top[0][2] if top else True
+        if state is None:
+            state = now
+        elif now != state or cut == length:
+            yield start, cut, state
+            start, state = cut, now
 
 
 def runs_of(text: str) -> list[tuple[str, bool]]:
     """(text, protected) for each run of equal state."""
-    if not text:
-        return []
-    flags = apply_rules(text)
-    cuts = [0, *(np.flatnonzero(np.diff(flags)) + 1).tolist(), len(text)]
-    return [(text[a:b], not flags[a]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(text[a:b], not open_) for a, b, open_ in visible(len(text), layers(text))] if text else []
 
 
 # ---------------------------------------------------------------- DataFrame forms
@@ -205,17 +246,28 @@ def segment_runs(sources: DataFrame) -> DataFrame:
     keep = sources.select("paper_id", "rel_path", "content")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema) + f", runs {RUNS}"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["runs"] = [[{"text": t, "preserve": p} for t, p in runs_of(x or "")] for x in frame["content"]]
-            yield frame
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, "content"):
+                found = [runs_of(x or "") for x in part.column("content").to_pylist()]
+                flat = [r for runs in found for r in runs]
+                nodes_ = pa.StructArray.from_arrays([pa.array([t for t, _ in flat], pa.string()), pa.array([p for _, p in flat], pa.bool_())], names=["text", "preserve"])
+                ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, nodes_)], names=[*part.schema.names, "runs"])
 
-    return keep.mapInPandas(run, schema)
+    return keep.mapInArrow(run, schema)
 
 
-def protected_spans(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """`df` with `spans`, every match of a pattern."""
-    return df.withColumn("spans", F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
+def _slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `limit` characters of text, one row at least."""
+    start = size = 0
+    for i, n in enumerate(map(len, (x.as_py() or "" for x in batch.column(column)))):
+        if i > start and size + n > limit:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
 
 
 def demoted(runs: Column) -> Column:
@@ -366,18 +418,16 @@ def split_text(text: str, max_tokens: int) -> list[str]:
 def chunks(node_rows: DataFrame, max_tokens: int = 1024) -> DataFrame:
     """Rows (paper_id, rel_path, chunk_idx, owner_t_idx, text) of the translatable nodes.
 
-    Only nodes over the limit go through Python.
+    Only texts over the limit go through Python; the nodes are read once.
     """
+    from pyspark.sql import Window
 
     @F.pandas_udf("array<string>")
     def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, max_tokens))
+        return texts.map(lambda t: None if t is None else split_text(t, max_tokens))
 
-    own = node_rows.where(~F.col("preserve"))
-    small, large = own.where(lx.token_estimate("text") <= max_tokens), own.where(lx.token_estimate("text") > max_tokens)
     key = ["paper_id", "rel_path"]
-    parts = small.select(*key, "t_idx", F.lit(0).alias("k"), "text").unionByName(large.select(*key, "t_idx", F.posexplode(pieces("text")).alias("k", "text")))
-    from pyspark.sql import Window
-
+    own = node_rows.where(~F.col("preserve")).select(*key, "t_idx", "text", pieces(F.when(lx.token_estimate("text") > max_tokens, F.col("text"))).alias("long"))
+    parts = own.select(*key, "t_idx", F.posexplode(F.coalesce("long", F.array("text"))).alias("k", "text"))
     order = Window.partitionBy(*key).orderBy("t_idx", "k")
     return parts.select(*key, (F.row_number().over(order) - 1).alias("chunk_idx"), F.col("t_idx").alias("owner_t_idx"), "text")
