@@ -49,7 +49,7 @@ def c(col: str | Column) -> Column:
 
 def strip(col: str | Column) -> Column:
     """Without white space (Unicode) at both ends."""
-    return F.regexp_replace(c(col), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c(col), r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def any_of(words: list[str]) -> str:
@@ -184,15 +184,14 @@ def separate_cjk(text: str | Column) -> Column:
 def balanced_prefix(text: str | Column) -> Column:
     """The longest prefix with as many opening as closing braces: over the text cut at braces,
     the end of the last piece at which the sum is 0. A backslash takes the next character with it."""
-    pieces = F.regexp_extract_all(c(text), F.lit(r"(?s)(?:\\.|\\$|[^\\{}])+|[{}]"), F.lit(0))
+    pieces = F.regexp_extract_all(c(text), F.lit(r"(?s)[^\\{}]++|\\.|\\$|[{}]"), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("cut"))
 
     def step(a: Column, p: Column) -> Column:
         depth = a["depth"] + F.when(p == "{", 1).when(p == "}", -1).otherwise(0)
         at = a["at"] + F.length(p)
         # an escape counts as passed only together with a plain character or brace after it
-        plain = F.length(F.regexp_replace(p, r"(?s)(?:\\.|\\$)+$", ""))
-        cut = F.when((depth == 0) & (plain > 0), a["at"] + plain).otherwise(a["cut"])
+        cut = F.when((depth == 0) & ~p.startswith("\\"), at).otherwise(a["cut"])
         return F.struct(depth.alias("depth"), at.alias("at"), cut.alias("cut"))
 
     return F.aggregate(pieces, start, step, lambda a: F.left(c(text), a["cut"]))
@@ -259,7 +258,7 @@ def expand_macros(text: str | Column, macros: str | Column) -> Column:
 
 
 #: Braces nested four deep, escapes skipped: titles in practice.
-_NESTED = reduce(lambda inner, _: r"(?:\\.|[^\\{}]|\{" + inner + r"\})*+", range(4), r"(?:\\.|[^\\{}])*+")
+_NESTED = reduce(lambda inner, _: r"(?:\\.|[^\\{}]++|\{" + inner + r"\})*+", range(4), r"(?:\\.|[^\\{}]++)*+")
 _TITLE = r"(?ms)^[^%\n]*?\\title\s*(?:\[[^\]]*\])?\s*\{(" + _NESTED + r")\}"
 
 
@@ -332,8 +331,3 @@ def step_state(status: str | Column, stage: str | Column, step: int) -> Column:
 
 def history_label(title_: str | Column, source: str | Column, task_id: str | Column) -> Column:
     return F.coalesce(F.nullif(c(title_), F.lit("")), F.nullif(c(source), F.lit("")), c(task_id))
-
-
-def nudged(original: str | Column, translated: str | Column, language: str) -> Column:
-    """The prompt for a second attempt where the first failed, else null."""
-    return F.when(is_failed(original, translated), F.concat(F.lit(NUDGE.format(lang=language)), c(original)))

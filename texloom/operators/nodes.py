@@ -37,7 +37,7 @@ def with_t_idx(nodes: DataFrame) -> DataFrame:
 def detach_whitespace(nodes: DataFrame) -> DataFrame:
     """White space at the ends of translatable nodes goes to their (protected) neighbours, where there are any."""
     own = lambda name: F.col(name)
-    lead, tail = F.regexp_extract("text", r"^(?U:\s*)", 0), F.regexp_extract("text", r"(?U)(\s*)$", 1)
+    lead, tail = F.regexp_extract("text", r"^(?U:\s*)", 0), F.regexp_extract("text", r"(?U)(?<!\s)(\s+)$", 1)
     blank = F.col("text").rlike(r"(?U)^\s*$")
     w = _file()
     give = nodes.withColumn("_first", F.row_number().over(w) == 1).withColumn("_last", F.lead("node_idx").over(w).isNull())

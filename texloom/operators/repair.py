@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["paper_id", "rel_path"]
-MAX_LINES = 100_000
 
 
 def error_lines(logs: DataFrame) -> DataFrame:

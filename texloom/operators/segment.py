@@ -282,7 +282,7 @@ def _lead(text: Column) -> Column:
 
 
 def _tail(text: Column) -> Column:
-    return F.when(text.rlike(r"(?U)^\s*$"), "").otherwise(F.regexp_extract(text, r"(?U)(\s*)$", 1))
+    return F.when(text.rlike(r"(?U)^\s*$"), "").otherwise(F.regexp_extract(text, r"(?U)(?<!\s)(\s+)$", 1))
 
 
 def detached(runs: Column) -> Column:
@@ -304,7 +304,7 @@ def detached(runs: Column) -> Column:
             ),
         ).otherwise(
             F.regexp_replace(
-                F.regexp_replace(r["text"], F.when(i > 0, r"^(?U:\s+)").otherwise(r"(?!)"), F.lit("")), F.when(i < n - 1, r"(?U)\s+$").otherwise(r"(?!)"), F.lit("")
+                F.regexp_replace(r["text"], F.when(i > 0, r"^(?U:\s+)").otherwise(r"(?!)"), F.lit("")), F.when(i < n - 1, r"(?U)(?<!\s)\s+$").otherwise(r"(?!)"), F.lit("")
             )
         )
         return F.struct(own.alias("text"), r["preserve"].alias("preserve"))

@@ -151,15 +151,17 @@ def segment_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    f"""with {fx.TRANSLATIONS_SQL}, lines as (
-  select doc_id, k, ls[k] as line from (select doc_id, ls, unnest(generate_series(1, len(ls))) as k from (select doc_id, string_split(translated, nl) as ls from translations, (select chr(10) as nl) where translated is not null))
+def _collapsed(table: str, column: str) -> str:
+    """Common table expressions that end in kept (doc_id, collapsed): blank lines go where braces of earlier lines are open."""
+    return f"""lines as (
+  select doc_id, k, ls[k] as line from (select doc_id, ls, unnest(generate_series(1, len(ls))) as k from (select doc_id, string_split({column}, chr(10)) as ls from {table} where {column} is not null))
 ), sums as (select *, sum({_sql(_BALANCE, "line")}) over (partition by doc_id order by k) as s from lines
 ), depths as (select *, s - least(0, min(s) over (partition by doc_id order by k)) as depth from sums
 ), before as (select *, coalesce(lag(depth) over (partition by doc_id order by k), 0) as d from depths
-), kept as (select doc_id, string_agg(line, chr(10) order by k) as collapsed from before where not (trim(line) = '' and d > 0) group by doc_id)
-select t.doc_id, collapsed from translations t left join kept using (doc_id)"""
-)
+), kept as (select doc_id, string_agg(line, chr(10) order by k) as collapsed from before where not (trim(line) = '' and d > 0) group by doc_id)"""
+
+
+@query(f"with {fx.TRANSLATIONS_SQL}, {_collapsed('translations', 'translated')} select t.doc_id, collapsed from translations t left join kept using (doc_id)")
 def collapse_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.translations(spark, sf_dir).select("doc_id", lx.drop_blank_in_arguments("translated").alias("collapsed"))
 
@@ -170,7 +172,9 @@ ESCAPED_CTE = (
     + r""", e0 as (select *, regexp_replace(translated, '^(?:\s*\[(?i:"""
     + "|".join(lx.STRAY_TAGS)
     + r""")\]\s*)+', '') as x from translations
-), e1 as (select * replace (case when contains(x, '{术语' || chr(10) || chr(10)) then replace(x, chr(10) || chr(10), chr(10)) else x end as x) from e0
+), """
+    + _collapsed("e0", "x")
+    + r""", e1 as (select e0.* replace (collapsed as x) from e0 left join kept using (doc_id)
 ), e2 as (select * replace (replace(replace(replace(x, '\%', chr(1)), '%', '\%'), chr(1), '\%') as x) from e1
 ), e3 as (select * replace (array_to_string(list_transform(generate_series(1, len(string_split_regex(x, '(?s)\$.*?\$'))),
     lambda i: """
@@ -197,7 +201,7 @@ def escape_specials(spark: SparkSession, sf_dir: str) -> DataFrame:
   select doc_id, x, original, case when translated is null then 'missing' when {_sql(_META, "translated")} then 'meta'
     when {_sql(_STRUCTURE, "x")} <> {_sql(_STRUCTURE, "original")} then 'structure' when {_sql(_BALANCE, "x")} = {_sql(_BALANCE, "original")} then 'ok' else 'partial' end as outcome
   from escaped)
-select doc_id, outcome, case outcome when 'ok' then x when 'partial' then regexp_extract(x, '^(.*)\{{[^{{}}]*$', 1) || ' ' || original else original end as fixed from judged"""
+select doc_id, outcome, case outcome when 'ok' then x when 'partial' then regexp_extract(x, '(?s)^(.*)\{{[^{{}}]*$', 1) || ' ' || original else original end as fixed from judged"""
 )
 def fix_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lx.with_repaired(fx.translations(spark, sf_dir), "original", "translated").select("doc_id", "outcome", "fixed")

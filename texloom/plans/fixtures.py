@@ -57,15 +57,15 @@ SOURCES_SQL = (
 
 
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(paper_id, rel_path, chunk_idx, original, translated, doc_id): nine variants, one for each branch of the checks."""
-    head = F.left("text", F.lit(200))
-    original = F.concat(F.lit("\\item "), head, F.lit(" \\textbf{"), "lang", F.lit("}"))
+    """(paper_id, rel_path, chunk_idx, original, translated, doc_id): nine variants of whole texts, one for each branch of the checks."""
+    around = lambda before, after="": F.concat(F.lit(before), "text", F.lit(after))
+    original = F.concat(around("\\item ", " \\textbf{"), "lang", F.lit("}"))
     v = F.col("doc_id") % 9
-    good = F.lit("\\item 这是译文 \\textbf{术语}")
     translated = (
-        F.when(v == 0, good).when(v == 1, F.lit(None)).when(v == 2, original).when(v == 3, F.concat(F.lit("以下是翻译"), head)).when(v == 4, F.lit("\\item 这是译文 \\textbf{术语"))
-        .when(v == 5, F.lit("这是译文 \\textbf{术语}")).when(v == 6, F.lit("\\item 这是译文 50% a_b x^2 $y_1$ \\textbf{术语}"))
-        .when(v == 7, F.lit("[标题] \\item中 \\textbf {术语} \\sys高效")).otherwise(F.lit("\\item \\textbf{术语\n\n术语}"))
+        F.when(v == 0, around("\\item 这是译文 ", " \\textbf{术语}")).when(v == 1, F.lit(None)).when(v == 2, original).when(v == 3, around("以下是翻译"))
+        .when(v == 4, around("\\item 这是译文 ", " \\textbf{术语")).when(v == 5, around("这是译文 ", " \\textbf{术语}"))
+        .when(v == 6, around("\\item 这是译文 50% a_b x^2 $y_1$ ", " \\textbf{术语}")).when(v == 7, around("[标题] \\item中 ", " \\textbf {术语} \\sys高效"))
+        .otherwise(around("\\item ", " \\textbf{术语\n\n术语}"))
     )
     return documents(spark, sf_dir).select("paper_id", "rel_path", F.lit(0).alias("chunk_idx"), original.alias("original"), translated.alias("translated"), "doc_id")
 
@@ -73,11 +73,11 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRANSLATIONS_SQL = (
     DOCS_SQL
     + r""", translations as (
-  select paper_id, rel_path, 0 as chunk_idx, doc_id, '\item ' || left(text, 200) || ' \textbf{' || lang || '}' as original,
-    case doc_id % 9 when 0 then '\item 这是译文 \textbf{术语}' when 1 then null when 2 then '\item ' || left(text, 200) || ' \textbf{' || lang || '}'
-      when 3 then '以下是翻译' || left(text, 200) when 4 then '\item 这是译文 \textbf{术语' when 5 then '这是译文 \textbf{术语}'
-      when 6 then '\item 这是译文 50% a_b x^2 $y_1$ \textbf{术语}' when 7 then '[标题] \item中 \textbf {术语} \sys高效'
-      else '\item \textbf{术语' || nl || nl || '术语}' end as translated
+  select paper_id, rel_path, 0 as chunk_idx, doc_id, '\item ' || text || ' \textbf{' || lang || '}' as original,
+    case doc_id % 9 when 0 then '\item 这是译文 ' || text || ' \textbf{术语}' when 1 then null when 2 then '\item ' || text || ' \textbf{' || lang || '}'
+      when 3 then '以下是翻译' || text when 4 then '\item 这是译文 ' || text || ' \textbf{术语' when 5 then '这是译文 ' || text || ' \textbf{术语}'
+      when 6 then '\item 这是译文 50% a_b x^2 $y_1$ ' || text || ' \textbf{术语}' when 7 then '[标题] \item中 ' || text || ' \textbf {术语} \sys高效'
+      else '\item ' || text || ' \textbf{术语' || nl || nl || '术语}' end as translated
   from docs
 )"""
 )
