@@ -120,7 +120,7 @@ def test_sources_and_bundles(spark, tmp_path):
     (root / "p1" / "main.tex").write_bytes("héllo\r\nx".encode())
     (root / "p1" / "sec" / "a.tex").write_bytes("h\xe9llo\rx".encode("latin-1"))
     (root / "p1" / "paper_cn" / "b.tex").write_bytes(b"no")
-    rows = [(r.paper_id, r.rel_path, r.content) for r in src.read_sources(spark, str(root)).collect()]
+    rows = sorted((r.paper_id, r.rel_path, r.content) for r in src.read_sources(spark, str(root)).collect())
     assert rows == [("p1", "main.tex", "héllo\nx"), ("p1", "sec/a.tex", "héllo\nx")]
 
     bundles = tmp_path / "bundles"

@@ -5,10 +5,11 @@ from texloom.sources import latex as src
 
 
 def test_cache_files(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"tex": "a.tex", "src_hash": "h", "chunks": ["x", "y\n"]}))
-    (tmp_path / "b.json").write_text("{not json")
-    rows = {r.path.rsplit("/", 1)[1]: r for r in cache.read_json(spark, str(tmp_path)).collect()}
-    assert rows["a.json"].chunks == ["x", "y\n"] and rows["b.json"].chunks is None
+    for paper, text in (("p", json.dumps({"tex": "a.tex", "src_hash": "h", "chunks": ["x", "y\n"]})), ("q", "{not json")):
+        (tmp_path / paper).mkdir()
+        (tmp_path / paper / "k.chunks.json").write_text(text)
+    rows = {r.paper_id: r for r in cache.read_json(spark, str(tmp_path)).collect()}
+    assert rows["p"].rel_path == "a.tex" and rows["p"].chunks == ["x", "y\n"] and rows["q"].chunks is None
 
 
 def test_logs_and_lines(spark, tmp_path):

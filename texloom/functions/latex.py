@@ -6,6 +6,7 @@ never stands for "any character but a newline", and `\\b` is only used next to A
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,13 @@ def any_of(words: list[str]) -> str:
     return "|".join("\\Q" + w + "\\E" for w in words)
 
 
+def below(path: str | Column, root: str) -> Column:
+    """A file's path from the folder `root` on; scheme and host of both don't matter."""
+    place = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*"
+    top = re.sub(place, "/", root).rstrip("/") + "/"
+    return F.substring(F.regexp_replace(c(path), place, "/"), len(top) + 1, 1 << 30)
+
+
 # ---- identifiers, hashes, sizes ----
 
 

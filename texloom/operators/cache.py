@@ -62,10 +62,14 @@ def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     return cache.join(new, KEY, "left_anti").unionByName(new)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Cache files (one JSON object each) with their path; what can't be read has null fields and never hits."""
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return raw.select(F.input_file_name().alias("path"), "*")
+def read_json(spark: SparkSession, root: str) -> DataFrame:
+    """(paper_id, rel_path, cache_key, src_hash, chunks) of the cache files (`….json`, one object each) below the papers' folders in `root`.
+
+    What can't be read has a null path and hash and never hits.
+    """
+    raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+    paper = F.split(lx.below(F.input_file_name(), root), "/")
+    return raw.select(F.get(paper, F.lit(0)).alias("paper_id"), F.col("tex").alias("rel_path"), lx.cache_key("tex").alias("cache_key"), "src_hash", "chunks")
 
 
 def replaced(cache: DataFrame, new_chunks: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from texloom.operators import audit, cache, merge, repair, segment, tasks, terms
 from texloom.operators import nodes as node_windows
 from texloom.plans import fixtures as fx
 from texloom.plans import jobs
+from texloom.plans.held import held, shared_dir
 from texloom.sources import latex as src
 from texloom.streaming import progress
 
@@ -351,7 +353,7 @@ def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merged_from_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every translatable node translated by its number, repaired and merged."""
-    own = segment.nodes(_clean_sources(spark, sf_dir))
+    own = held(segment.nodes(_clean_sources(spark, sf_dir)), "nodes")
     done = own.where(~F.col("preserve")).select("paper_id", "rel_path", "t_idx", F.concat(F.lit("译文"), F.col("t_idx").cast("string")).alias("translated"))
     return merge.merged_files(merge.finished_nodes(own, done))
 
@@ -381,7 +383,7 @@ from kept group by paper_id, rel_path"""
 )
 def repair_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One round of reverting main files near their error lines, then merging."""
-    own = segment.nodes(_clean_sources(spark, sf_dir))
+    own = held(segment.nodes(_clean_sources(spark, sf_dir)), "nodes")
     done = own.where(~F.col("preserve")).select("paper_id", "rel_path", "t_idx", F.concat(F.lit("译文"), F.col("t_idx").cast("string")).alias("translated"))
     lines = repair.error_lines(fx.compile_logs(spark, sf_dir))
     merged, reverted = jobs.revert_on_errors(own, done, lines, 1, "main.tex")
@@ -400,6 +402,16 @@ def glossaries_to_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.without_glossary(hashes, hashes.where("paper_id % 2 = 0"))
 
 
+@query()
+def translated_with_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job with its own chunk size, sources as they are, and a cache of every second file; translations of that cache are marked."""
+    sources = fx.sources(spark, sf_dir)
+    chunk_rows = held(segment.chunks(segment.nodes(sources)), "chunks")
+    marked = chunk_rows.withColumn("translated", F.concat(F.lit("旧"), "text"))
+    cached = cache.to_store(cache.file_keys(sources, chunk_rows), marked).where(F.pmod(F.xxhash64("paper_id", "rel_path"), F.lit(2)) == 0)
+    return jobs.translate_corpus(sources, cached, _stand_in)["merged"]
+
+
 @query()
 def chunks_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of at most 100 tokens of every source's nodes."""
@@ -585,13 +597,9 @@ def latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LATEST_SQL)
 def latest_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream of the events, run until its input is used up."""
-    import tempfile
-    import uuid
-
+    """The same from a stream of the events, run until its input is used up; states are saved batch by batch and read back."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-texloom-")
-    name = "progress_" + uuid.uuid4().hex
-    progress.run_to_table(fx.progress_of(stream), name, f"{base}/{name}")
-    return spark.table(name).select(*_PROGRESS)
+    base = f"{shared_dir(spark)}/texloom/progress-{uuid.uuid4().hex}"
+    progress.save_states(fx.progress_of(stream), f"{base}/states", f"{base}/checkpoint")
+    return progress.saved_states(spark.read.parquet(f"{base}/states")).select(*_PROGRESS)

@@ -4,51 +4,94 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from texloom.functions import latex as lx
 from texloom.operators import audit, cache, merge, repair, segment, tasks, terms, translate
+from texloom.plans.held import held
 from texloom.sources import latex as src
+from texloom.streaming import progress
 
 KEY = ["paper_id", "rel_path"]
 
 
 def translate_corpus(
-    sources: DataFrame, cached: DataFrame, factory: Callable[[], translate.Translator], *, max_tokens: int = 1024, pace: translate.Pace = translate.Pace(calls_per_second=0),
-    with_glossary: bool = True, hold: Callable[[DataFrame, str], DataFrame] = lambda df, _: df.persist(),
+    sources: DataFrame, cached: DataFrame, factory: Callable[[], translate.Translator], *, glossaries: DataFrame | None = None, max_tokens: int = 1024,
+    pace: translate.Pace = translate.Pace(calls_per_second=0), with_glossary: bool = True, hold: Callable[[DataFrame, str], DataFrame] = held,
 ) -> dict[str, DataFrame]:
     """Segments, cache join, glossary, translation, repair and merge.
 
-    `hold` fixes what mustn't be computed twice (nodes and paid translations); on a cluster pass one
-    that writes a table. Returns nodes, finished, merged, cache (to store), results, stats.
+    `glossaries` (paper_id, paper_hash, rank, term, target) is the store of glossaries; those of unchanged papers are used again.
+    `hold` fixes what mustn't be computed twice (nodes and paid translations). Returns nodes, finished, merged,
+    cache and glossary (rows to store), results, stats.
     """
     node_rows = hold(segment.nodes(sources), "nodes")
     chunk_rows = hold(segment.chunks(node_rows, max_tokens), "chunks")
-    files = cache.file_keys(sources, chunk_rows)
+    files = hold(cache.file_keys(sources, chunk_rows), "files")
     ready = cache.hits(files, cached).select(*KEY)
     open_files = cache.misses(files, cached)
     todo = chunk_rows.join(open_files.select(*KEY), KEY, "left_semi")
-    prompts = None
+    prompts, fresh = None, None
     if with_glossary:
-        top = hold(terms.top_terms(todo, "paper_id", ["rel_path", "chunk_idx"]), "terms")
-        prompts = terms.glossary_prompts(translate.build_glossary(top, factory, pace=pace))
+        hashes = terms.paper_hashes(sources)
+        stored = None if glossaries is None else glossaries.join(hashes, ["paper_id", "paper_hash"], "left_semi")
+        asked = hashes if stored is None else terms.without_glossary(hashes, stored)
+        top = hold(terms.top_terms(todo.join(asked, "paper_id", "left_semi"), "paper_id", ["rel_path", "chunk_idx"]), "terms")
+        fresh = hold(translate.build_glossary(top, factory, pace=pace).join(asked, "paper_id"), "glossary")
+        every = fresh if stored is None else fresh.unionByName(stored.select(*fresh.columns))
+        prompts = terms.glossary_prompts(every)
     results = hold(translate.translate(todo, factory, prompts=prompts, pace=pace), "results")
     old = cache.cached_chunks(cached.join(ready, KEY, "left_semi"))
     pairs = cache.paired(chunk_rows, old.unionByName(results.select(*KEY, "chunk_idx", "translated")))
-    finished = merge.finished_nodes(node_rows, merge.node_translations(pairs))
+    finished = hold(merge.finished_nodes(node_rows, merge.node_translations(pairs)), "finished")
     main = src.main_file(sources).select(*KEY, F.lit(True).alias("_main"))
     whole = merge.merged_files(finished).join(main, KEY, "left")
     whole = whole.select(*KEY, F.when(F.col("_main"), lx.with_cjk_preamble("merged")).otherwise(F.col("merged")).alias("merged"))
     return {
         "nodes": node_rows, "finished": finished, "merged": whole, "results": results, "stats": merge.segment_stats(finished),
-        "cache": cache.to_store(open_files, results),
+        "cache": cache.to_store(open_files, results), "glossary": fresh,
     }
 
 
-def chunk_pairs(sources: DataFrame, cached: DataFrame, max_tokens: int = 1024) -> tuple[DataFrame, DataFrame]:
+def resume(sources: DataFrame, store: str, factory: Callable[[], translate.Translator], checkpoint: str, **options):
+    """Translate a stream of sources as they come, until it is used up; run it again to go on.
+
+    Every batch skips what the cache below `store` holds, and writes its own part of the cache and of the files that are still
+    open, so a repeated batch overwrites itself. Files of which a chunk failed are open and are tried again with the next batch.
+    """
+    spark = sources.sparkSession
+
+    def saved(kind: str, like: DataFrame, number: int) -> DataFrame:
+        try:
+            rows = spark.read.option("basePath", f"{store}/{kind}").parquet(f"{store}/{kind}").where(F.col("batch") < number)
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return like.limit(0)
+        return rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch") if kind == "open" else rows.drop("batch")
+
+    def step(batch: DataFrame, number: int) -> None:
+        came = held(batch.select(*KEY, "content"), "came")
+        text = lambda name: F.lit("").alias(name)
+        none = came.select(*KEY, text("cache_key"), text("src_hash"), F.array(F.lit("")).alias("chunks")).limit(0)
+        todo = came.unionByName(saved("open", came, number).join(came, KEY, "left_anti")).withColumn("src_hash", lx.content_hash("content"))
+        cached = saved("cache", none, number)
+        done = translate_corpus(todo.drop("src_hash"), cached, factory, **options)
+        done["cache"].write.mode("overwrite").parquet(f"{store}/cache/batch={number}")
+        done["merged"].write.mode("overwrite").parquet(f"{store}/merged/batch={number}")
+        kept = cached.unionByName(spark.read.schema(none.schema).parquet(f"{store}/cache/batch={number}"))
+        todo.join(kept.select(*KEY, "src_hash"), [*KEY, "src_hash"], "left_anti").select(*KEY, "content").write.mode("overwrite").parquet(f"{store}/open/batch={number}")
+
+    return progress.run_batches(sources, step, checkpoint)
+
+
+def chunk_pairs(
+    sources: DataFrame, cached: DataFrame, max_tokens: int = 1024, hold: Callable[[DataFrame, str], DataFrame] = held
+) -> tuple[DataFrame, DataFrame]:
     """(pairs of chunk and cached chunk where the counts agree, stale files)."""
-    chunk_rows = segment.chunks(segment.nodes(sources), max_tokens)
+    chunk_rows = hold(segment.chunks(segment.nodes(sources), max_tokens), "chunks")
     files = cache.file_keys(sources, chunk_rows)
     fit = cached.join(files.select(*KEY, "n_chunks"), KEY).where(F.size("chunks") == F.col("n_chunks"))
     return chunk_rows.join(cache.cached_chunks(fit), [*KEY, "chunk_idx"]), cache.stale(files, cached)
@@ -68,7 +111,7 @@ def revert_on_errors(node_rows: DataFrame, translated: DataFrame, lines: DataFra
 
 
 def repair_rounds(
-    node_rows: DataFrame, translated: DataFrame, compile_: Callable[[DataFrame], DataFrame], *, rounds: int = 32, hold: Callable[[DataFrame, str], DataFrame] = lambda df, _: df.persist()
+    node_rows: DataFrame, translated: DataFrame, compile_: Callable[[DataFrame], DataFrame], *, rounds: int = 32, hold: Callable[[DataFrame, str], DataFrame] = held
 ) -> DataFrame:
     """Merge, let `compile_` make a log table (paper_id, stem, log_text), revert near new error lines, and so on until none is new."""
     lines, merged_rows = None, hold(merge.merged_files(merge.finished_nodes(node_rows, translated)), "merged-0")
@@ -88,9 +131,9 @@ def reconcile_tasks(known: DataFrame, external: DataFrame, artifacts: DataFrame)
     return tasks.reconcile(both, artifacts).withColumn("changed", F.col("changed") | F.col("_new")).drop("_new")
 
 
-def segment_report(sources: DataFrame, max_tokens: int = 1024) -> DataFrame:
+def segment_report(sources: DataFrame, max_tokens: int = 1024, hold: Callable[[DataFrame, str], DataFrame] = held) -> DataFrame:
     """Nodes, translatable nodes and chunks of each file, and how many translatable nodes hold display math."""
-    node_rows = segment.nodes(sources)
+    node_rows = hold(segment.nodes(sources), "nodes")
     counts = node_rows.groupBy(*KEY).agg(
         F.count("*").alias("n_nodes"), F.count_if(~F.col("preserve")).alias("n_translatable"),
         F.count_if(~F.col("preserve") & F.col("text").rlike(r"\$\$|\\\[")).alias("n_display_math"),

@@ -8,9 +8,13 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from texloom.functions import latex as lx
+
 MAX_MEMBER = 64 << 20
 MAX_BUNDLE = 512 << 20
 
@@ -22,18 +26,48 @@ def decoded(content: str | Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+KEPT = ".orig"
+
+
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
-    """(paper_id, rel_path, content) of all `.tex` files below `root`, whose first folders are the papers.
+    """(paper_id, rel_path, content) of all `.tex` files below the absolute path `root`, whose first folders are the papers.
 
-    Files whose path names `paper_cn` are products of earlier runs and left out.
+    Files whose path names `paper_cn` are products of earlier runs and left out. Where a file was replaced by its
+    translation, the original that `write_merged` kept is read.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tex").load(root)
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    inner = F.regexp_extract("path", "/\\Q" + base + "\\E/(.*)$", 1)
-    parts = raw.where(~F.col("path").contains("paper_cn")).select(
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tex,tex" + KEPT + "}").load(root)
+    raw = raw.where(~F.col("path").contains("paper_cn"))
+    kept = F.col("path").endswith(KEPT)
+    replaced = raw.where(kept).select(F.expr(f"left(path, length(path) - {len(KEPT)})").alias("path"))
+    inner = lx.below(F.when(kept, F.expr(f"left(path, length(path) - {len(KEPT)})")).otherwise(F.col("path")), root)
+    return raw.join(replaced, "path", "left_anti").select(
         F.regexp_extract(inner, r"^([^/]*)/", 1).alias("paper_id"), F.regexp_replace(inner, r"^[^/]*/", "").alias("rel_path"), decoded("content").alias("content")
     )
-    return parts.orderBy("paper_id", "rel_path")
+
+
+def write_merged(merged: DataFrame, sources: DataFrame, root: str) -> int:
+    """Write each merged file to its place below `root`, and its source beside it as `….orig` unless that is there already.
+
+    Tasks write their own rows through the file system that `root` names; a repeated task writes the same. Returns the number of files.
+    """
+    rows = merged.select("paper_id", "rel_path", "merged").join(sources.select("paper_id", "rel_path", "content"), ["paper_id", "rel_path"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = f"{top}/{row['paper_id']}/{row['rel_path']}"
+                system.create_dir(path.rsplit("/", 1)[0])
+                todo = [(path, row["merged"])]
+                if system.get_file_info(path + KEPT).type == fs.FileType.NotFound:
+                    todo.insert(0, (path + KEPT, row["content"]))
+                for name, text in todo:
+                    with system.open_output_stream(name + ".part") as out:
+                        out.write((text or "").encode())
+                    system.move(name + ".part", name)
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def main_root(sources: DataFrame) -> DataFrame:

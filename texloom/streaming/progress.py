@@ -41,14 +41,6 @@ def snapshot_then_updates(snapshot: DataFrame, updates: DataFrame) -> DataFrame:
     return snapshot.unionByName(updates.join(ended, "task_id", "left_anti"))
 
 
-def run_to_table(events: DataFrame, table: str, checkpoint: str):
-    """Keep the latest state of every task in memory table `table` until the input is used up."""
-    writer = latest_progress(events).writeStream.outputMode("complete").format("memory").queryName(table)
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
-
-
 def save_states(events: DataFrame, path: str, checkpoint: str):
     """Write changed task states batch by batch, each batch in its own folder: a repeated batch overwrites itself."""
 
@@ -66,8 +58,8 @@ def saved_states(states: DataFrame) -> DataFrame:
     return states.groupBy("task_id").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("task_id", "s.*")
 
 
-def resume(sources: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str):
-    """Feed new sources to `step` (a job that skips what the cache holds); what failed comes again with the next run of the job."""
-    query = sources.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_batches(source: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str):
+    """Feed a stream to `step` (rows, batch number) until it is used up; a batch that broke off comes again with its number."""
+    query = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
