@@ -19,7 +19,8 @@ what is left are the maximal repeated runs, and their lines go.
 Runs of `min_lines` lines count. With `min_chars`, shorter runs whose lines hold that many characters
 together count too, so that repeated passages on one or two lines go and short or blank lines stay.
 
-A very common line is counted before the shuffle; all groups are aggregated, none is collected, and joins
+A document whose whole text an earlier one has is one run; its lines are left out before, so groups of copies don't
+fill every interval. A very common line is counted before the shuffle; all groups are aggregated, none is collected, and joins
 on a group are between a table with one row per group and one that adaptive execution splits.
 
 Defined cases: a null text stays null and counts as one empty line; an empty text is one empty
@@ -110,9 +111,21 @@ def repeat_lengths(levels: list[DataFrame], least: int) -> DataFrame:
     return reduce(DataFrame.unionByName, settled).select(*_SUFFIX, F.col("lo").alias("len"))
 
 
+def whole_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, row, lines, chars of the documents whose whole text an earlier document has."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    lines = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
+    own = docs.select(*_keys(docs, doc_id, text), F.xxhash64(F.lit(8), body).alias("row2"), lines.alias("lines"), (F.length(body) - lines + 1).alias("chars"))
+    same = ["row", "row2", "lines", "chars"]
+    firsts = own.groupBy(*same).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    return own.join(firsts.drop("last"), same).where("doc > first").select("doc", "row", "lines", "chars").distinct()
+
+
 def repeated_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, min_chars: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, row, runs: for each document that repeats earlier lines, its maximal repeated runs (start, stop) in order."""
-    levels = suffix_levels(written(line_ids(docs, doc_id, text), "lines-0"))
+    copies = written(whole_copies(docs, doc_id, text), "lines-copies")
+    fresh = line_ids(docs, doc_id, text).join(copies.select("doc", "row"), ["doc", "row"], "left_anti")
+    levels = suffix_levels(written(fresh, "lines-0"))
     if not levels:
         found = line_ids(docs, doc_id, text).select(*_SUFFIX, F.lit(0).alias("len")).limit(0)
     else:
@@ -124,6 +137,8 @@ def repeated_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, min_chars: int
         spread = short.distinct().withColumn("at", F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1))).join(own, ["doc", "row", "at"])
         long = spread.groupBy(*_SUFFIX, "len").agg(F.sum("own").alias("chars")).where(F.col("chars") >= min_chars).drop("chars")
         found = found.where(F.col("len") >= min_lines).unionByName(long)
+    long_copy = F.col("lines") >= min_lines if min_chars is None else (F.col("lines") >= min_lines) | (F.col("chars") >= min_chars)
+    found = found.unionByName(copies.where(long_copy).select("doc", "row", F.lit(0).alias("pos"), F.col("lines").alias("len")))
     spans = F.array_sort(F.collect_set(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("stop"))))
     # a suffix repeats at least what is left of the run before it, so stops never fall; a run that stops where the one before did is part of it
     further = F.filter("spans", lambda s, i: (i == 0) | (F.get("spans", i - 1)["stop"] < s["stop"]))
