@@ -297,7 +297,8 @@ def brute_lines(rows, size):
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 5])
-def test_line_dedup(spark, empty, size):
+def test_line_dedup(spark, empty, size, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HEAVY", 1)
     rng = random.Random(size)
     rows = [(i, "\n".join(rng.choice("abcd") for _ in range(rng.randint(1, 9)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "\n\n\n\n\n\n\n"), (None, "a\nb\nc\nd\na"), rows[3], (103, "x\n" * (3000 if size == 3 else 200))]

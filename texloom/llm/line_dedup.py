@@ -40,6 +40,8 @@ from texloom.llm.store import written
 
 MIN_LINES = 3
 MIN_CHARS = 20
+HEAVY = 256  # copies of one text in one part of a join
+BROADCAST_ROWS = 400_000
 _LAST = (1 << 63) - 1
 _SUFFIX = ["doc", "row", "pos"]
 
@@ -117,8 +119,14 @@ def whole_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     lines = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
     own = docs.select(*_keys(docs, doc_id, text), F.xxhash64(F.lit(8), body).alias("row2"), lines.alias("lines"), (F.length(body) - lines + 1).alias("chars"))
     same = ["row", "row2", "lines", "chars"]
-    firsts = own.groupBy(*same).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    return own.join(firsts.drop("last"), same).where("doc > first").select("doc", "row", "lines", "chars").distinct()
+    firsts = own.groupBy(*same).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.expr(f"cast(count(*) div {HEAVY} + 1 as int)").alias("fan"))
+    firsts = written(firsts.where("first < last").drop("last"), "lines-firsts")
+    # a text of very many copies is joined in several parts
+    heavy = firsts.where("fan > 1").select(*same, "fan")
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy.hint("merge")
+    salted = own.join(heavy, same, "left").withColumn("salt", F.expr("if(fan is null, 0, cast(pmod(xxhash64(doc), fan) as int))")).drop("fan")
+    parts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
+    return salted.join(parts, [*same, "salt"]).where("doc > first").select("doc", "row", "lines", "chars").distinct()
 
 
 def repeated_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, min_chars: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
