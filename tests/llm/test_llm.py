@@ -601,6 +601,7 @@ def test_field_marginals_equal_enumeration():
 
 def test_classifier_on_held_out_labels(spark, empty):
     df, labels = good_and_bad(spark)
+    df = df.withColumn("_q", F.lit("x")).withColumn("_id", F.lit("y")).withColumn("lines", F.lit(0)).withColumn("score", F.lit(2))
     out = quality_crf.classify(df, labels).collect()
     assert len(out) == df.count() and all(0 <= r.score <= 1 for r in out)
     own = [r for r in out if r.held_out]

@@ -29,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from texloom.llm import textvec as tv
+
 #: Words as the byte-level vocabularies cut them (a fixed value of the file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 200
 TABLE_WORDS = 200_000
 NONE = 1 << 60
+CHUNK = 4 << 20  # bytes of texts whose tokens a task holds at once, or one text
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -185,8 +188,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in tv.chunks(batch, text, CHUNK):
                 ids = pa.array([own.encode(t) for t in part.column(text).to_pylist()], pa.list_(pa.int32()))
                 yield pa.record_batch([*part.columns, ids], names=[*kept, to])
 
@@ -218,8 +220,7 @@ def round_trip_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
         own = codec(path)
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in tv.chunks(batch, "text", CHUNK):
                 n, coded, decoded = [], [], []
                 for t in part.column("text").to_pylist():
                     ids = own.encode(t)
@@ -246,8 +247,7 @@ def coded_corpus(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in tv.chunks(batch, "_text", CHUNK):
                 ids = [own.encode(t) for t in part.column("_text").to_pylist()]
                 digests = [hashlib.sha256(own.decode(i).encode()).hexdigest() for i in ids]
                 columns = [part.column(c) for c in keep]

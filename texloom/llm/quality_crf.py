@@ -6,7 +6,7 @@ their mean, weighted by the lines' bytes, is the document's raw quality; a logis
 calibration fitted on the same training rows turns it into the score.
 
 Training: at most `SAMPLE_DOCS` labelled documents (those whose ids hash lowest, of at most
-`SAMPLE_BYTES` each) come to the driver as feature matrices; each line carries its document's
+`SAMPLE_BYTES` each and `SAMPLE_LINES` lines together) come to the driver as feature matrices; each line carries its document's
 label. Scoring: one pass over all whole texts, without a shuffle.
 
 Defined cases: null and empty texts have one empty line and get its score; labels other than
@@ -21,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from texloom.llm import textvec as tv
 
 SAMPLE_DOCS = 4_000
 SAMPLE_BYTES = 1 << 20
+SAMPLE_LINES = 500_000
 THRESHOLD = 0.7
 _KINDS = {
     "upper": bytes(range(65, 91)), "digit": b"0123456789", "symbol": b"#*$%&<>@^~=+\\{}[]_/", "bar": b"|", "bang": b"!", "stop": b".?", "comma": b",;:",
@@ -180,8 +181,13 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Crf | N
     """A field trained on at most `limit` labelled documents, or None without labels of both kinds."""
     marks = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_q"))
     chosen = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(limit))  # `limit` rows of two numbers
-    rows = docs.join(chosen, docs["doc_id"] == chosen["_id"]).select("_id", "_q", docs["text"].cast("binary").alias("_text"))
-    rows = rows.where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= SAMPLE_BYTES)
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("binary").alias("_text")).join(chosen, "_id")
+    texts = texts.where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= SAMPLE_BYTES)
+    lines = F.size(F.split(F.coalesce(F.col("_text").cast("string"), F.lit("")), "\n", -1))
+    # a row for each of the chosen documents, in the order in which they were chosen, up to SAMPLE_LINES lines together
+    before = F.sum("lines").over(Window.orderBy(F.xxhash64("_id"), "_id"))
+    few = texts.select("_id", lines.alias("lines")).groupBy("_id").agg(F.max("lines").alias("lines")).withColumn("before", before).where(F.col("before") <= SAMPLE_LINES)
+    rows = texts.join(F.broadcast(few.select("_id")), "_id").select("_id", "_q", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
