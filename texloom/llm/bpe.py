@@ -36,7 +36,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONG_WORD = 200
 TABLE_WORDS = 200_000
 NONE = 1 << 60
-CHUNK = 4 << 20  # bytes of texts whose tokens a task holds at once, or one text
+CHUNK = 1 << 19  # bytes of texts whose tokens a task holds at once, or one text
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

@@ -11,6 +11,7 @@ one text at least, so a very long text costs 40 times its own size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +102,16 @@ class Texts:
         return np.searchsorted(self.offsets, positions, side="right") - 1
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give free memory back to the system: idle workers stay, and an executor counts all their pages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def chunks(batch: pa.RecordBatch | pa.Table, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch | pa.Table]:
     """Slices of a batch of `limit` bytes of text, or one row where that is longer."""
     col = batch.column(column)
@@ -112,6 +123,7 @@ def chunks(batch: pa.RecordBatch | pa.Table, column: str, limit: int = CHUNK_BYT
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    release()
 
 
 class Words:
