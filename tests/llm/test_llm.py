@@ -250,10 +250,17 @@ def test_decontamination(spark, docs, empty, slices):
     assert none.where("n_hit > 0 or contaminated").count() == 0
 
 
-def test_decontamination_spans(spark):
-    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    df = spark.createDataFrame([(1, "x Alpha, beta  gamma! y"), (2, "alpha beta"), (3, None)], DOCS)
-    assert {r.doc_id: r.text for r in decontaminate.remove_contaminated(df, bench, spans_only=True).collect()} == {1: "x ! y", 2: "alpha beta", 3: None}
+@pytest.mark.parametrize("slices", [decontaminate.MAX_WINDOWS, 5])
+def test_decontamination_spans(spark, slices):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one two"), (3, None)], "item_id long, text string")
+    texts = [(1, "x Alpha, beta  gamma! y"), (2, "alpha beta"), (3, None), (4, "One Two x alpha beta gamma"), (4, ""), (2, "alpha beta")]
+    df = spark.createDataFrame([(i, t, "k", 7) for i, t in texts], "doc_id long, text string, text_key string, hit_words long")
+    got = decontaminate.remove_contaminated(df, bench, spans_only=True, max_windows=slices)
+    assert got.schema == df.schema
+    want = [(1, "x ! y"), (2, "alpha beta"), (2, "alpha beta"), (3, None), (4, " x "), (4, "")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(i, t, "k", 7) for i, t in want], key=repr)
+    left = decontaminate.remove_contaminated(df, bench, max_windows=slices)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [2, 2, 3, 4]
 
 
 # ---------------------------------------------------------------- BPE

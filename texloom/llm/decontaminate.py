@@ -6,8 +6,9 @@ sorted fingerprints of the benchmark's windows, verifies each hit word by word,
 the words inside. Documents stay where they are: nothing is shuffled.
 
 The set is broadcast only while it holds at most `max_windows` windows. A larger benchmark
-is cut into slices of whole items below that bound, and the documents are scanned once for
-each; hits of the slices are united per document.
+is cut into slices of whole items below that bound, of which the driver holds one at a time,
+and the documents are scanned once for each; hits of the slices are united per document. A
+worker makes the set of a slice once and keeps the latest one for its next tasks.
 
 Defined cases: null and empty texts have no words and no hits; items without words never
 occur; items with a null id take part in marking words, and are named by the empty string in
@@ -19,10 +20,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,12 @@ class WindowSet:
         return hit, items
 
 
+@lru_cache(maxsize=1)
+def window_set(shared: Broadcast, size: int) -> WindowSet:
+    """The set of a slice, made once in each worker."""
+    return WindowSet([i for i, _ in shared.value], [t for _, t in shared.value], size)
+
+
 def benchmark_slices(benchmark: DataFrame, id_col: str, text_col: str, max_windows: int) -> Iterator[list]:
     """The benchmark's items in slices below the bound, one slice at a time on the driver."""
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator()
@@ -101,8 +109,8 @@ def find_hits(
     text_key, the text's MD5 where the benchmark needs several slices and else null, tells rows of one doc_id apart.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    slices = list(benchmark_slices(benchmark, item_id, item_text, max_windows))
-    parts = [_scan(source, items, window, len(slices) > 1) for items in slices]
+    shared = _broadcasts(source, benchmark_slices(benchmark, item_id, item_text, max_windows))
+    parts = [_scan(source, one, window, len(shared) > 1) for one in shared]
     if len(parts) == 1:
         return parts[0]
     every = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "text_key")
@@ -115,12 +123,16 @@ def find_hits(
     )
 
 
-def _scan(source: DataFrame, items: list, window: int, keyed: bool) -> DataFrame:
-    shared = source.sparkSession.sparkContext.broadcast(items)
+def _broadcasts(docs: DataFrame, slices: Iterator[list]) -> list[Broadcast]:
+    """A handle for each slice; the driver drops the items as soon as they are written out."""
+    return [docs.sparkSession.sparkContext.broadcast(items) for items in slices]
+
+
+def _scan(source: DataFrame, shared: Broadcast, window: int, keyed: bool) -> DataFrame:
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key string, n_words long, hit_words array<int>, items array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WindowSet([i for i, _ in shared.value], [t for _, t in shared.value], window)
+        known = window_set(shared, window)
         for batch in batches:
             for part in tv.chunks(batch, "text"):
                 words = tv.Words(tv.Texts(part.column("text")), tv.ALNUM_LOWER)
@@ -164,14 +176,11 @@ def remove_contaminated(
 
     All other columns stay. Rows with equal text are judged alike.
     """
-    slices = list(benchmark_slices(benchmark, "item_id", "text", max_windows))
-    schema = docs.schema
-    shared = docs.sparkSession.sparkContext.broadcast(slices if len(slices) == 1 else None)
-    if len(slices) == 1:
+    shared = _broadcasts(docs, benchmark_slices(benchmark, "item_id", "text", max_windows))
+    if len(shared) == 1:
 
         def run(batches):
-            items = shared.value[0]
-            known = WindowSet([i for i, _ in items], [t for _, t in items], window)
+            known = window_set(shared[0], window)
             for batch in batches:
                 for part in tv.chunks(batch, "text"):
                     texts = tv.Texts(part.column("text"))
@@ -179,17 +188,37 @@ def remove_contaminated(
                     hit, _ = known.scan(words)
                     n = tv.per_row(hit, words.first)
                     if spans_only:
-                        column = pa.array(_cut(texts, words, hit, part.column("text")), pa.string())
-                        yield part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), column)
+                        yield _with_text(part, _cut(texts, words, hit, part.column("text")))
                     else:
                         yield part.filter(pa.array(~((n > 0) & (20 * n >= words.count))))
 
-        return docs.mapInArrow(run, schema)
-    if spans_only:
-        raise ValueError("spans are cut only for a benchmark of one slice; raise max_windows")
-    bad = judged(find_hits(docs, benchmark, window=window, max_windows=max_windows)).where("contaminated")
-    bad = bad.select(F.col("text_key").alias("_bad_key")).distinct()
-    return docs.join(bad, F.md5(F.coalesce("text", F.lit("")).cast("binary")) == bad["_bad_key"], "left_anti")
+        return docs.mapInArrow(run, docs.schema)
+    taken = {c.lower() for c in docs.columns}
+    key, hits = ("_" * (1 + max(map(len, taken))) + c for c in ("key", "hits"))  # longer than any name of theirs
+    found = find_hits(docs, benchmark, window=window, max_windows=max_windows)
+    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    if not spans_only:
+        bad = judged(found).where("contaminated").select(F.col("text_key").alias(key)).distinct()
+        return keyed.join(bad, key, "left_anti").select(*docs.columns)
+    marks = found.where(F.size("hit_words") > 0).groupBy(F.col("text_key").alias(key)).agg(F.first("hit_words").alias(hits))
+    columns = docs.columns
+
+    def cut(batches):
+        for batch in batches:
+            for part in tv.chunks(batch, "text"):
+                texts = tv.Texts(part.column("text"))
+                words = tv.Words(texts, tv.ALNUM_LOWER)
+                hit = np.zeros(len(words.h), bool)
+                for first, at in zip(words.first, part.column(hits).to_pylist(), strict=False):
+                    hit[first + np.array(at or [], np.int64)] = True
+                yield _with_text(part.select(columns), _cut(texts, words, hit, part.column("text")))
+
+    return keyed.join(marks, key, "left").select(*columns, hits).mapInArrow(cut, docs.schema)
+
+
+def _with_text(part: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+    at = part.schema.get_field_index("text")
+    return part.set_column(at, part.schema.field("text"), pa.array(texts, part.schema.field("text").type))
 
 
 def _cut(texts: tv.Texts, words: tv.Words, hit: np.ndarray, column: pa.Array) -> list[str | None]:
