@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texloom.llm import bpe, decontaminate, line_dedup, near_dedup, pii, quality_crf, quality_rules, substring_dedup, url_filter, warc
+from texloom.llm import (
+    bpe, byte_dedup, decontaminate, lexical_search, line_dedup, near_dedup, pii, quality_crf, quality_rules, substring_dedup, url_filter, warc, whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -193,6 +195,59 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = f"""
+with docs as (select row_number() over () as d, doc_id, {_WORDS} as ws from documents
+), items as (select row_number() over () as q, item_id, {_WORDS} as ws from benchmark
+), corpus as (select count(*) as n_docs, sum(len(ws))::bigint as n_terms from docs where len(ws) > 0
+), postings as (select d, term, count(*) as tf from (select d, unnest(ws) as term from docs) group by d, term
+), asked as (select q, term, count(*) as often from (select q, unnest(ws) as term from items) group by q, term
+), weighed as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as w
+  from (select term, count(*) as df from postings where term in (select term from asked) group by term), corpus
+), impacts as (
+  select d, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(ws) * n_docs) // n_terms))) as impact
+  from postings join weighed using (term) join docs using (d), corpus
+), scores as (select q, d, sum(often * impact)::bigint as score from asked join impacts using (term) group by q, d
+), ranked as (
+  select item_id, (row_number() over (partition by q order by score desc, doc_id))::int as rank, doc_id, score
+  from scores join items using (q) join docs using (d) where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 20
+"""
+
+
+def op12_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = byte_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+with docs as (select row_number() over () as d, doc_id, encode(coalesce(text, '')) as b from documents
+), starts as (
+  select d, doc_id, i, b[i:i + 49] as string from (select d, doc_id, b, unnest(generate_series(1, octet_length(b) - 49)) as i from docs where octet_length(b) >= 50)
+), later as (select d, i from (select d, doc_id, i, min(doc_id) over (partition by string) as low from starts) where low < doc_id
+), runs as (
+  select d, min(i) as a, max(i) + 50 as z
+  from (select d, i, sum(fresh) over (partition by d order by i) as run
+        from (select d, i, case when i > lag(i, 1, -50) over (partition by d order by i) + 50 then 1 else 0 end as fresh from later))
+  group by d, run
+), gaps as (
+  select d, lag(z, 1, 1) over w as a, a - 1 as z, z - a as n from runs window w as (partition by d order by a)
+  union all select d.d, coalesce(max(z), 1), max(octet_length(b)), 0 from docs d left join runs r on r.d = d.d group by d.d
+), pieces as (select g.d, g.a, g.n, hex(b[g.a:g.z]) as piece, g.z >= g.a as held from gaps g join docs using (d)
+), kept as (select d, sum(n)::bigint as n_removed, count(*) - 1 as n_spans, coalesce(string_agg(case when held then piece end, '' order by a), '') as rest from pieces group by d)
+select doc_id, octet_length(b)::bigint as n_bytes, n_removed, n_spans, sha256(unhex(rest)) as kept_sha256 from docs join kept using (d)
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
@@ -205,6 +260,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_crf": op10_quality_crf,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_byte_dedup": op12_byte_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -214,4 +272,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup_passages": OP5_PASSAGES_SQL,
     "op6_warc": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_lexical_search": OP11_SQL,
+    "op12_byte_dedup": OP12_SQL,
 }
