@@ -2,6 +2,7 @@
 
 A byte goes if a string of 50 bytes that covers it also starts in a document of smaller id.
 
+0. Copies. Of equal texts (by MD5) only that of smallest id goes on; the others are covered whole.
 1. Anchors. Of the 27 places of 24 bytes inside any 50 bytes, those of smallest fingerprint are anchors. Equal strings
    have equal anchors, so a repeat shows in an anchor that two documents hold. Tasks deal their anchors out by shard, one
    document for each anchor and chunk, and shards tell which recur; what recurs inside a chunk is told at once.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from texloom.llm import textvec as tv
 from texloom.llm.run_index import RunIndex
 from texloom.llm.store import written
-from texloom.llm.substring_dedup import BITS, NULLS, _by_doc, _by_shard, _confirmed, _short, _unpacked
+from texloom.llm.substring_dedup import BROADCAST_ROWS, NULLS, _by_doc, _by_shard, _confirmed, _short, _unpacked
 
 LENGTH = 50
 GRAM = 24
@@ -48,6 +49,7 @@ SHARD_ANCHORS = 3_000_000
 MIN_SHARDS = 32
 INDEX_BYTES = 1 << 19
 HEAVY_BYTES = 5 << 18  # with INDEX_BYTES and terminators below MAX_SYMBOLS
+WIDTH = 4  # bytes of an anchor's fingerprint beside its shard: about one anchor in a thousand is told without need
 KNOWN = 100_000  # contexts that a task remembers
 
 
@@ -82,8 +84,6 @@ def anchors(texts: tv.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _dealt(docs: DataFrame, shards: int) -> DataFrame:
     """The first document of each anchor and chunk by shard, and the documents of anchors that recur inside a chunk (shard < 0)."""
-    width = BITS // 8
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.chunks(batch, "text", CHUNK):
@@ -105,7 +105,7 @@ def _dealt(docs: DataFrame, shards: int) -> DataFrame:
                 new = first.copy()
                 new[1:] |= d[1:] != d[:-1]
                 told = new & (low < high) & (low < NULLS)
-                out = [_by_shard(h[first], d[first], shards, width), _by_doc(h[told], d[told], low[told], max(64, shards), width)]
+                out = [_by_shard(h[first], d[first], shards, WIDTH), _by_doc(h[told], d[told], low[told], max(64, shards), WIDTH)]
                 yield pa.record_batch(
                     [pa.array(np.concatenate([o[0] for o in out]), pa.int32())] + [pa.array(out[0][k] + out[1][k], pa.binary()) for k in (1, 2, 3)],
                     names=["shard", "h", "doc", "n"],
@@ -114,19 +114,19 @@ def _dealt(docs: DataFrame, shards: int) -> DataFrame:
     return docs.mapInArrow(run, "shard int, h binary, doc binary, n binary")
 
 
-#: h and context: a context to judge, found at `a`; without a context: a covered span [a, b).
-_CONTEXTS = "h long, context binary, doc long, tid long, a int, b int"
+#: h and context: a context to judge, found at `a`; without a context: a covered span from `a` to `h`.
+_CONTEXTS = "h long, context binary, doc long, tid int, a int"
 
 
 def _recurring(part: pa.RecordBatch, texts: tv.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The anchors of the texts that are told for their documents."""
     row, place, h = anchors(texts)
-    keys, good = _short(h, BITS // 8), np.zeros(len(h), bool)
+    keys, good = _short(h, WIDTH), np.zeros(len(h), bool)
     edges = np.searchsorted(row, np.arange(part.num_rows + 1))
     for i, known in enumerate(part.column("h").to_pylist()):
         own = slice(edges[i], edges[i + 1])
         if own.start < own.stop:
-            told = np.sort(_unpacked(b"".join(known), BITS // 8))
+            told = np.sort(_unpacked(b"".join(known), WIDTH))
             good[own] = told[np.minimum(np.searchsorted(told, keys[own]), len(told) - 1)] == keys[own]
     return row[good], place[good], h[good]
 
@@ -151,22 +151,22 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         span[1] = b - base
                     else:
                         if open_row >= 0:
-                            out.append((None, None, doc[open_row], tid[open_row], *span))
+                            out.append((span[1], None, doc[open_row], tid[open_row], span[0]))
                         open_row, span = r, [a - base, b - base]
                     continue
                 seen[key, context] = mine
-                out.append((key, context, mine, tid[r], a - base, b - base))
+                out.append((key, context, mine, tid[r], a - base))
             if open_row >= 0:
-                out.append((None, None, doc[open_row], tid[open_row], *span))
+                out.append((span[1], None, doc[open_row], tid[open_row], span[0]))
             if len(seen) > KNOWN:
                 seen.clear()
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "context", "doc", "tid", "a", "b"])
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "context", "doc", "tid", "a"])
 
 
 #: A span [a, b) of a text; or, with a string, one of 50 bytes at `a` that is still to be judged.
-_MARKS = "doc long, tid long, a int, b int, string binary"
+_MARKS = "doc long, tid int, a int, b int, string binary"
 
 
 class _Block:
@@ -230,7 +230,7 @@ def _covered(index: RunIndex, rows: list[tuple[int, bytes, int, int, int]]) -> t
 
 def _marks(found: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*found, strict=True)) if found else [()] * 5
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "tid", "a", "b", "string"])
 
 
@@ -244,11 +244,11 @@ def _judge(heavy_bytes: int):
         block, now, held, heavy = _Block(), None, [], False  # held: rows of the anchor at hand
         for batch in batches:
             for part in tv.chunks(batch, "context", 1 << 18):
-                columns = [part.column(c).to_pylist() for c in ("h", "context", "doc", "tid", "a", "b")]
+                columns = [part.column(c).to_pylist() for c in ("h", "context", "doc", "tid", "a")]
                 passed: list[tuple] = []
-                for h, context, doc, tid, a, b in zip(*columns, strict=True):
+                for h, context, doc, tid, a in zip(*columns, strict=True):
                     if context is None:
-                        passed.append((doc, tid, a, b, None))
+                        passed.append((doc, tid, a, h, None))
                         continue
                     if h != now:
                         if not heavy:
@@ -297,21 +297,29 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         raise TypeError(f"{doc_id} is {kind}; ids must be integers")
     of_null = F.lit(NULLS) + F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 40) - 1))
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), of_null).alias("doc"), F.xxhash64(body).alias("tid"), body.alias("text"))
+    tid = F.xxhash64(body).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")  # tells the texts of one id apart
+    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), of_null).alias("doc"), tid.alias("tid"), body.alias("text"))
     size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(MIN_SHARDS, -(-int(size) // (13 * shard_anchors)))  # an anchor for about 13 bytes
-    told = _dealt(source, shards).groupBy("shard").applyInArrow(_confirmed(BITS // 8), "doc long, h binary, low binary")
+
+    long = source.where(F.octet_length("text") >= LENGTH).select("doc", "tid", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("b"))
+    first = long.groupBy("digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where((F.col("low") < F.col("high")) & (F.col("low") < NULLS))
+    copies = written(long.join(first.hint("merge"), "digest").where("doc > low").select("doc", "tid", F.lit(0).alias("a"), "b").distinct(), "byte-copies")
+    ids = copies.select("doc", "tid")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
+
+    told = _dealt(source.join(ids, ["doc", "tid"], "left_anti"), shards).groupBy("shard").applyInArrow(_confirmed(WIDTH), "doc long, h binary, low binary")
     per_doc = told.groupBy("doc").agg(F.collect_list("h").alias("h"))
-    known = source.join(per_doc.hint("merge"), "doc").select("doc", "tid", "text", "h")
+    known = source.join(per_doc.hint("merge"), "doc").join(ids, ["doc", "tid"], "left_anti").select("doc", "tid", "text", "h")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = known.mapInArrow(contexts, _CONTEXTS)
     # covered spans need no company: they are dealt by document
-    met = found.withColumn("key", F.coalesce("h", F.xxhash64("doc", "a"))).repartition(n, "key").drop("key").sortWithinPartitions("h", "doc")
+    met = found.repartition(n, F.when(F.col("context").isNull(), F.xxhash64("doc", "a")).otherwise(F.col("h"))).sortWithinPartitions("h", "doc")
     marks = written(met.mapInArrow(_judge(heavy_bytes), _MARKS), "byte-marks")
     strings = marks.where("string is not null")
     low = strings.groupBy("string").agg(F.min("doc").alias("low")).where(F.col("low") < NULLS)
     late = strings.join(low.hint("merge"), "string").where("low < doc").select("doc", "tid", "a", "b")
-    spans = marks.where("string is null").select("doc", "tid", "a", "b").unionByName(late)
+    spans = marks.where("string is null").select("doc", "tid", "a", "b").unionByName(late).unionByName(copies)
     per_text = spans.groupBy("doc").agg(F.collect_set(F.struct("tid", "a", "b")).alias("spans"))
     joined = source.join(per_text.hint("merge"), "doc", "left").select("doc", "tid", "text", "spans")
 
