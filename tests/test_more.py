@@ -9,6 +9,7 @@ from texloom.operators import cache, nodes, segment, terms, translate
 from texloom.plans import jobs
 from texloom.plans.held import held
 from texloom.sources import latex as src
+from texloom.sources.chunk_store import ChunkStore
 from texloom.streaming import progress
 
 SCHEMA = "paper_id string, rel_path string, content string"
@@ -85,6 +86,8 @@ def test_resume_tries_open_files_again(spark, tmp_path):
         jobs.resume(stream, str(tmp_path / "store"), factory, str(tmp_path / "check"), pace=FREE, with_glossary=False)
 
     def read(kind):
+        if kind == "cache":
+            return {(r.version, r.rel_path) for r in ChunkStore(spark, str(tmp_path / "store" / "cache")).read().collect()}
         rows = spark.read.parquet(str(tmp_path / "store" / kind))
         return {(r.batch, r.rel_path) for r in rows.collect()}
 

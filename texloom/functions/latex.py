@@ -7,6 +7,7 @@ never stands for "any character but a newline", and `\\b` is only used next to A
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +93,46 @@ def token_estimate(text: str | Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(c(text)) / 3)).cast("long")
 
 
+# ---- running sums over an array ----
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_blocks(values: Column) -> Column:
+    """An array cut into about as many blocks as each has elements, so that arrays grown inside one stay short."""
+
+    def cut(v: Column, n: Column) -> Column:
+        return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / n).cast("int")), lambda b: F.slice(v, b * n + 1, n))).otherwise(F.array(v))
+
+    return let(values, lambda v: let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int")), lambda n: cut(v, n)))
+
+
+def scanned(blocks: Column, zero: Column, total: Callable[[Column], Column], join: Callable[[Column, Column], Column], grown: Callable[[Column, Column], Column]) -> Column:
+    """`grown` of each block with the state before it, where `join` takes a state over a block's `total`: a scan in two levels."""
+
+    def offsets(totals: Column) -> Column:
+        start = F.struct(zero.alias("now"), F.array_remove(F.array(zero), zero).alias("out"))
+        step = lambda a, t: F.struct(join(a["now"], t).alias("now"), F.array_append(a["out"], a["now"]).alias("out"))
+        return F.aggregate(totals, start, step, lambda a: a["out"])
+
+    return let(blocks, lambda bs: F.zip_with(bs, offsets(F.transform(bs, total)), grown))
+
+
+def running_sums(values: Column) -> Column:
+    """For each whole number of an array the sum of those before it."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def grown(block: Column, before: Column) -> Column:
+        step = lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.array_append(a["out"], a["sum"]).alias("out"))
+        return F.aggregate(block, F.struct(before.alias("sum"), none.alias("out")), step, lambda a: a["out"])
+
+    total = lambda block: F.aggregate(block, F.lit(0), lambda a, v: a + v)
+    return F.flatten(scanned(in_blocks(values), F.lit(0), total, lambda a, t: a + t, grown))
+
+
 # ---- checks of segments ----
 
 
@@ -148,17 +189,28 @@ def strip_tags(text: str | Column) -> Column:
 
 
 def drop_blank_in_arguments(text: str | Column) -> Column:
-    """Blank lines go where braces of earlier lines are open (the depth never falls below 0)."""
-    lines = F.split(c(text), "\n", -1)
-    state = F.struct(F.lit(0).alias("depth"), F.expr("cast(array() as array<string>)").alias("kept"))
+    """Blank lines go where braces of earlier lines are open (the depth never falls below 0).
+
+    A block of lines takes a depth d to the larger of d + sum and sum - lowest, where `lowest` is the least of its
+    running sums; these pairs are composed block by block, then each block drops its own lines.
+    """
+    lines = F.transform(F.split(c(text), "\n", -1), lambda x: F.struct(x.alias("text"), brace_balance(x).alias("n")))
+    pair = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("low"))
+
+    def total(block: Column) -> Column:
+        return F.aggregate(block, pair, lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), F.least(a["low"], a["sum"] + x["n"]).alias("low")))
+
+    def kept(block: Column, before: Column) -> Column:
+        state = F.struct(before.alias("depth"), F.expr("cast(array() as array<string>)").alias("kept"))
+
+        def step(a: Column, x: Column) -> Column:
+            skip = (a["depth"] > 0) & x["text"].rlike(r"^(?U:\s*)$")
+            return F.when(skip, a).otherwise(F.struct(F.greatest(F.lit(0), a["depth"] + x["n"]).alias("depth"), F.array_append(a["kept"], x["text"]).alias("kept")))
 
-    def step(a: Column, line: Column) -> Column:
-        skip = line.rlike(r"^(?U:\s*)$") & (a["depth"] > 0)
-        return F.when(skip, a).otherwise(
-            F.struct(F.greatest(F.lit(0), a["depth"] + brace_balance(line)).alias("depth"), F.array_append(a["kept"], line).alias("kept"))
-        )
+        return F.aggregate(block, state, step, lambda a: a["kept"])
 
-    done = F.aggregate(lines, state, step, lambda a: F.array_join(a["kept"], "\n"))
+    after = lambda d, t: F.greatest(d + t["sum"], t["sum"] - t["low"])
+    done = F.array_join(F.flatten(scanned(in_blocks(lines), F.lit(0), total, after, kept)), "\n")
     return F.when(c(text).rlike(r"\n(?U:[\s&&[^\n]]*)(?:\n|$)") & c(text).contains("{"), done).otherwise(c(text))
 
 

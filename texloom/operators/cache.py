@@ -33,6 +33,28 @@ def misses(files: DataFrame, cache: DataFrame) -> DataFrame:
     return files.join(narrow, [*KEY, "src_hash", "n_chunks"], "left_anti")
 
 
+def _age(cache: DataFrame) -> list[str]:
+    """What orders rows of one file: the later one counts."""
+    return [c for c in ("version", "src_hash", "chunks") if c in cache.columns]
+
+
+def fitting(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """The cached row of each file that has its source hash and number of chunks: one, of several the one of the last version.
+
+    A cache may hold many versions of a file; `version` (or, without it, the chunks themselves) orders rows of one hash.
+    """
+    rest = [c for c in cache.columns if c not in (*KEY, "src_hash")]
+    one = cache.groupBy(*KEY, "src_hash").agg(F.max_by(F.struct(*rest), F.struct(*_age(cache))).alias("_row")).select(*KEY, "src_hash", "_row.*")
+    return one.join(files.select(*KEY, "src_hash", F.col("n_chunks").alias("_n")), [*KEY, "src_hash"]).where(F.size("chunks") == F.col("_n")).select(*cache.columns)
+
+
+def comparable(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """The cached row of each file to compare it with: of those with its number of chunks the one of its hash, else the last."""
+    fits = cache.join(files.select(*KEY, F.col("src_hash").alias("_hash"), F.col("n_chunks").alias("_n")), KEY).where(F.size("chunks") == F.col("_n"))
+    best = F.struct((F.col("src_hash") == F.col("_hash")).alias("same"), *_age(cache))
+    return fits.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in cache.columns if c not in KEY]), best).alias("_row")).select(*KEY, "_row.*").select(*cache.columns)
+
+
 def cached_chunks(cache: DataFrame) -> DataFrame:
     """One row (…, chunk_idx, translated) per cached chunk."""
     return cache.select(*KEY, F.posexplode("chunks").alias("chunk_idx", "translated"))
@@ -73,15 +95,21 @@ def read_json(spark: SparkSession, root: str) -> DataFrame:
 
 
 def replaced(cache: DataFrame, new_chunks: DataFrame) -> DataFrame:
-    """The cache with some chunks replaced; a null replacement leaves the old chunk, hashes stay."""
-    change = new_chunks.where("translated is not null").groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("chunk_idx", "translated"))).alias("_new"))
+    """The cache with some chunks replaced; a null replacement leaves the old chunk, hashes stay.
+
+    With a column `src_hash`, replacements are of that version of the file only.
+    """
+    key = [*KEY, "src_hash"] if "src_hash" in new_chunks.columns else KEY
+    change = new_chunks.where("translated is not null").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("chunk_idx", "translated"))).alias("_new"))
     chunks = F.transform("chunks", lambda t, i: F.coalesce(F.try_element_at(F.col("_new"), i), t))
-    joined = cache.join(change, KEY, "left")
-    return joined.withColumn("chunks", F.when(F.col("_new").isNull(), F.col("chunks")).otherwise(chunks)).drop("_new")
+    joined = cache.join(change, key, "left")
+    return joined.withColumn("chunks", F.when(F.col("_new").isNull(), F.col("chunks")).otherwise(chunks)).select(*cache.columns)
 
 
 def stale(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Cached files whose chunk count or source hash no longer fits."""
+    """Cached files whose chunk count or source hash no longer fits; of several versions the last one is looked at."""
+    if "version" in cache.columns:
+        cache = cache.groupBy(*KEY).agg(F.max_by(F.struct("src_hash", "chunks"), F.struct(*_age(cache))).alias("_row")).select(*KEY, "_row.*")
     c = cache.select(*KEY, F.col("src_hash").alias("cached_hash"), F.size("chunks").cast("long").alias("n_cached"))
     return files.join(c, KEY).where((F.col("n_chunks") != F.col("n_cached")) | (F.col("src_hash") != F.col("cached_hash"))).select(
         *KEY, "n_chunks", "n_cached", (F.col("src_hash") != F.col("cached_hash")).alias("hash_differs")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from texloom.functions import latex as lx
 from texloom.operators import audit, cache, merge, repair, segment, tasks, terms, translate
 from texloom.plans.held import held
 from texloom.sources import latex as src
+from texloom.sources.chunk_store import ChunkStore, exists, joined_by_bucket
 from texloom.streaming import progress
 
 KEY = ["paper_id", "rel_path"]
@@ -23,6 +23,7 @@ def translate_corpus(
 ) -> dict[str, DataFrame]:
     """Segments, cache join, glossary, translation, repair and merge.
 
+    `sources` holds each file once. `cached` may hold many versions of a file; the one of the file's hash and number of chunks is used.
     `glossaries` (paper_id, paper_hash, rank, term, target) is the store of glossaries; those of unchanged papers are used again.
     `hold` fixes what mustn't be computed twice (nodes and paid translations). Returns nodes, finished, merged,
     cache and glossary (rows to store), results, stats.
@@ -30,8 +31,8 @@ def translate_corpus(
     node_rows = hold(segment.nodes(sources), "nodes")
     chunk_rows = hold(segment.chunks(node_rows, max_tokens), "chunks")
     files = hold(cache.file_keys(sources, chunk_rows), "files")
-    ready = cache.hits(files, cached).select(*KEY)
-    open_files = cache.misses(files, cached)
+    ready = hold(cache.fitting(files, cached).select(*KEY, "chunks"), "ready")
+    open_files = files.join(ready, KEY, "left_anti")
     todo = chunk_rows.join(open_files.select(*KEY), KEY, "left_semi")
     prompts, fresh = None, None
     if with_glossary:
@@ -43,8 +44,7 @@ def translate_corpus(
         every = fresh if stored is None else fresh.unionByName(stored.select(*fresh.columns))
         prompts = terms.glossary_prompts(every)
     results = hold(translate.translate(todo, factory, prompts=prompts, pace=pace), "results")
-    old = cache.cached_chunks(cached.join(ready, KEY, "left_semi"))
-    pairs = cache.paired(chunk_rows, old.unionByName(results.select(*KEY, "chunk_idx", "translated")))
+    pairs = cache.paired(chunk_rows, cache.cached_chunks(ready).unionByName(results.select(*KEY, "chunk_idx", "translated")))
     finished = hold(merge.finished_nodes(node_rows, merge.node_translations(pairs)), "finished")
     main = src.main_file(sources).select(*KEY, F.lit(True).alias("_main"))
     whole = merge.merged_files(finished).join(main, KEY, "left")
@@ -55,34 +55,39 @@ def translate_corpus(
     }
 
 
-def resume(sources: DataFrame, store: str, factory: Callable[[], translate.Translator], checkpoint: str, **options):
+def last_versions(sources: DataFrame) -> DataFrame:
+    """Each file once: the row of the greatest `version`, where there is such a column, else of the greatest content hash."""
+    own = [c for c in sources.columns if c not in KEY]
+    order = F.struct(*(["version"] if "version" in own else []), lx.content_hash("content"))
+    return sources.groupBy(*KEY).agg(F.max_by(F.struct(*own), order).alias("_row")).select(*KEY, "_row.content")
+
+
+def resume(sources: DataFrame, store: str, factory: Callable[[], translate.Translator], checkpoint: str, *, compact_every: int = 0, **options):
     """Translate a stream of sources as they come, until it is used up; run it again to go on.
 
-    Every batch skips what the cache below `store` holds, and writes its own part of the cache and of the files that are still
-    open, so a repeated batch overwrites itself. Files of which a chunk failed are open and are tried again with the next batch.
+    `store` holds a `ChunkStore`: a batch reads the buckets of its own papers and skips what a version there fits, and writes
+    its own version, so a repeated batch overwrites itself. Of several versions of a file in one batch the last counts (see
+    `last_versions`). Files of which a chunk failed are open and are tried again with the next batch. With `compact_every`,
+    every so many batches only the last version of each file is kept.
     """
-    spark = sources.sparkSession
-
-    def saved(kind: str, like: DataFrame, number: int) -> DataFrame:
-        try:
-            rows = spark.read.option("basePath", f"{store}/{kind}").parquet(f"{store}/{kind}").where(F.col("batch") < number)
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return like.limit(0)
-        return rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch") if kind == "open" else rows.drop("batch")
+    spark, kind = sources.sparkSession, sources.schema["paper_id"].dataType
+    chunks = ChunkStore(spark, f"{store}/cache", kind)
 
     def step(batch: DataFrame, number: int) -> None:
-        came = held(batch.select(*KEY, "content"), "came")
-        text = lambda name: F.lit("").alias(name)
-        none = came.select(*KEY, text("cache_key"), text("src_hash"), F.array(F.lit("")).alias("chunks")).limit(0)
-        todo = came.unionByName(saved("open", came, number).join(came, KEY, "left_anti")).withColumn("src_hash", lx.content_hash("content"))
-        cached = saved("cache", none, number)
-        done = translate_corpus(todo.drop("src_hash"), cached, factory, **options)
-        done["cache"].write.mode("overwrite").parquet(f"{store}/cache/batch={number}")
-        done["merged"].write.mode("overwrite").parquet(f"{store}/merged/batch={number}")
-        kept = cached.unionByName(spark.read.schema(none.schema).parquet(f"{store}/cache/batch={number}"))
-        todo.join(kept.select(*KEY, "src_hash"), [*KEY, "src_hash"], "left_anti").select(*KEY, "content").write.mode("overwrite").parquet(f"{store}/open/batch={number}")
+        session = batch.sparkSession
+        came = held(last_versions(batch), "came")
+        before = f"{store}/open/batch={number - 1}"
+        left = session.read.schema(came.schema).parquet(before) if number and exists(session, before) else came.limit(0)
+        todo = held(came.unionByName(left.join(came, KEY, "left_anti")), "todo")
+        with joined_by_bucket(session):
+            done = translate_corpus(todo, chunks.read(todo, before=number), factory, **options)
+            chunks.put(done["cache"], number)
+            done["merged"].write.mode("overwrite").parquet(f"{store}/merged/batch={number}")
+            hashed = todo.withColumn("src_hash", lx.content_hash("content"))
+            kept = chunks.read(todo, before=number + 1).select(*KEY, "src_hash").distinct()
+            hashed.join(kept, [*KEY, "src_hash"], "left_anti").drop("src_hash").write.mode("overwrite").parquet(f"{store}/open/batch={number}")
+        if compact_every and number % compact_every == compact_every - 1:
+            chunks.compact()
 
     return progress.run_batches(sources, step, checkpoint)
 
@@ -93,14 +98,17 @@ def chunk_pairs(
     """(pairs of chunk and cached chunk where the counts agree, stale files)."""
     chunk_rows = hold(segment.chunks(segment.nodes(sources), max_tokens), "chunks")
     files = cache.file_keys(sources, chunk_rows)
-    fit = cached.join(files.select(*KEY, "n_chunks"), KEY).where(F.size("chunks") == F.col("n_chunks"))
-    return chunk_rows.join(cache.cached_chunks(fit), [*KEY, "chunk_idx"]), cache.stale(files, cached)
+    fit = cache.comparable(files, cached)
+    theirs = fit.select(*KEY, "src_hash", F.posexplode("chunks").alias("chunk_idx", "translated"))
+    return chunk_rows.join(theirs, [*KEY, "chunk_idx"]), cache.stale(files, cached)
 
 
 def retranslate(sources: DataFrame, cached: DataFrame, factory: Callable[[], translate.Translator], pace: translate.Pace = translate.Pace(calls_per_second=0)) -> DataFrame:
     """The cache with the chunks replaced that needed translation and got one."""
     pairs, _ = chunk_pairs(sources, cached)
-    return cache.replaced(cached, translate.translate(audit.targets(pairs), factory, pace=pace))
+    targets = audit.targets(pairs)
+    new = translate.translate(targets, factory, pace=pace)
+    return cache.replaced(cached, new.join(targets.select(*KEY, "chunk_idx", "src_hash"), [*KEY, "chunk_idx"]))
 
 
 def revert_on_errors(node_rows: DataFrame, translated: DataFrame, lines: DataFrame, attempt: int, rel_path: str | None = None) -> tuple[DataFrame, DataFrame]:
