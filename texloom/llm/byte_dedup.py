@@ -9,8 +9,8 @@ A byte goes if a string of 50 bytes that covers it also starts in a document of
 2. Contexts. The bytes around a recurring anchor, 26 before it to 50 after its start, hold every string of 50 bytes
    with it. A task sends a context on once, from its smallest document; later documents of the task with the same
    context are covered then and there. So a passage in a third of all rows is one row for each task.
-3. Run-length indexes. Contexts meet by anchor. The one of smallest document of each anchor goes into a run-length
-   index (see `run_index`), through which all others stream: matching statistics of 50 or more, at a place whose
+3. Run-length indexes. Contexts meet by anchor. One that equals the one of smallest document is covered by it. Where others
+   differ, the first goes into a run-length index (see `run_index`), through which they stream: matching statistics of 50 or more, at a place whose
    earliest holder is a smaller document, mark bytes. Contexts with strings that no first context holds
    are indexed once more, among themselves, and stream through that. An index holds whole anchors and some `INDEX_BYTES`
    of text; an anchor with more than `HEAVY_BYTES` of contexts gives out their strings of 50 bytes instead, whose smallest
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,27 +166,34 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "context", "doc", "tid", "a"])
 
 
-#: A span [a, b) of a text; or, with a string, one of 50 bytes at `a` that is still to be judged.
-_MARKS = "doc long, tid int, a int, b int, string binary"
+#: A span [a, b) of a text, as `a` and `b` in one number; or, with a string, one of 50 bytes at `a` that is still to be judged.
+_MARKS = "doc long, tid int, span long, string binary"
 
 
 class _Block:
     """Contexts of whole anchors: the first of each, and all others."""
 
     def __init__(self):
-        self.firsts: list[tuple[bytes, int]] = []  # of anchors with several contexts
+        self.same: list[tuple] = []  # spans of contexts that equal their anchor's first
+        self.firsts: list[tuple[bytes, int]] = []  # of anchors with other contexts
         self.rows: list[tuple[int, bytes, int, int, int]] = []  # anchor, context, doc, tid, place
         self.bytes = 0
 
     def add(self, rows: list[tuple[int, bytes, int, int, int]]) -> None:
         """The rows of one anchor, by document; one row alone repeats nothing."""
         if len(rows) > 1:
-            self.firsts.append((rows[0][1], rows[0][2]))
-            self.rows += rows[1:]
-            self.bytes += sum(len(r[1]) for r in rows)
+            _, first, low, _, _ = rows[0]
+            others = [r for r in rows if r[1] != first]
+            if low < NULLS:
+                self.same += [(d, t, a, a + len(c), None) for _, c, d, t, a in rows[1:] if d > low and c == first]
+            if others:
+                self.firsts.append((first, low))
+                self.rows += others
+                self.bytes += len(first) + sum(len(r[1]) for r in others)
 
     def judged(self) -> Iterator[tuple]:
         """Spans that earlier documents cover."""
+        yield from self.same
         if not self.rows:
             return
         index = RunIndex([c for c, _ in self.firsts], np.array([d for _, d in self.firsts], np.int64), LENGTH)
@@ -229,9 +237,9 @@ def _covered(index: RunIndex, rows: list[tuple[int, bytes, int, int, int]]) -> t
 
 
 def _marks(found: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) if found else [()] * 5
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "tid", "a", "b", "string"])
+    doc, tid, a, b, string = zip(*found, strict=True) if found else [()] * 5
+    span = (np.array(a, np.int64) << 32) + np.array(b, np.int64)
+    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(tid, pa.int32()), pa.array(span), pa.array(string, pa.binary())], names=["doc", "tid", "span", "string"])
 
 
 def _strings(context: bytes, doc: int, tid: int, at: int) -> Iterator[tuple]:
@@ -276,11 +284,13 @@ def _stripped(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """Bytes, removed bytes, removed runs and the kept bytes of each row."""
     texts = tv.Texts(part.column("text"))
     change = np.zeros(len(texts.bytes) + 1, np.int64)
-    for i, (tid, spans) in enumerate(zip(part.column("tid").to_pylist(), part.column("spans").to_pylist(), strict=True)):
-        mine = [s for s in spans or () if s["tid"] == tid]
-        if mine:
-            np.add.at(change, texts.offsets[i] + np.array([s["a"] for s in mine]), 1)
-            np.add.at(change, texts.offsets[i] + np.array([s["b"] for s in mine]), -1)
+    spans = part.column("spans")
+    row = np.repeat(np.arange(part.num_rows), pc.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False))
+    tid, span = (spans.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    mine = tid == part.column("tid").to_numpy()[row]
+    row, span = row[mine], span[mine]
+    np.add.at(change, texts.offsets[row] + (span >> 32), 1)
+    np.add.at(change, texts.offsets[row] + (span & 0xFFFFFFFF), -1)
     gone = np.cumsum(change[:-1]) > 0
     starts = gone.copy()
     starts[1:] &= ~gone[:-1]
@@ -304,7 +314,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     long = source.where(F.octet_length("text") >= LENGTH).select("doc", "tid", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("b"))
     first = long.groupBy("digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where((F.col("low") < F.col("high")) & (F.col("low") < NULLS))
-    copies = written(long.join(first.hint("merge"), "digest").where("doc > low").select("doc", "tid", F.lit(0).alias("a"), "b").distinct(), "byte-copies")
+    copies = written(long.join(first.hint("merge"), "digest").where("doc > low").select("doc", "tid", F.col("b").cast("long").alias("span")).distinct(), "byte-copies")
     ids = copies.select("doc", "tid")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
 
@@ -318,9 +328,10 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     marks = written(met.mapInArrow(_judge(heavy_bytes), _MARKS), "byte-marks")
     strings = marks.where("string is not null")
     low = strings.groupBy("string").agg(F.min("doc").alias("low")).where(F.col("low") < NULLS)
-    late = strings.join(low.hint("merge"), "string").where("low < doc").select("doc", "tid", "a", "b")
-    spans = marks.where("string is null").select("doc", "tid", "a", "b").unionByName(late).unionByName(copies)
-    per_text = spans.groupBy("doc").agg(F.collect_set(F.struct("tid", "a", "b")).alias("spans"))
+    late = strings.join(low.hint("merge"), "string").where("low < doc").select("doc", "tid", "span")
+    spans = marks.where("string is null").select("doc", "tid", "span").unionByName(late).unionByName(copies)
+    # dealt before they are grouped: narrow rows travel, not lists
+    per_text = spans.repartition(n, "doc").groupBy("doc").agg(F.collect_list(F.struct("tid", "span")).alias("spans"))
     joined = source.join(per_text.hint("merge"), "doc", "left").select("doc", "tid", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
