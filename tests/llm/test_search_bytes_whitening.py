@@ -187,7 +187,7 @@ def test_anchors_of_equal_strings_are_equal():
         column = pa.array(["".join(rng.choice("ab") for _ in range(rng.randint(0, 80))) + string + "b" * rng.randint(0, 9) for _ in range(2)] + ["", "a" * 49])
         row, place, h = byte_dedup.anchors(byte_dedup.tv.Texts(column))
         start = [column[i].as_py().index(string) + byte_dedup.tv.Texts(column).offsets[i] for i in (0, 1)]
-        inside = [{(p - start[i], x) for r, p, x in zip(row.tolist(), place.tolist(), h.tolist(), strict=True) if r == i and 0 <= p - start[i] <= 26} for i in (0, 1)]
+        inside = [{(p - start[i], x) for r, p, x in zip(row.tolist(), place.tolist(), h.tolist(), strict=True) if r == i and 0 <= p - start[i] <= byte_dedup.REACH} for i in (0, 1)]
         assert inside[0] & inside[1]
         assert set(row.tolist()) <= {0, 1}
 

@@ -3,19 +3,20 @@
 A byte goes if a string of 50 bytes that covers it also starts in a document of smaller id.
 
 0. Copies. Of equal texts (by MD5) only that of smallest id goes on; the others are covered whole.
-1. Anchors. Of the 27 places of 24 bytes inside any 50 bytes, those of smallest fingerprint are anchors. Equal strings
+1. Anchors. Of the 35 places of 16 bytes inside any 50 bytes, those of smallest fingerprint are anchors. Equal strings
    have equal anchors, so a repeat shows in an anchor that two documents hold. Tasks deal their anchors out by shard, one
    document for each anchor and chunk, and shards tell which recur; what recurs inside a chunk is told at once.
-2. Contexts. The bytes around a recurring anchor, 26 before it to 50 after its start, hold every string of 50 bytes
+2. Contexts. The bytes around a recurring anchor, 34 before it to 50 after its start, hold every string of 50 bytes
    with it. A task sends a context on once, from its smallest document; later documents of the task with the same
    context are covered then and there. So a passage in a third of all rows is one row for each task.
 3. Run-length indexes. Contexts meet by anchor. One that equals the one of smallest document is covered by it. Where others
    differ, the first goes into a run-length index (see `run_index`), through which they stream: matching statistics of 50 or more, at a place whose
    earliest holder is a smaller document, mark bytes. Contexts with strings that no first context holds
    are indexed once more, among themselves, and stream through that. An index holds whole anchors and some `INDEX_BYTES`
-   of text; an anchor with more than `HEAVY_BYTES` of contexts gives out their strings of 50 bytes instead, whose smallest
-   documents a grouping with partial minima finds, so no task holds more than that.
-4. Marked spans go back to their texts by id.
+   of text; an anchor with more than `HEAVY_BYTES` of contexts gives out their strings of 50 bytes instead, those of later
+   documents only where it hasn't met the string lately, so no task holds more than that.
+4. Strings meet by their bytes, the smallest document first; spans meet by document and are merged. Merged spans go
+   back to their texts by id.
 
 Equal fingerprints only bring contexts together; bytes go by matches in the index alone, or where contexts
 are equal byte by byte. Texts are shuffled once, by id.
@@ -42,7 +43,7 @@ from texloom.llm.store import written
 from texloom.llm.substring_dedup import BROADCAST_ROWS, NULLS, _by_doc, _by_shard, _confirmed, _short, _unpacked
 
 LENGTH = 50
-GRAM = 24
+GRAM = 16
 REACH = LENGTH - GRAM  # bytes before and behind an anchor that a string with it can hold
 CHUNK = 4 << 20
 PIECE = 1 << 18
@@ -51,7 +52,7 @@ MIN_SHARDS = 32
 INDEX_BYTES = 1 << 19
 HEAVY_BYTES = 5 << 18  # with INDEX_BYTES and terminators below MAX_SYMBOLS
 WIDTH = 4  # bytes of an anchor's fingerprint beside its shard: about one anchor in a thousand is told without need
-KNOWN = 100_000  # contexts that a task remembers
+KNOWN = 100_000  # contexts, or strings of one anchor, that a task remembers
 
 
 def _slid(x: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
@@ -242,14 +243,20 @@ def _marks(found: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(doc, pa.int64()), pa.array(tid, pa.int32()), pa.array(span), pa.array(string, pa.binary())], names=["doc", "tid", "span", "string"])
 
 
-def _strings(context: bytes, doc: int, tid: int, at: int) -> Iterator[tuple]:
-    return ((doc, tid, at + k, at + k + LENGTH, context[k : k + LENGTH]) for k in range(len(context) - LENGTH + 1))
+def _strings(context: bytes, doc: int, tid: int, at: int, met: dict[bytes, int]) -> Iterator[tuple]:
+    """The strings of a context, or the span where one was met in a smaller document."""
+    if len(met) > KNOWN:
+        met.clear()
+    for k in range(len(context) - LENGTH + 1):
+        string = context[k : k + LENGTH]
+        low = met.setdefault(string, doc)
+        yield doc, tid, at + k, at + k + LENGTH, None if low < doc and low < NULLS else string
 
 
 def _judge(heavy_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Spans from contexts, which come by anchor, those of one anchor by document."""
-        block, now, held, heavy = _Block(), None, [], False  # held: rows of the anchor at hand
+        block, now, held, heavy, met = _Block(), None, [], False, {}  # held: rows of the anchor at hand
         for batch in batches:
             for part in tv.chunks(batch, "context", 1 << 18):
                 columns = [part.column(c).to_pylist() for c in ("h", "context", "doc", "tid", "a")]
@@ -264,12 +271,12 @@ def _judge(heavy_bytes: int):
                         if block.bytes > INDEX_BYTES:
                             yield _marks(list(block.judged()))
                             block = _Block()
-                        now, held, size, heavy = h, [], 0, False
+                        now, held, size, heavy, met = h, [], 0, False, {}
                     size += len(context)
                     held.append((h, context, doc, tid, a))
                     if heavy or size > heavy_bytes:
                         heavy = True
-                        passed += [s for _, c, d, t, at in held for s in _strings(c, d, t, at)]
+                        passed += [s for _, c, d, t, at in held for s in _strings(c, d, t, at, met)]
                         held = []
                 yield _marks(passed)
         if not heavy:
@@ -280,6 +287,35 @@ def _judge(heavy_bytes: int):
     return run
 
 
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merged spans (doc, tid, span). Marks come by string, those of one string by document; spans come first, by text."""
+    string, low = None, NULLS
+    for batch in batches:
+        spans = batch.filter(pc.is_null(batch.column("string")))
+        if spans.num_rows:
+            doc, tid, span = (spans.column(k).to_numpy() for k in ("doc", "tid", "span"))
+            other = np.ones(len(doc), bool)
+            other[1:] = (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1])
+            text = np.cumsum(other) << 32  # ends of later texts are greater
+            a, b = span >> 32, span & 0xFFFFFFFF
+            reach = np.maximum.accumulate(b + text)
+            new = other.copy()
+            new[1:] |= (a + text)[1:] > reach[:-1]
+            starts = np.flatnonzero(new)
+            ends = np.concatenate([starts[1:], [len(a)]]) - 1
+            merged = (a[starts] << 32) + (reach[ends] - text[ends])
+            yield pa.record_batch([pa.array(doc[starts]), pa.array(tid[starts]), pa.array(merged)], names=["doc", "tid", "span"])
+        late = []
+        for s, d, t, x in zip(*(batch.filter(pc.is_valid(batch.column("string"))).column(k).to_pylist() for k in ("string", "doc", "tid", "span")), strict=True):
+            if s != string:
+                string, low = s, d
+            elif low < d and low < NULLS:
+                late.append((d, t, x))
+        if late:
+            kinds = [pa.int64(), pa.int32(), pa.int64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*late, strict=True), kinds, strict=True)], names=["doc", "tid", "span"])
+
+
 def _stripped(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Bytes, removed bytes, removed runs and the kept bytes of each row."""
     texts = tv.Texts(part.column("text"))
@@ -320,17 +356,16 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     told = _dealt(source.join(ids, ["doc", "tid"], "left_anti"), shards).groupBy("shard").applyInArrow(_confirmed(WIDTH), "doc long, h binary, low binary")
     per_doc = told.groupBy("doc").agg(F.collect_list("h").alias("h"))
-    known = source.join(per_doc.hint("merge"), "doc").join(ids, ["doc", "tid"], "left_anti").select("doc", "tid", "text", "h")
+    known = source.join(per_doc.hint("merge"), "doc").select("doc", "tid", "text", "h")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = known.mapInArrow(contexts, _CONTEXTS)
     # covered spans need no company: they are dealt by document
     met = found.repartition(n, F.when(F.col("context").isNull(), F.xxhash64("doc", "a")).otherwise(F.col("h"))).sortWithinPartitions("h", "doc")
-    marks = written(met.mapInArrow(_judge(heavy_bytes), _MARKS), "byte-marks")
-    strings = marks.where("string is not null")
-    low = strings.groupBy("string").agg(F.min("doc").alias("low")).where(F.col("low") < NULLS)
-    late = strings.join(low.hint("merge"), "string").where("low < doc").select("doc", "tid", "span")
-    spans = marks.where("string is null").select("doc", "tid", "span").unionByName(late).unionByName(copies)
-    # dealt before they are grouped: narrow rows travel, not lists
+    marks = met.mapInArrow(_judge(heavy_bytes), _MARKS)
+    dealt = marks.repartition(n, F.when(F.col("string").isNull(), F.xxhash64("doc")).otherwise(F.xxhash64("string")))
+    found = dealt.sortWithinPartitions("string", "doc", "tid", "span").mapInArrow(settled, "doc long, tid int, span long")
+    spans = found.unionByName(copies)
+    # all in one job, so that texts are shuffled once; spans are dealt before they are grouped: narrow rows travel, not lists
     per_text = spans.repartition(n, "doc").groupBy("doc").agg(F.collect_list(F.struct("tid", "span")).alias("spans"))
     joined = source.join(per_text.hint("merge"), "doc", "left").select("doc", "tid", "text", "spans")
 
