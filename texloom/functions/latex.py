@@ -41,6 +41,13 @@ TRANSLATED_SUFFIX = "_中文"
 STAGES = ["downloading", "splitting", "translating", "merging", "compiling", "bilingual", "done"]
 CJK = r"[\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"
 IDEOGRAPH = r"[\x{4E00}-\x{9FFF}]"
+TITLE_OPENS = r"(?ms)^[^%\n]*?\\title\s*(?:\[[^\]]*\])?\s*\{"
+SIMPLE_MACRO = r"\\newcommand\s*\{?\\([a-zA-Z]+)\}?\s*\{([^{}]*(?:\{[^{}]*\}[^{}]*)*+)\}"
+FORMULA = r"(?s)\$.*?\$"
+PLAIN_TEXT_RULES = [
+    (r"\\(?:thanks|footnote|label)\{[^}]*\}", ""), (r"\\\\(?:\[[^\]]*\])?", " "), (r"\\[a-zA-Z]+\*?", ""),
+    (r"[{}]", ""), (r"\$[^$]*\$", ""), (r"(?U)\s+", " "),
+]
 NUDGE = "上一轮返回为空或未翻译。请严格按规则把下面这段翻译成{lang},直接输出译文,不要解释:\n\n"
 # ----------------------------------------------------------------------------------------------
 
@@ -122,15 +129,15 @@ def scanned(blocks: Column, zero: Column, total: Callable[[Column], Column], joi
 
 
 def running_sums(values: Column) -> Column:
-    """For each whole number of an array the sum of those before it."""
-    none = F.expr("cast(array() as array<int>)")
+    """For each whole number (long) of an array the sum of those before it."""
+    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<long>)")
 
     def grown(block: Column, before: Column) -> Column:
         step = lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.array_append(a["out"], a["sum"]).alias("out"))
         return F.aggregate(block, F.struct(before.alias("sum"), none.alias("out")), step, lambda a: a["out"])
 
-    total = lambda block: F.aggregate(block, F.lit(0), lambda a, v: a + v)
-    return F.flatten(scanned(in_blocks(values), F.lit(0), total, lambda a, t: a + t, grown))
+    total = lambda block: F.aggregate(block, zero, lambda a, v: a + v)
+    return F.flatten(scanned(in_blocks(values), zero, total, lambda a, t: a + t, grown))
 
 
 # ---- checks of segments ----
@@ -220,9 +227,8 @@ def escape_percent(text: str | Column) -> Column:
 
 def escape_scripts(text: str | Column) -> Column:
     """Bare `_` and `^` get a backslash outside of `$…$`."""
-    math = r"(?s)\$.*?\$"
-    outside = F.transform(F.split(c(text), math, -1), lambda x: F.regexp_replace(x, r"(?<!\\)([_^])", r"\\$1"))
-    inside = F.regexp_extract_all(c(text), F.lit(math), F.lit(0))
+    outside = F.transform(F.split(c(text), FORMULA, -1), lambda x: F.regexp_replace(x, r"(?<!\\)([_^])", r"\\$1"))
+    inside = F.regexp_extract_all(c(text), F.lit(FORMULA), F.lit(0))
     return F.array_join(F.zip_with(outside, inside, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
@@ -286,20 +292,13 @@ def collapse_document(text: str | Column) -> Column:
 
 def plain_text(text: str | Column) -> Column:
     """Readable text of a LaTeX string."""
-    rules = [
-        (r"\\(?:thanks|footnote|label)\{[^}]*\}", ""), (r"\\\\(?:\[[^\]]*\])?", " "), (r"\\[a-zA-Z]+\*?", ""),
-        (r"[{}]", ""), (r"\$[^$]*\$", ""), (r"(?U)\s+", " "),
-    ]
-    out = reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, c(text))
+    out = reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), PLAIN_TEXT_RULES, c(text))
     return strip(F.regexp_replace(strip(out), r"^[:：\-—　 ]+", ""))
 
 
-_MACRO = r"\\newcommand\s*\{?\\([a-zA-Z]+)\}?\s*\{([^{}]*(?:\{[^{}]*\}[^{}]*)*+)\}"
-
-
 def simple_macros(content: str | Column) -> Column:
     """Map of argument-free macros to their plain text of 1 to 40 characters; the last definition counts."""
-    names, bodies = (F.regexp_extract_all(c(content), F.lit(_MACRO), F.lit(g)) for g in (1, 2))
+    names, bodies = (F.regexp_extract_all(c(content), F.lit(SIMPLE_MACRO), F.lit(g)) for g in (1, 2))
     pairs = F.filter(F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("n"), plain_text(b).alias("v"))), lambda p: F.length(p["v"]).between(1, 40))
     none = F.expr("cast(array() as array<struct<n:string,v:string>>)")
     last = F.aggregate(pairs, none, lambda a, p: F.array_append(F.filter(a, lambda q: q["n"] != p["n"]), p))
@@ -317,16 +316,46 @@ def expand_macros(text: str | Column, macros: str | Column) -> Column:
     return F.aggregate(F.map_entries(c(macros)), c(text), step)
 
 
-#: Braces nested four deep, escapes skipped: titles in practice.
-_NESTED = reduce(lambda inner, _: r"(?:\\.|[^\\{}]++|\{" + inner + r"\})*+", range(4), r"(?:\\.|[^\\{}]++)*+")
-_TITLE = r"(?ms)^[^%\n]*?\\title\s*(?:\[[^\]]*\])?\s*\{(" + _NESTED + r")\}"
+def rests(text: str | Column, pattern: str) -> Column:
+    """What follows each match of a pattern, up to the end of the text."""
+    before = F.transform(F.split(c(text), pattern, -1), F.length)
+    opens = F.transform(F.regexp_extract_all(c(text), F.lit(pattern), F.lit(0)), F.length)
+    ends = F.zip_with(F.slice(before, 1, F.size(opens)), opens, lambda a, b: (a + b).cast("long"))
+    return let(c(text), lambda t: F.zip_with(running_sums(ends), ends, lambda a, n: F.substring(t, (a + n + 1).cast("int"), F.length(t))))
+
+
+def argument(text: str | Column) -> Column:
+    """The text up to the brace that closes an argument opened before it, at any depth; null where none does.
+
+    Depth runs over the text cut at braces; a backslash takes the next character with it.
+    """
+    pieces = F.regexp_extract_all(c(text), F.lit(r"(?s)[^\\{}]++|\\.|\\$|[{}]"), F.lit(0))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("cut"))
+
+    def step(a: Column, p: Column) -> Column:
+        depth = a["depth"] + F.when(p == "{", 1).when(p == "}", -1).otherwise(0)
+        cut = F.when((a["cut"] < 0) & (depth == 0), a["at"]).otherwise(a["cut"])
+        return F.struct(depth.alias("depth"), (a["at"] + F.length(p)).alias("at"), cut.alias("cut"))
+
+    return F.aggregate(pieces, start, step, lambda a: F.when(a["cut"] >= 0, F.left(c(text), a["cut"])))
 
 
 def title(content: str | Column) -> Column:
-    """Plain text of the first uncommented title that isn't empty, or null."""
-    macros = simple_macros(content)
-    found = F.transform(F.regexp_extract_all(c(content), F.lit(_TITLE), F.lit(1)), lambda raw: plain_text(expand_macros(raw, macros)))
-    return F.get(F.filter(found, lambda t: t != ""), F.lit(0))
+    """Plain text of the first uncommented title that isn't empty, or null; braces may nest to any depth."""
+
+    def first(macros: Column) -> Column:
+        found = F.transform(rests(content, TITLE_OPENS), lambda rest: plain_text(expand_macros(argument(rest), macros)))
+        return F.get(F.filter(found, lambda t: t != ""), F.lit(0))
+
+    return let(simple_macros(content), first)
+
+
+# ---- paths ----
+
+
+def path_parts(path: str | Column) -> Column:
+    """The parts of a path, which order files as folders do: `sec/a.tex` before `sec-x/a.tex`."""
+    return F.split(c(path), "/", -1)
 
 
 def download_name(title_: str | Column, kind: str | Column, file_name: str | Column) -> Column:

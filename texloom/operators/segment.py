@@ -452,20 +452,20 @@ def explode_nodes(df: DataFrame, runs: str = "runs") -> DataFrame:
     Lines are 0-based; a node's last line is the next one's first. All of it comes from the row's
     own array: running sums over a file's runs, no window.
     """
-    breaks = F.transform(runs, lambda r: lx.count_of(r["text"], "\n"))
-    open_ = F.transform(runs, lambda r: F.when(r["preserve"], 0).otherwise(1))
-    marked = df.withColumn("_n", breaks).withColumn("_lines", lx.running_sums(F.col("_n"))).withColumn("_t", lx.running_sums(open_))
-    rows = marked.select("paper_id", "rel_path", F.posexplode(F.arrays_zip(F.col(runs).alias("r"), F.col("_n").alias("n"), F.col("_lines").alias("line"), F.col("_t").alias("t"))).alias("node_idx", "x"))
-    node, at = F.col("x")["r"], F.col("x")
+    # line breaks and translatable runs are summed as one number
+    both = F.transform(runs, lambda r: F.shiftleft(lx.count_of(r["text"], "\n").cast("long"), 32) + F.when(r["preserve"], 0).otherwise(1))
+    marked = df.withColumn("_n", both).withColumn("_sum", lx.running_sums(F.col("_n")))
+    rows = marked.select("paper_id", "rel_path", F.posexplode(F.arrays_zip(F.col(runs).alias("r"), F.col("_n").alias("n"), F.col("_sum").alias("sum"))).alias("node_idx", "x"))
+    node, before, lines = F.col("x")["r"], F.col("x")["sum"], F.shiftright(F.col("x")["sum"], 32).cast("int")
     return rows.select(
         "paper_id",
         "rel_path",
         "node_idx",
         node["text"].alias("text"),
         node["preserve"].alias("preserve"),
-        F.when(~node["preserve"], at["t"]).alias("t_idx"),
-        at["line"].alias("line_start"),
-        (at["line"] + at["n"]).alias("line_end"),
+        F.when(~node["preserve"], before.bitwiseAND(0xFFFFFFFF).cast("int")).alias("t_idx"),
+        lines.alias("line_start"),
+        (lines + F.shiftright(F.col("x")["n"], 32).cast("int")).alias("line_end"),
     )
 
 

@@ -36,12 +36,16 @@ def get(name: str) -> Callable[[], Translator]:
 
 @dataclass(frozen=True)
 class Pace:
-    """Retries of a call and its rate. `calls_per_second` is shared by `tasks` concurrent tasks; 0 is no limit."""
+    """Retries of a call and its rate. `calls_per_second` is shared by `tasks` concurrent tasks; 0 is no limit.
+
+    After a failed call the pause is `pause` seconds, twice as long each time, up to `longest_pause`, whatever the rate.
+    """
 
     retries: int = 5
     calls_per_second: float = 5.0
     tasks: int = 8
     longest_pause: float = 30.0
+    pause: float = 1.0
 
 
 def _called(call: Translator, texts: list[str], prompt: str, pace: Pace, last: list[float]) -> list[str | None]:
@@ -58,7 +62,7 @@ def _called(call: Translator, texts: list[str], prompt: str, pace: Pace, last: l
             return out
         except Exception:
             if attempt + 1 < pace.retries:
-                time.sleep(min(2**attempt + random.random(), pace.longest_pause) if gap else 0)
+                time.sleep(min(pace.pause * (2**attempt + random.random()), pace.longest_pause))
     return [None] * len(texts)
 
 

@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
-import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from texloom.functions import latex as lx
-
-MAX_MEMBER = 64 << 20
-MAX_BUNDLE = 512 << 20
+from texloom.sources.bundles import BundleSource
+from texloom.sources.merged_files import write_committed
 
 
 def decoded(content: str | Column) -> Column:
@@ -48,26 +39,18 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
 def write_merged(merged: DataFrame, sources: DataFrame, root: str) -> int:
     """Write each merged file to its place below `root`, and its source beside it as `….orig` unless that is there already.
 
-    Tasks write their own rows through the file system that `root` names; a repeated task writes the same. Returns the number of files.
+    Files without a merged text (null) stay as they are. See `merged_files` for how files are committed. Returns the number of files.
     """
-    rows = merged.select("paper_id", "rel_path", "merged").join(sources.select("paper_id", "rel_path", "content"), ["paper_id", "rel_path"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, top = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            for row in batch.to_pylist():
-                path = f"{top}/{row['paper_id']}/{row['rel_path']}"
-                system.create_dir(path.rsplit("/", 1)[0])
-                todo = [(path, row["merged"])]
-                if system.get_file_info(path + KEPT).type == fs.FileType.NotFound:
-                    todo.insert(0, (path + KEPT, row["content"]))
-                for name, text in todo:
-                    with system.open_output_stream(name + ".part") as out:
-                        out.write((text or "").encode())
-                    system.move(name + ".part", name)
-            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
-    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    rows = merged.where("merged is not null and paper_id is not null and rel_path is not null").select("paper_id", "rel_path", "merged")
+    both = rows.join(sources.select("paper_id", "rel_path", "content"), ["paper_id", "rel_path"])
+    return write_committed(both.select(F.concat_ws("/", "paper_id", "rel_path").alias("path"), "merged", "content"), root, KEPT)
+
+
+def in_path_order(rows: DataFrame) -> DataFrame:
+    """`rows` (paper_id, rel_path, …) with `file_no`: the place of each file among those of its paper, as folders order them."""
+    files = rows.select("paper_id", "rel_path").distinct()
+    order = Window.partitionBy("paper_id").orderBy(lx.path_parts("rel_path"))
+    return rows.join(files.withColumn("file_no", F.row_number().over(order) - 1), ["paper_id", "rel_path"])
 
 
 def main_root(sources: DataFrame) -> DataFrame:
@@ -88,51 +71,17 @@ def main_root(sources: DataFrame) -> DataFrame:
 
 
 def read_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(sources, rejects) from `.tar.gz`, `.tgz` and `.zip` bundles, unpacked in memory.
+    """(sources, rejects) from `.tar.gz`, `.tgz` and `.zip` bundles, a task for each bundle, members as they come.
 
-    Links, absolute paths and `..` are skipped; members and bundles over the caps, and what can't be
-    read, go to the rejects with a reason.
+    Links, absolute paths and `..` are skipped; members over the cap, and what can't be read, go to the rejects with a reason.
     """
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                yield pd.DataFrame(_members(name, data), columns=["bundle", "rel_path", "content", "reason"])
-
-    members = raw.mapInPandas(run, "bundle string, rel_path string, content binary, reason string")
+    spark.dataSource.register(BundleSource)
+    members = spark.read.format(BundleSource.name()).load(path)
     paper = F.regexp_replace(F.regexp_extract("bundle", r"([^/]*)$", 1), r"(\.tar\.gz|\.tgz|\.zip)$", "")
-    good = members.where("reason is null and rel_path like '%.tex' and not contains(rel_path, 'paper_cn')")
+    good = members.where("reason is null")
     return good.select(paper.alias("paper_id"), "rel_path", decoded("content").alias("content")), members.where("reason is not null").select("bundle", "rel_path", "reason")
 
 
-def _members(name: str, data: bytes) -> list[tuple]:
-    out, total = [], 0
-    try:
-        if name.endswith(".zip"):
-            archive = zipfile.ZipFile(io.BytesIO(data))
-            items = ((i.filename, i.file_size, lambda i=i: archive.read(i)) for i in archive.infolist() if not i.is_dir())
-        elif name.endswith((".tar.gz", ".tgz")):
-            tar = tarfile.open(fileobj=io.BytesIO(data), mode="r:gz")
-            items = ((m.name, m.size, lambda m=m: tar.extractfile(m).read()) for m in tar if m.isfile())
-        else:
-            return [(name, None, None, "not a .tar.gz or .zip file")]
-        for path, size, read in items:
-            parts = path.removeprefix("./").split("/")
-            if path.startswith("/") or ".." in parts:
-                continue
-            total += size
-            if size > MAX_MEMBER or total > MAX_BUNDLE:
-                out.append((name, path, None, "too large"))
-                if total > MAX_BUNDLE:
-                    break
-                continue
-            out.append((name, "/".join(parts), read(), None))
-    except (OSError, EOFError, tarfile.TarError, zipfile.BadZipFile, ValueError, RuntimeError) as e:
-        out.append((name, None, None, f"{type(e).__name__}: {e}"))
-    return out
-
-
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """(stem, log_text) of compile logs; bad bytes are replaced."""
     raw = spark.read.text(path, wholetext=True)
