@@ -43,7 +43,7 @@ from texloom.llm.store import written
 SHINGLE = 5
 COORDINATES = 32
 MISS = 1e-6
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 BLOCK = 512
 BROADCAST_ROWS = 400_000
 FANOUT = 256
