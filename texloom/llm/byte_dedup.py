@@ -3,10 +3,10 @@
 A byte goes if a string of 50 bytes that covers it also starts in a document of smaller id.
 
 0. Copies. Of equal texts (by MD5) only that of smallest id goes on; the others are covered whole.
-1. Anchors. Of the 35 places of 16 bytes inside any 50 bytes, those of smallest fingerprint are anchors. Equal strings
+1. Anchors. Of the 31 places of 20 bytes inside any 50 bytes, those of smallest fingerprint are anchors. Equal strings
    have equal anchors, so a repeat shows in an anchor that two documents hold. Tasks deal their anchors out by shard, one
    document for each anchor and chunk, and shards tell which recur; what recurs inside a chunk is told at once.
-2. Contexts. The bytes around a recurring anchor, 34 before it to 50 after its start, hold every string of 50 bytes
+2. Contexts. The bytes around a recurring anchor, 30 before it to 50 after its start, hold every string of 50 bytes
    with it. A task sends a context on once, from its smallest document; later documents of the task with the same
    context are covered then and there. So a passage in a third of all rows is one row for each task.
 3. Run-length indexes. Contexts meet by anchor. One that equals the one of smallest document is covered by it. Where others
@@ -43,7 +43,7 @@ from texloom.llm.store import written
 from texloom.llm.substring_dedup import BROADCAST_ROWS, NULLS, _by_doc, _by_shard, _confirmed, _short, _unpacked
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 REACH = LENGTH - GRAM  # bytes before and behind an anchor that a string with it can hold
 CHUNK = 4 << 20
 PIECE = 1 << 18
