@@ -37,6 +37,7 @@ from texloom.llm.textvec import mixed
 
 BITS_PER_KEY = 10
 HASHES = 5
+MAX_LEVELS = 64  # each level holds the false positives of the one before, a small share of them; beyond this an error is raised
 MAX_BITS = 1 << 28
 
 
@@ -124,8 +125,10 @@ def build_cascades(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_B
         part = keys.where(F.pmod("h", F.lit(shards)) == s) if shards > 1 else keys
         inside, outside = part.where("own = 1").select("h"), part.where("own = 0").select("h")
         cascade = Cascade()
-        while (size := inside.count()) and len(cascade.levels) < 64:
+        while size := inside.count():
             level = len(cascade.levels)
+            if level == MAX_LEVELS:
+                raise ArithmeticError(f"{size} keys can't be told apart by {MAX_LEVELS} levels")
             cascade.levels.append(_level(inside, level, size))
             inside, outside = written(_filtered(outside, cascade.levels, level), "url-level"), inside
         out.append(cascade)
