@@ -15,7 +15,8 @@ from texloom.plans import fixtures as fx
 from texloom.plans import jobs
 from texloom.plans.held import held, shared_dir
 from texloom.sources import latex as src
-from texloom.streaming import progress
+from texloom.sources.chunk_store import ChunkStore, joined_by_bucket
+from texloom.streaming import progress, task_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,49 +303,80 @@ def stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- segmentation and merge
 
 
-def _clean_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources whose own text holds no math or comment marks, so that SQL can tell the nodes from the template."""
-    s = fx.sources(spark, sf_dir)
-    marked = F.replace(F.replace("content", F.lit("$x_1$"), F.lit("\x01")), F.lit("%"), F.lit("P"))
-    return s.withColumn("content", F.replace(F.replace(marked, F.lit("$"), F.lit("S")), F.lit("\x01"), F.lit("$x_1$")))
-
-
+#: Protected stretches of the sources, found by place: what the template puts around a text, and formulas and comments in
+#: the whole file, by cutting it at their patterns. The texts hold no backslashes and no braces of their own.
+_CUT = """select doc_id, k, {name} as kind, ps[k] as inside, (coalesce(list_sum(list_transform(os[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ps[1:k - 1], lambda x: length(x))), 0))::bigint as a
+  from (select doc_id, ps, os, unnest(generate_series(1, len(ps))) as k from (select doc_id, regexp_extract_all(content, '{pattern}') as ps, string_split_regex(content, '{pattern}') as os from files where contains(content, '{mark}')))"""
 NODES_CTE = (
-    fx.DOCS_SQL
-    + r""", pieces as (
-  select paper_id, rel_path, doc_id, unnest(case when doc_id % 4 = 0 then [
-      {'i': 0, 'p': true, 't': '\documentclass{article}' || nl || '\newcommand{\hl}[1]{\textbf{#1}}' || nl || '\title{'}, {'i': 1, 'p': false, 't': 'Study ' || doc_id || ' of ' || lang},
-      {'i': 2, 'p': true, 't': '}' || nl || '\begin{document}' || nl || '\maketitle' || nl || '\section{'}, {'i': 3, 'p': false, 't': 'Part ' || doc_id}, {'i': 4, 'p': true, 't': '}' || nl},
-      {'i': 5, 'p': false, 't': body}, {'i': 6, 'p': true, 't': ' \cite{k' || doc_id || '} '}, {'i': 7, 'p': false, 't': 'and more'}, {'i': 8, 'p': true, 't': ' $x_1$ '},
-      {'i': 9, 'p': false, 't': 'end'}, {'i': 10, 'p': true, 't': nl || '\end{document}' || nl}]
-    else [{'i': 0, 'p': true, 't': '\section{'}, {'i': 1, 'p': false, 't': 'Part ' || doc_id}, {'i': 2, 'p': true, 't': '}' || nl}, {'i': 3, 'p': false, 't': body || ' \hl{note ' || lang || '} see'},
-      {'i': 4, 'p': true, 't': ' \ref{r' || doc_id || '} '}, {'i': 5, 'p': false, 't': 'again' || nl}] end, recursive := true)
-  from (select *, translate(text, '$%', 'SP') as body from docs)
+    fx.SOURCES_SQL
+    + r""", files as (
+  select *, length(content) as n, doc_id % 4 = 0 as whole, 'Part ' || doc_id as part, 'Study ' || doc_id || ' of ' || (select lang from docs d where d.doc_id = s.doc_id) as study from sources s
+), framed as (
+  select *, case when whole then length('\documentclass{article}') + 1 + length('\newcommand{\hl}[1]{\textbf{#1}}') + 1 + length('\title{') end as at_title,
+    case when whole then strpos(content, '\section{') + 8 else 9 end as at_part from files
+), cuts as (
+  """
+    + _CUT.format(name="'comment'", pattern=r"%[^\n]*", mark="%")
+    + """
+  union all """
+    + _CUT.format(name="'display'", pattern=r"(?s)\$\$.*?\$\$", mark="$$")
+    + """
+  union all """
+    + _CUT.format(name="'formula'", pattern=r"\$(?:\\.|[^$\\])+\$", mark="$")
+    + r"""
+), spans as (
+  select doc_id, a, a + length(inside) as b from cuts
+  union all select doc_id, 0, at_title from framed where whole
+  union all select doc_id, at_title + length(study), at_part from framed where whole
+  union all select doc_id, 0, at_part from framed where not whole
+  union all select doc_id, at_part + length(part), at_part + length(part) + 1 from framed
+  union all select doc_id, n - length('\cite{k' || doc_id || '} and more $x_1$ end' || chr(10) || '\end{document}' || chr(10)),
+    n - length(' and more $x_1$ end' || chr(10) || '\end{document}' || chr(10)) from framed where whole
+  union all select doc_id, n - length('\end{document}' || chr(10)), n from framed where whole
+  union all select doc_id, n - length('\ref{r' || doc_id || '} again' || chr(10)), n - length(' again' || chr(10)) from framed where not whole
+), joined as (
+  select doc_id, min(a) as a, max(b) as b
+  from (select *, sum(fresh) over (partition by doc_id order by a, b) as island
+        from (select *, case when a > coalesce(max(b) over (partition by doc_id order by a, b rows between unbounded preceding and 1 preceding), -1) then 1 else 0 end as fresh from spans where b > a))
+  group by doc_id, island
+), open as (  -- what lies between protected stretches
+  select doc_id, b as a, coalesce(lead(a) over (partition by doc_id order by a), n) as b, n from joined join files using (doc_id)
+  qualify b < coalesce(lead(a) over (partition by doc_id order by a), n)
+  union all select doc_id, 0, min(a), any_value(n) from joined join files using (doc_id) group by doc_id having min(a) > 0
+), words as (
+  select doc_id, o.a, o.b, o.n, substring(content, o.a + 1, o.b - o.a) as t from open o join files using (doc_id)
+), texts as (  -- those with words and even braces, less the white space that goes to protected neighbours
+  select doc_id, a + case when a > 0 then length(t) - length(ltrim(t, ' ' || chr(9) || chr(10))) else 0 end as a,
+    b - case when b < n then length(t) - length(rtrim(t, ' ' || chr(9) || chr(10))) else 0 end as b, n
+  from words where regexp_matches(regexp_replace(t, '\\[a-zA-Z]+|[{}]', ' ', 'g'), '[A-Za-z]{2,}|[一-鿿]') and length(replace(t, '{', '')) = length(replace(t, '}', ''))
+), cut as (
+  select doc_id, a, b, false as p from texts
+  union all select doc_id, b, coalesce(lead(a) over (partition by doc_id order by a), n), true from texts qualify b < coalesce(lead(a) over (partition by doc_id order by a), n)
+  union all select doc_id, 0, coalesce(min(t.a), any_value(f.n)), true from files f left join texts t using (doc_id) group by doc_id having coalesce(min(t.a), any_value(f.n)) > 0
 ), nodes as (
-  select paper_id, rel_path, i as node_idx, t as text, p as preserve, case when not p then count(*) filter (where not p) over w - 1 end as t_idx,
-    coalesce(sum(length(t) - length(replace(t, chr(10), ''))) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as line_start,
-    sum(length(t) - length(replace(t, chr(10), ''))) over w::bigint as line_end,
-    coalesce(sum(length(t)) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as start
-  from pieces window w as (partition by paper_id, rel_path order by i)
+  select paper_id, rel_path, row_number() over w - 1 as node_idx, t as text, p as preserve, case when not p then count(*) filter (where not p) over w - 1 end as t_idx,
+    coalesce(sum(breaks) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as line_start, sum(breaks) over w::bigint as line_end, a::bigint as start
+  from (select paper_id, rel_path, a, p, substring(content, a + 1, b - a) as t, length(substring(content, a + 1, b - a)) - length(replace(substring(content, a + 1, b - a), chr(10), '')) as breaks from cut join files using (doc_id))
+  window w as (partition by paper_id, rel_path order by a)
 )"""
 )
 
 
 @query(f"with {NODES_CTE} select paper_id, rel_path, node_idx, text, preserve, t_idx, line_start, line_end from nodes")
 def nodes_from_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.nodes(_clean_sources(spark, sf_dir))
+    return segment.nodes(fx.sources(spark, sf_dir))
 
 
 @query(f"with {NODES_CTE} select paper_id, rel_path, node_idx, start, length(text) as length, preserve from nodes")
 def node_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.span_table(segment.nodes(_clean_sources(spark, sf_dir)))
+    return segment.span_table(segment.nodes(fx.sources(spark, sf_dir)))
 
 
 @query(
     f"""with {NODES_CTE} select paper_id, count(*) as total, count(*) filter (where not preserve) as translated, count(*) filter (where preserve) as preserved, 0 as reverted from nodes group by paper_id"""
 )
 def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = segment.nodes(_clean_sources(spark, sf_dir)).withColumn("outcome", F.lit("ok"))
+    own = segment.nodes(fx.sources(spark, sf_dir)).withColumn("outcome", F.lit("ok"))
     return merge.segment_stats(own)
 
 
@@ -353,7 +385,7 @@ def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merged_from_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every translatable node translated by its number, repaired and merged."""
-    own = held(segment.nodes(_clean_sources(spark, sf_dir)), "nodes")
+    own = held(segment.nodes(fx.sources(spark, sf_dir)), "nodes")
     done = own.where(~F.col("preserve")).select("paper_id", "rel_path", "t_idx", F.concat(F.lit("译文"), F.col("t_idx").cast("string")).alias("translated"))
     return merge.merged_files(merge.finished_nodes(own, done))
 
@@ -364,14 +396,14 @@ def _stand_in():
 
 @query(
     rf"""with {NODES_CTE}, merged as (
-  select paper_id, rel_path, string_agg(case when preserve then text else '译' || text end, '' order by node_idx) as m from nodes group by paper_id, rel_path)
+  select paper_id, rel_path, string_agg(case when preserve then text else '译' || replace(replace(text, '_', '\_'), '^', '\^') end, '' order by node_idx) as m from nodes group by paper_id, rel_path)
 select paper_id, rel_path, case when rel_path = 'main.tex' then '\documentclass{{article}}' || chr(10) || chr(10) || '% 中文支持' || chr(10) || '\usepackage[UTF8]{{ctex}}' || chr(10)
   || substring(m, length('\documentclass{{article}}') + 1) else m end as merged from merged"""
 )
 def translated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job with a stand-in translator and an empty cache; nodes are not cut into chunks here."""
     none = fx.chunk_cache(spark, sf_dir).limit(0)
-    return jobs.translate_corpus(_clean_sources(spark, sf_dir), none, _stand_in, max_tokens=1 << 20)["merged"]
+    return jobs.translate_corpus(fx.sources(spark, sf_dir), none, _stand_in, max_tokens=1 << 20)["merged"]
 
 
 @query(
@@ -383,7 +415,7 @@ from kept group by paper_id, rel_path"""
 )
 def repair_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One round of reverting main files near their error lines, then merging."""
-    own = held(segment.nodes(_clean_sources(spark, sf_dir)), "nodes")
+    own = held(segment.nodes(fx.sources(spark, sf_dir)), "nodes")
     done = own.where(~F.col("preserve")).select("paper_id", "rel_path", "t_idx", F.concat(F.lit("译文"), F.col("t_idx").cast("string")).alias("translated"))
     lines = repair.error_lines(fx.compile_logs(spark, sf_dir))
     merged, reverted = jobs.revert_on_errors(own, done, lines, 1, "main.tex")
@@ -402,13 +434,68 @@ def glossaries_to_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.without_glossary(hashes, hashes.where("paper_id % 2 = 0"))
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached files in versions: those of `chunk_cache` as version 1, and for every third document the lines as they are, as versions 0
+    (of an old hash) and 2 (of the right one)."""
+    lines = fx.documents(spark, sf_dir).withColumn("k", F.col("doc_id") % 3)
+    key = F.substring(F.md5(F.col("rel_path").cast("binary")), 1, 16).alias("cache_key")
+    of = lambda rows, hash_, mark, version: rows.select(
+        "paper_id", "rel_path", key, hash_.alias("src_hash"), F.transform(F.split("text", "\n", -1), lambda t: F.concat(F.lit(mark), t)).alias("chunks"), F.lit(version).cast("long").alias("version")
+    )
+    right = F.md5(F.col("text").cast("binary"))
+    every = fx.chunk_cache(spark, sf_dir).withColumn("version", F.lit(1).cast("long"))
+    return every.unionByName(of(lines.where("k = 0"), F.lit("f" * 32), "alt", 0)).unionByName(of(lines.where("k = 0"), right, "neu", 2))
+
+
+_VERSIONS = f"""with {fx.CACHE_SQL}, wanted as (
+  select c.paper_id, c.rel_path, c.doc_id, chunk_idx, case when c.doc_id % 3 = 0 then 'neu' || text when c.doc_id % 5 in (3, 4) then k.translated end as translated
+  from chunks c left join cache k using (doc_id, chunk_idx))"""
+
+
+@query(f"{_VERSIONS} select paper_id, rel_path, chunk_idx, translated from wanted where translated is not null")
+def cached_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the version that fits each file, of several versions the last, from a store bucketed by paper."""
+    rows = held(_versions(spark, sf_dir), "versions")
+    store = ChunkStore(spark, f"{shared_dir(spark)}/texloom/store-{uuid.uuid4().hex}", rows.schema["paper_id"].dataType)
+    for version in (2, 0, 1):
+        store.put(rows.where(F.col("version") == version), version)
+    with joined_by_bucket(spark):
+        return held(cache.cached_chunks(cache.fitting(_files(spark, sf_dir), store.read())), "fitting")
+
+
+@query(
+    f"""with {fx.CACHE_SQL}, last as (
+  select paper_id, rel_path, chunk_idx, 'neu' || text as translated from chunks where doc_id % 3 = 0
+  union all select c.paper_id, c.rel_path, c.chunk_idx, k.translated from chunks c join cache k using (doc_id, chunk_idx) where doc_id % 3 <> 0)
+select paper_id, rel_path, chunk_idx, translated from last"""
+)
+def compacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version of every cached file, after the store was compacted to it."""
+    rows = held(_versions(spark, sf_dir), "versions")
+    store = ChunkStore(spark, f"{shared_dir(spark)}/texloom/store-{uuid.uuid4().hex}", rows.schema["paper_id"].dataType)
+    for version in range(3):
+        store.put(rows.where(F.col("version") == version), version)
+    store.compact()
+    return cache.cached_chunks(store.read())
+
+
+@query(f"with {fx.DOCS_SQL} select paper_id, rel_path, row_number() over (partition by paper_id order by string_split(rel_path, '/')) - 1 as file_no from docs")
+def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each file among those of its paper, in the order of folders."""
+    return src.in_path_order(fx.sources(spark, sf_dir)).select("paper_id", "rel_path", "file_no")
+
+
 @query()
 def translated_with_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job with its own chunk size, sources as they are, and a cache of every second file; translations of that cache are marked."""
     sources = fx.sources(spark, sf_dir)
     chunk_rows = held(segment.chunks(segment.nodes(sources)), "chunks")
     marked = chunk_rows.withColumn("translated", F.concat(F.lit("旧"), "text"))
-    cached = cache.to_store(cache.file_keys(sources, chunk_rows), marked).where(F.pmod(F.xxhash64("paper_id", "rel_path"), F.lit(2)) == 0)
+    stored = held(cache.to_store(cache.file_keys(sources, chunk_rows), marked), "stored").withColumn("version", F.lit(1).cast("long"))
+    cached = stored.where(F.pmod(F.xxhash64("paper_id", "rel_path"), F.lit(2)) == 0)
+    # every third file also has a later version of other content
+    other = stored.where(F.pmod(F.xxhash64("paper_id", "rel_path"), F.lit(3)) == 0).withColumn("src_hash", F.lit("f" * 32)).withColumn("version", F.lit(2).cast("long"))
+    cached = cached.unionByName(other.withColumn("chunks", F.transform("chunks", lambda t: F.concat(F.lit("falsch"), t))))
     return jobs.translate_corpus(sources, cached, _stand_in)["merged"]
 
 
@@ -603,3 +690,32 @@ def latest_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/texloom/progress-{uuid.uuid4().hex}"
     progress.save_states(fx.progress_of(stream), f"{base}/states", f"{base}/checkpoint")
     return progress.saved_states(spark.read.parquet(f"{base}/states")).select(*_PROGRESS)
+
+
+@query(
+    """select epoch(time_bucket(interval '10 minutes', ts))::bigint as start, case event_type when 'signup' then 'queued' when 'view' then 'downloading' when 'click' then 'translating' when 'purchase' then 'done' else 'failed' end as stage,
+  count(*) as events from events group by all"""
+)
+def stage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each stage in windows of ten minutes."""
+    return progress.recent_progress(fx.progress(spark, sf_dir)).select(F.unix_timestamp("window.start").alias("start"), "stage", "events")
+
+
+FEED_SQL = """with p as (
+  select user_id::varchar as task_id, event_id as seq, case event_type when 'signup' then 'queued' when 'view' then 'downloading' when 'click' then 'translating' when 'purchase' then 'done' else 'failed' end as stage,
+    case event_type when 'signup' then 0 when 'view' then 1 when 'click' then 3 else 99 end as n from events
+), seen as (
+  select *, coalesce(bool_or(n = 99) over w, false) as ended, coalesce(max(n) over w, 0) as top from p window w as (partition by task_id order by seq rows between unbounded preceding and 1 preceding)
+)
+select task_id, seq, stage, case when ended then 'after end' when n < top then 'backwards' end as reason from seen"""
+
+
+@query(FEED_SQL)
+def task_feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of the stream as an update or rejected with a reason, judged by one stateful query."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    base = f"{shared_dir(spark)}/texloom/feed-{uuid.uuid4().hex}"
+    task_feed.subscribe(fx.progress_of(stream), f"{base}/out", f"{base}/checkpoint", late="3650 days")
+    updates = spark.read.parquet(f"{base}/out/updates").withColumn("reason", F.lit(None).cast("string"))
+    return updates.unionByName(spark.read.parquet(f"{base}/out/rejected")).select("task_id", "seq", "stage", "reason")
