@@ -12,7 +12,7 @@ A byte goes if a string of 50 bytes that covers it also starts in a document of
 3. Run-length indexes. Contexts meet by anchor. One that equals the one of smallest document is covered by it. Where others
    differ, the first goes into a run-length index (see `run_index`), through which they stream: matching statistics of 50 or more, at a place whose
    earliest holder is a smaller document, mark bytes. Contexts with strings that no first context holds
-   are indexed once more, among themselves, and stream through that. An index holds whole anchors and some `INDEX_BYTES`
+   are indexed once more, among themselves; there each knows its own place. An index holds whole anchors and some `INDEX_BYTES`
    of text; an anchor with more than `HEAVY_BYTES` of contexts gives out their strings of 50 bytes instead, those of later
    documents only where it hasn't met the string lately, so no task holds more than that.
 4. Strings meet by their bytes, the smallest document first; spans meet by document and are merged. Merged spans go
@@ -208,25 +208,29 @@ class _Block:
         for _, c, d, _, _ in among:
             low[c] = min(d, low.get(c, d))
         if low:
-            yield from _covered(RunIndex(list(low), np.array(list(low.values()), np.int64), LENGTH), among)[1]
-
-
-def _covered(index: RunIndex, rows: list[tuple[int, bytes, int, int, int]]) -> tuple[list[tuple], list[tuple]]:
-    """Rows of which a string isn't covered, and the spans that earlier documents cover."""
-    number: dict[bytes, int] = {}
-    for r in rows:
-        number.setdefault(r[1], len(number))
-    length, place, ends = index.statistics(list(number))
-    hit = length >= LENGTH
-    earliest = np.full(len(length), NULLS)
-    earliest[hit] = index.earliest(place[hit])
+            yield from _covered(RunIndex(list(low), np.array(list(low.values()), np.int64), LENGTH), among, {c: k for k, c in enumerate(low)})[1]
+
+
+def _covered(index: RunIndex, rows: list[tuple[int, bytes, int, int, int]], held: dict[bytes, int] | None = None) -> tuple[list[tuple], list[tuple]]:
+    """Rows of which a string isn't covered, and the spans that earlier documents cover. `held`: numbers of the rows' contexts in the index."""
+    number: dict[bytes, int] = {} if held is None else held
+    if held is None:
+        for r in rows:
+            number.setdefault(r[1], len(number))
+        length, place, ends = index.statistics(list(number))
+        hit = length >= LENGTH
+        earliest = np.full(len(length), NULLS)
+        earliest[hit] = index.earliest(place[hit])
+    else:
+        ends = index.ends
     begin = np.concatenate([[0], ends[:-1] + 1])
     which = np.array([number[r[1]] for r in rows], np.int64)
     doc, at = np.array([r[2] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
     n = ends[which] - begin[which] - LENGTH + 1  # strings of each row
     own = np.repeat(np.arange(len(rows)), n)
     step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-    low = earliest[begin[which][own] + step]
+    string = begin[which][own] + step
+    low = index.earliest(string) if held is not None else earliest[string]
     good = (low < doc[own]) & (low < NULLS)
     whole = np.bincount(own, ~good, minlength=len(rows)) == 0
     start = good.copy()

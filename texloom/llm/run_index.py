@@ -93,6 +93,7 @@ class RunIndex:
         n = len(symbols)
         if n >= MAX_SYMBOLS:
             raise ValueError(f"{n} symbols in one index; less than {MAX_SYMBOLS} are handled")
+        self.ends = ends
         left = _to_end(ends, n)
         self.words = packed(symbols, left)
         order, classes = suffix_order(self.words, left, width)
@@ -192,8 +193,8 @@ class RunIndex:
                 has_below = (q < len(self.keys)) & (self.symbol[below] == c[miss])
                 has_above = (q > 0) & (self.symbol[above] == c[miss])
                 behind = at[miss] + 1
-                share_below = np.where(has_below, self._shared(words, left, behind, self.top[below]), -1)
-                share_above = np.where(has_above, self._shared(words, left, behind, self.bottom[above]), -1)
+                share = self._shared(words, left, np.concatenate([behind, behind]), np.concatenate([self.top[below], self.bottom[above]]))
+                share_below, share_above = np.where(has_below, share[: len(miss)], -1), np.where(has_above, share[len(miss) :], -1)
                 take = share_below >= share_above
                 best = np.maximum(share_below, share_above)
                 found = best >= 0
