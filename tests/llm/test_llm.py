@@ -7,10 +7,13 @@ import os
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from texloom.llm import bpe, decontaminate, line_dedup, near_dedup, pii, quality_crf, quality_rules, substring_dedup, url_filter, warc
+from texloom.llm import textvec as tv
 
 DOCS = "doc_id long, text string"
 
@@ -250,6 +253,35 @@ def test_decontamination(spark, docs, empty, slices):
     assert none.where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_decontamination_compares_words(monkeypatch):
+    """All windows have one fingerprint here, so only their bytes tell them apart."""
+    monkeypatch.setattr(tv.Words, "spans", lambda self, start, end: np.zeros(len(start), np.uint64))
+    monkeypatch.setattr(decontaminate, "COMPARED", 50)
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["a", "B", "cc", "d\u00e9", "x" * 200]) for _ in range(n))
+    items = [(str(i), text(rng.choice([1, 2, 3, 5, 9]))) for i in range(20)]
+    data, windows = decontaminate._item_windows([t for _, t in items], 3)
+    known = decontaminate.WindowSet([i for i, _ in items], data, windows)
+    docs = [text(n) for n in (0, 1, 2, 3, 8, 30, 100)]
+    texts = tv.Texts(pa.array(docs))
+    words = tv.Words(texts, tv.ALNUM_LOWER)
+    hit, found = known.scan(texts, words)
+    n_hit = tv.per_row(hit, words.first)
+    for i, doc in enumerate(docs):
+        want = brute_hits(doc, items, 3)
+        assert (words.count[i], n_hit[i], len(found.get(i, ())), sha(",".join(sorted(found.get(i, ()))))) == want[:4]
+
+
+def test_decontamination_slices_are_bounded(spark):
+    """A bound smaller than one item cuts it between windows; no window is lost."""
+    items = [(1, " ".join(f"w{i}" for i in range(500))), (2, "short"), (3, " ".join(f"v{i}" for i in range(40)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sets = list(decontaminate.benchmark_slices(bench, "item_id", "text", 13, 100))
+    sizes = [sum(len(d.items) for d in one.by_size) for one in sets]
+    assert max(sizes) <= 100 and sum(sizes) == 488 + 1 + 28
+    assert len(list(decontaminate.benchmark_slices(bench, "item_id", "text", 13, decontaminate.MAX_WINDOWS))) == 1
+
+
 @pytest.mark.parametrize("slices", [decontaminate.MAX_WINDOWS, 5])
 def test_decontamination_spans(spark, slices):
     bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one two"), (3, None)], "item_id long, text string")
