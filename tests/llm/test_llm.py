@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from texloom.llm import bpe, decontaminate, line_dedup, near_dedup, pii, quality_crf, quality_rules, substring_dedup, url_filter, warc
+from texloom.llm import bpe, decontaminate, line_dedup, near_dedup, pii, quality_crf, quality_rules, store, substring_dedup, url_filter, warc
 from texloom.llm import textvec as tv
 
 DOCS = "doc_id long, text string"
@@ -429,6 +429,29 @@ def test_archives_with_repeated_page_ids(spark):
     assert [bytes(r.payload) for r in out if r.page_id == 7 and r.record_type == "response"] == [own.encode()]
 
 
+def test_archives_hold_unique_ids_and_warcinfo(spark):
+    """Ids of any text; every record has its own id, also for equal rows; each file's block becomes a warcinfo record that its records name."""
+    same = "a" * 150
+    ids = ["-", "b c", "b+c", "\u00e9\r\nX: y", "", "7", "7", None, None, "%2D"]
+    pages = spark.createDataFrame([(i, "u", same) for i in ids], "page_id string, url string, html string").repartition(3)
+    arc, out = store.new_path(spark, "arc"), store.new_path(spark, "warc")
+    warc.write_arc(pages, arc)
+    warc.convert(spark, arc, out, id_type="string")
+    got = warc.read_warc(spark, out, id_type="string").collect()
+    assert collections.Counter(r.page_id for r in got) == collections.Counter(ids)
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {(i, "revisit", "") if i else (i, "response", None) for i in ids}
+    files = spark.read.format("binaryFile").load(out).collect()
+    records = [f for r in files for f, _ in warc.parse_warc(bytes(r.content), r.path)]
+    own = [f["WARC-Record-ID"] for f in records]
+    assert len(set(own)) == len(own) == len(ids) + sum(f["WARC-Type"] == "warcinfo" for f in records)
+    infos = {f["WARC-Record-ID"] for f in records if f["WARC-Type"] == "warcinfo"}
+    assert infos and {f["WARC-Warcinfo-ID"] for f in records if f["WARC-Type"] != "warcinfo"} <= infos
+    responses = {f["WARC-Record-ID"] for f in records if f["WARC-Type"] == "response"}
+    assert {f["WARC-Refers-To"] for f in records if f["WARC-Type"] == "revisit"} <= responses
+    again = warc.archive_round_trip(pages, payloads=False)
+    assert again.schema["page_id"].dataType == again.schema["refers_to"].dataType == pages.schema["page_id"].dataType
+
+
 def test_archive_versions_and_damage():
     one = b"filedesc://x 0.0.0.0 20240101000000 text/plain 15\n1 0 o\nURL ... \nhttp://a/ 1.2.3.4 20240101000000 text/html 4\nbo\ny\n"
     assert [(r["URL"], b) for r, b in warc.parse_arc(one)] == [("http://a/", b"bo\ny")]
