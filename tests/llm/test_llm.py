@@ -636,6 +636,92 @@ def test_one_document_that_many_repeat_is_dealt_to_several_automata(spark, monke
     assert {(r.doc_id, r.n_removed, r.kept_text) for r in got} == {(0, 0, rows[0][1])} | {(i, 15, f"x{i} y{i}") for i in range(1, 80)}
 
 
+def brute_repeats(rows):
+    """(doc_id, n_words, n_removed, kept text) of each row, by the contract."""
+    first = {}
+    for i, t in rows:
+        w = blank_words(t)
+        for k in range(len(w) - 12 if i is not None else 0):
+            key = tuple(w[k : k + 13])
+            first[key] = min(i, first.get(key, i))
+    out = collections.Counter()
+    for i, t in rows:
+        w, gone = blank_words(t), set()
+        for k in range(len(w) - 12):
+            f = first.get(tuple(w[k : k + 13]))
+            if f is not None and (i is None or f < i):
+                gone.update(range(k, k + 13))
+        out[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
+    return out
+
+
+def without_repeats(spark, rows, partitions):
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, partitions), DOCS)
+    return collections.Counter(tuple(r) for r in substring_dedup.remove_repeats(df).collect())
+
+
+def shared_passages(seed, n=60):
+    """Texts of overlapping stretches of one passage, so that one text's repeat often lies in pieces in its first document."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            a = rng.randint(0, 40)
+            words += [f"p{k}" for k in range(a, min(60, a + rng.randint(10, 35)))] + [f"z{rng.randint(0, 3)}"] * rng.randint(0, 1)
+        out.append(" ".join(words))
+    return out
+
+
+def test_a_repeat_whole_in_a_later_document_and_in_pieces_in_an_earlier_one(spark):
+    """In one automaton: 8 holds the passage whole, for 10; 7 and 8 repeat the pieces of 5."""
+    p = [f"p{k}" for k in range(20)]
+    rows = [(5, " ".join([*p[:16], "x", *p[4:]])), (7, " ".join(p)), (8, " ".join(p)), (10, " ".join(p))]
+    assert without_repeats(spark, rows, 2) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_of_one_id_lose_their_own_repeats(spark, seed):
+    rows = [(k % 20 if k % 9 else None, t) for k, t in enumerate(shared_passages(seed))]
+    assert without_repeats(spark, rows, 3) == brute_repeats(rows)
+
+
+def test_equal_fingerprints_hide_nothing(spark, monkeypatch):
+    """With fingerprints of 8 bits nearly all windows have a first document of other words, in another automaton."""
+    monkeypatch.setattr(substring_dedup, "BITS", 8)
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 200)
+    rows = [(k * 37 % 60, t) for k, t in enumerate(shared_passages(3))]
+    assert without_repeats(spark, rows, 6) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_words_of_equal_fingerprints_hide_nothing(spark, partitions):
+    """A Thue-Morse word and its complement have one sum modulo 2**64, whatever the base."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    u, v = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    assert len(set(tv.Words(tv.Texts(pa.array([f"{u} {v}"])), tv.SPACE).h.tolist())) == 1
+    rest = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{u} {rest}"), (5, f"{v} {rest}"), (6, f"{u} {rest} {v} {rest}"), (9, f"{v} {rest}"), (None, f"{v} {rest}")]
+    assert without_repeats(spark, rows, partitions) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("null", [False, True])
+def test_ids_of_the_whole_range(spark, null):
+    ids = lambda k: None if null and k % 7 == 0 else (1 << 63) - 1 - k if k % 2 else k - (1 << 63)
+    rows = [(ids(k), t) for k, t in enumerate(shared_passages(5))]
+    assert without_repeats(spark, rows, 3) == brute_repeats(rows)
+
+
+def test_substring_query_on_odd_rows(spark, tmp_path):
+    from texloom.llm import queries
+
+    rows = [(k % 25 - 12, t) for k, t in enumerate(shared_passages(6))] + [(3, None), (4, ""), (4, "\x0b one\u00a0word \x1c"), (1 << 62, " \n")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), DOCS)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.Counter(tuple(r) for r in queries.op9_substring_dedup(spark, str(tmp_path)).collect())
+    assert got == {(i, n, gone, sha(kept)): times for (i, n, gone, kept), times in brute_repeats(rows).items()}
+
+
 # ---------------------------------------------------------------- quality classifier
 
 

@@ -1,28 +1,33 @@
 """Substring dedup: passages that an earlier document holds are removed, word by word.
 
 A window is 13 consecutive words of one document. A word goes if a window that covers it also
-starts, with the same words, in a document of smaller id. Three steps:
+starts, with the same words, in a document of smaller id. Four steps:
 
 1. Recurring windows. Every task fingerprints its documents' windows (48 bits, and a shard by other
    bits), keeps for each fingerprint the smallest document of the task's chunk, and deals these out
    by shard as packed blocks. A shard sorts its block and finds each window's first document. What
-   repeats inside the chunk already is sent on as such and isn't dealt. So a passage in a third of
-   all documents reaches its shard once per chunk, not once per document.
+   repeats inside the chunk already, word for word, is sent on as such and isn't dealt. So a passage in a
+   third of all documents reaches its shard once per chunk, not once per document.
 2. Passages. First documents give out the stretches of text that others seem to repeat, the others
    their runs of such windows, as words; runs of equal words that meet in a chunk are one.
 3. Automata. Passages are dealt out by first document, those of one that many texts repeat with a salt,
    to shards of a few megabytes. Each compiles one Aho-Corasick automaton over the word sequences of its
    passages and streams the first documents through it, which locates every occurrence word by word.
-   Only located passages are removed, wherever they stand; of a passage that isn't found whole each
-   window is sought by itself. So equal fingerprints of different words remove nothing.
+   Only located passages are removed, wherever they stand; of a passage that isn't found whole in a document
+   before each one that repeats it, each window is sought by itself.
+4. Disputed windows. One that its first document doesn't hold has the fingerprint of other words. Such
+   windows meet by their words, and the smallest document among them is their first: whatever documents
+   hold one, the smallest either was found above or is disputed too.
 
-Only narrow rows and repeated passages are shuffled, and texts once, by id: all joins with them share one
+So equal fingerprints of different words remove nothing and hide nothing.
+
+Only narrow rows, repeated passages and disputed windows are shuffled, and texts once, by id: all joins with them share one
 exchange. No task and not the driver holds more than a shard, a chunk or a slice; all numbers of shards
 grow with the corpus.
 
 Defined cases: null and empty texts, and those of fewer than 13 words, lose nothing; rows of
-one doc_id are not earlier than each other; a null doc_id counts as later than every other;
-ids are integers below 2**63 - 2**40; the other columns are ignored, whatever their names.
+one doc_id are not earlier than each other, and each loses its own repeats; a null doc_id counts as later
+than every other; ids are integers; the other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from itertools import compress, count
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from texloom.llm import textvec as tv
@@ -48,7 +53,9 @@ PIECE = 1000  # windows of a run in one passage; longer runs are cut, overlappin
 SHARD_BYTES = 2 << 20  # text of the passages in one automaton, where a quarter of all text repeats; four times as much where all does
 HEAVY_BYTES = 4 << 20  # a first document whose passages are longer is streamed by several shards
 BROADCAST_ROWS = 400_000
-NULLS = (1 << 63) - (1 << 40)  # ids from here on stand for null ids, told apart by their texts
+ROOM = 1 << 40
+NULLS = (1 << 63) - ROOM  # ids from here on stand for null ids, told apart by their texts; a table's own ids there are moved down
+NOWHERE = (1 << 63) - 1
 BITS = 48
 
 
@@ -61,24 +68,29 @@ def _dealt(docs: DataFrame, size: int, shards: int) -> DataFrame:
             for part in tv.chunks(batch, "text", CHUNK):
                 part = part.take(pa.array(np.argsort(part.column("doc").to_numpy(), kind="stable")))
                 doc = part.column("doc").to_numpy()
-                windows = [(rows, h) for piece in tv.chunks(part, "text") for rows, h in [_windows(piece, size)]]
+                windows = [_windows(piece, size) for piece in tv.chunks(part, "text")]
                 base = np.cumsum([0] + [p.num_rows for p in tv.chunks(part, "text")])
-                h = np.concatenate([h for _, h in windows])
-                row = np.concatenate([r + b for (r, _), b in zip(windows, base[:-1], strict=True)])
+                base_word = np.cumsum([0] + [len(spelled) for _, _, _, spelled in windows])
+                h = np.concatenate([w[2] for w in windows])
+                row = np.concatenate([w[0] + b for w, b in zip(windows, base[:-1], strict=True)])
+                at = np.concatenate([w[1] + np.int32(b) for w, b in zip(windows, base_word[:-1], strict=True)])
                 if not len(h):
                     continue
                 order = np.argsort(h, kind="stable")  # rows go by document, so equal windows do too
-                h, d = h[order], doc[row[order]]
+                h, d, at = h[order], doc[row[order]], at[order]
                 first = np.ones(len(h), bool)
                 first[1:] = h[1:] != h[:-1]
-                low = d[np.flatnonzero(first)][np.cumsum(first) - 1]
+                group = np.cumsum(first) - 1
+                low = d[np.flatnonzero(first)][group]
+                mixed = _mixed_groups([w[3] for w in windows], at, first, group, size)
                 new = first.copy()
                 new[1:] |= d[1:] != d[:-1]
                 later = new & (d > low) & (low < NULLS)
                 held = np.zeros(len(h), bool)
                 held[:-1] = first[:-1] & ~first[1:]  # of those, any that others in the chunk repeat
-                told = later | (held & (d < NULLS))
-                out = [_by_shard(h[first], d[first], shards, width), _by_doc(h[told], d[told], low[told], max(64, shards), width)]
+                told = (later | (held & (d < NULLS))) & ~mixed
+                deal = first | (new & mixed)
+                out = [_by_shard(h[deal], d[deal], shards, width), _by_doc(h[told], d[told], low[told], max(64, shards), width)]
                 yield pa.record_batch(
                     [pa.array(np.concatenate([o[0] for o in out]), pa.int32())] + [pa.array(out[0][k] + out[1][k], pa.binary()) for k in (1, 2, 3)],
                     names=["shard", "h", "doc", "n"],
@@ -101,10 +113,27 @@ def _short(h: np.ndarray, width: int) -> np.ndarray:
     return h & np.uint64((1 << 8 * width) - 1)
 
 
-def _windows(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    words = tv.Words(tv.Texts(part.column("text")), tv.SPACE)
+def _windows(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Row, first word and fingerprint of the windows of a slice, and its words as numbers."""
+    texts = tv.Texts(part.column("text"))
+    words = tv.Words(texts, tv.SPACE)
     at, h = words.windows(size)
-    return words.row[at], h
+    ends = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int64)
+    spelled = pa.Array.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(ends), pa.py_buffer(texts.bytes[words.inside])])
+    return words.row[at], at.astype(np.int32), h, spelled.dictionary_encode()
+
+
+def _mixed_groups(spelled: list[pa.DictionaryArray], at: np.ndarray, first: np.ndarray, group: np.ndarray, size: int) -> np.ndarray:
+    """Which windows, in groups of equal fingerprints, are of a group of different words."""
+    again = np.flatnonzero(~first)
+    word = np.concatenate([c.indices.to_numpy() for c in pa.chunked_array(spelled).unify_dictionaries().chunks])
+    a, b = at[again], at[np.flatnonzero(first)][group[again]]
+    same = np.ones(len(again), bool)
+    for k in range(size):
+        same &= word[a + k] == word[b + k]
+    mixed = np.zeros(int(group[-1]) + 1, bool)
+    mixed[group[again[~same]]] = True
+    return mixed[group]
 
 
 def _by_shard(h: np.ndarray, d: np.ndarray, shards: int, width: int) -> tuple:
@@ -172,7 +201,7 @@ def _runs(pos: np.ndarray, low: np.ndarray, piece: int | None) -> tuple[np.ndarr
 
 
 def _passages(part: pa.RecordBatch, size: int, width: int) -> list[tuple]:
-    """(first document, held, digest, words, documents, word positions) of a slice: what first documents hold, and the distinct runs of others."""
+    """(first document, held, digest, words, documents, word positions, marks of rows) of a slice: what first documents hold, and the distinct runs of others."""
     words = tv.Words(tv.Texts(part.column("text")), tv.SPACE)
     data = tv.Texts(part.column("text")).bytes
     at, h = words.windows(size)
@@ -183,32 +212,47 @@ def _passages(part: pa.RecordBatch, size: int, width: int) -> list[tuple]:
     for i in range(part.num_rows):
         fh, fl = _unpacked(b"".join(known[i]), width), np.frombuffer(b"".join(firsts[i]), np.int64)
         own = slice(edges[i], edges[i + 1])
+        mark = None
         for mine in (True, False):
             some = (fl == doc[i]) == mine
             if not some.any() or own.start == own.stop:
                 continue
             order = np.lexsort((fl[some], fh[some]))
             keys, lows = fh[some][order], fl[some][order]
-            spot = np.minimum(np.searchsorted(keys, h[own]), len(keys) - 1)
-            hit = keys[spot] == h[own]
-            if not hit.any():  # repeats of another row of this id
-                continue
-            pos, low = at[own][hit], lows[spot[hit]]
-            for a, b in zip(*(x.tolist() for x in _runs(pos, low, None if mine else PIECE)), strict=True):
-                x, y = int(pos[a]), int(pos[b]) + size
-                text = b" ".join(data[words.start[x] : words.end[y - 1]].tobytes().split())
-                if mine:
-                    held.append((doc[i], True, b"", text, b"", b""))
-                else:
-                    found.setdefault((int(low[a]), text), []).append((doc[i], x - int(words.first[i])))
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (lows[1:] != lows[:-1])
+            keys, lows = keys[new], lows[new]
+            spot = np.searchsorted(keys, h[own])
+            window = np.arange(own.start, own.stop)
+            while True:  # once for each of a window's first documents: several where fingerprints meet, or rows of one id
+                inside = spot < len(keys)
+                window, spot = window[inside], spot[inside]
+                hit = keys[spot] == h[window]
+                window, spot = window[hit], spot[hit]
+                if not len(window):
+                    break
+                pos, low = at[window], lows[spot]
+                for a, b in zip(*(x.tolist() for x in _runs(pos, low, None if mine else PIECE)), strict=True):
+                    x, y = int(pos[a]), int(pos[b]) + size
+                    text = b" ".join(data[words.start[x] : words.end[y - 1]].tobytes().split())
+                    if mine:
+                        held.append((doc[i], True, b"", text, b"", b"", b""))
+                    else:
+                        mark = mark or _mark(part.column("text")[i].as_py())
+                        found.setdefault((int(low[a]), text), []).append((doc[i], x - int(words.first[i]), mark))
+                spot = spot + 1
     out = held
     for (x, text), places in found.items():
-        ids, spots = zip(*places, strict=True)
-        out.append((x, False, hashlib.md5(text).digest(), text, np.array(ids, np.int64).tobytes(), np.array(spots, np.int64).tobytes()))
+        out.append((x, False, hashlib.md5(text).digest(), text, *(np.array(v, np.int64).tobytes() for v in zip(*places, strict=True))))
     return out
 
 
-_PASSAGE = "x long, held boolean, digest binary, words binary, docs binary, spots binary"
+_PASSAGE = "x long, held boolean, digest binary, words binary, docs binary, spots binary, marks binary"
+
+
+def _mark(text: bytes | None) -> int:
+    """Tells rows of one id apart by their texts."""
+    return int.from_bytes(hashlib.md5(text or b"").digest()[:8], "little", signed=True)
 
 
 def _numbered(rows: list[bytes], ids: dict) -> list[tuple[int, ...]]:
@@ -239,64 +283,94 @@ def _located(patterns: list[tuple[int, ...]], streamed: list[tuple[int, tuple[in
     return best
 
 
-def _found_in(passages: list[bytes], held: list[tuple[int, bytes]], size: int) -> list[tuple[int, int, int, int]]:
-    """(passage, first document, from, to): the stretches of passages that the streamed documents hold word for word."""
+def _found_in(passages: list[bytes], held: list[tuple[int, bytes]], size: int, least: list[int] | None = None) -> list[tuple[int, int, int, int]]:
+    """(passage, first document, from, to): the stretches of passages that the streamed documents hold word for word.
+
+    least: the smallest document that repeats each passage; windows are sought where the passage isn't whole in an earlier one.
+    """
     ids: dict = defaultdict(count().__next__)
     patterns = _numbered(passages, ids)
     streamed = list(zip([x for x, _ in held], _numbered([t for _, t in held], ids), strict=True))
     whole = _located(patterns, streamed)
     out = [(k, x, 0, len(patterns[k])) for k, x in whole.items()]
-    rest = [(k, a) for k, p in enumerate(patterns) if k not in whole for a in range(len(p) - size + 1)]
+    done = {k for k, x in whole.items() if least is None or x < least[k]}
+    rest = [(k, a) for k, p in enumerate(patterns) if k not in done for a in range(len(p) - size + 1)]
     for j, x in _located([patterns[k][a : a + size] for k, a in rest], streamed).items():
         k, a = rest[j]
         out.append((k, x, a, a + size))
     return out
 
 
+def _disputed(words: bytes, doc: np.ndarray, spot: np.ndarray, mark: np.ndarray, found: list[tuple[int, int, int]], size: int) -> Iterator[tuple]:
+    """(documents, marks, word positions, words) of a passage's windows that no document before these holds, of those that streamed."""
+    first = np.full(words.count(b" ") + 2 - size, NOWHERE, np.int64)
+    for x, a, b in found:
+        first[a : b - size + 1] = np.minimum(first[a : b - size + 1], x)
+    spelled = None
+    for a in np.flatnonzero(first >= doc.min()).tolist():
+        spelled = spelled or words.split(b" ")
+        some = doc <= first[a]
+        yield doc[some], mark[some], spot[some] + a, b" ".join(spelled[a : a + size])
+
+
 def _places(patterns: dict[bytes, list], held: list[tuple[int, bytes]], size: int) -> pa.RecordBatch:
-    """doc, a, b: word spans of located passages in the documents that repeat them."""
-    entries = list(patterns.values())
-    docs, starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, x, a, b in _found_in([e[0] for e in entries], held, size):
-        doc, spot = (np.frombuffer(b"".join(e), np.int64) for e in entries[k][1:])
+    """doc, mark, a, b: word spans of located passages in the documents that repeat them, and of disputed windows, with their words."""
+    entries = [(words, *(np.frombuffer(b"".join(e), np.int64) for e in columns)) for words, columns in patterns.items()]
+    columns = [[np.zeros(0, np.int64)] for _ in range(4)]
+    spelled: list[bytes | None] = []
+    found = defaultdict(list)
+
+    def tell(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, n: int, words: bytes | None) -> None:
+        for column, values in zip(columns, (doc, mark, start, start + n), strict=True):
+            column.append(values)
+        spelled.extend([words] * len(doc))
+
+    for k, x, a, b in _found_in([e[0] for e in entries], held, size, [int(e[1].min()) for e in entries]):
+        _, doc, spot, mark = entries[k]
+        found[k].append((x, a, b))
         later = doc > x
-        docs.append(doc[later])
-        starts.append(spot[later] + a)
-        ends.append(spot[later] + b)
-    return pa.record_batch([pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(ends), pa.int32())], names=["doc", "a", "b"])
+        tell(doc[later], mark[later], spot[later] + a, b - a, None)
+    for k, entry in enumerate(entries):
+        for doc, mark, start, words in _disputed(*entry, found[k], size):
+            tell(doc, mark, start, size, words)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.record_batch([pa.array(np.concatenate(c), kind) for c, kind in zip(columns, kinds, strict=True)] + [pa.array(spelled, pa.binary())], names=["doc", "mark", "a", "b", "words"])
 
 
 def located_spans(passages: DataFrame, size: int, corpus_bytes: int) -> DataFrame:
-    """doc, a, b: the word spans of documents that an earlier document holds word for word."""
+    """doc, mark, a, b: the word spans of documents that an earlier document holds word for word."""
     shards = max(1, -(-corpus_bytes // (4 * SHARD_BYTES)))
     heavy = passages.where("not held").groupBy("x").agg(F.ceil(F.sum(F.octet_length("words")) / HEAVY_BYTES).cast("int").alias("fan")).where("fan > 1")
     # a heavy first document has HEAVY_BYTES of passages at least, so there are at most so many of them
     heavy = F.broadcast(heavy) if corpus_bytes // HEAVY_BYTES <= BROADCAST_ROWS else heavy.hint("merge")
     salted = passages.join(heavy, "x", "left").withColumn("fan", F.coalesce("fan", F.lit(1)))
     salts = F.when(F.col("held"), F.sequence(F.lit(0), F.col("fan") - 1)).otherwise(F.array(F.expr("cast(pmod(xxhash64(digest), fan) as int)")))
-    dealt = salted.withColumn("salt", F.explode(salts)).withColumn("shard", F.pmod(F.xxhash64("x", "salt"), F.lit(shards))).drop("fan", "salt")
+    dealt = salted.withColumn("salt", F.explode(salts)).withColumn("shard", F.pmod(F.xxhash64("x", "salt"), F.lit(shards))).drop("fan", "salt", "digest")
     n = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, patterns, held = None, {}, []
         for batch in batches:
             for part in tv.chunks(batch, "words"):
-                columns = [part.column(c).to_pylist() for c in ("shard", "held", "x", "digest", "words", "docs", "spots")]
-                for shard, mine, x, digest, words, docs, spots in zip(*columns, strict=True):
+                columns = [part.column(c).to_pylist() for c in ("shard", "held", "x", "words", "docs", "spots", "marks")]
+                for shard, mine, x, words, *places in zip(*columns, strict=True):
                     if shard != now:
-                        if patterns and held:
+                        if patterns:
                             yield _places(patterns, held, size)
                         now, patterns, held = shard, {}, []
                     if mine:
                         held.append((x, words))
                     else:
-                        entry = patterns.setdefault(digest, [words, [], []])
-                        entry[1].append(docs)
-                        entry[2].append(spots)
-        if patterns and held:
+                        for column, value in zip(patterns.setdefault(words, [[], [], []]), places, strict=True):
+                            column.append(value)
+        if patterns:
             yield _places(patterns, held, size)
 
-    return dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "doc long, a int, b int")
+    places = dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "doc long, mark long, a int, b int, words binary")
+    # disputed windows meet by their words; located spans stay as they are, by document
+    meet = Window.partitionBy("words", F.when(F.col("words").isNull(), F.col("doc")))
+    first = F.min("doc").over(meet)
+    return places.withColumn("low", first).where(F.col("words").isNull() | ((F.col("low") < F.col("doc")) & (F.col("low") < NULLS))).drop("words", "low")
 
 
 def _stripped(part: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
@@ -304,9 +378,9 @@ def _stripped(part: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
     words = tv.Words(tv.Texts(part.column("text")), tv.SPACE)
     gone = np.zeros(len(words.h) + 1, np.int64)
     for i, spans in enumerate(part.column("spans").to_pylist()):
-        n, base = int(words.count[i]), int(words.first[i])
+        base, mark = int(words.first[i]), spans and _mark(part.column("text")[i].as_py())
         for s in spans or ():
-            if s["b"] <= n:
+            if s["mark"] == mark:
                 gone[base + s["a"]] += 1
                 gone[base + s["b"]] -= 1
     keep = np.cumsum(gone[:-1]) == 0
@@ -320,9 +394,15 @@ def _stripped(part: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the kept words, one space between them)."""
-    of_null = F.lit(NULLS) + F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 40) - 1))
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), of_null).alias("doc"), F.col(text).cast("binary").alias("text"))
-    size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    of_null = F.lit(NULLS) + F.xxhash64(F.col(text)).bitwiseAND(F.lit(ROOM - 1))
+    own = F.col(doc_id).cast("long")
+    gaps = [NULLS - (k << 59) for k in range(16)]
+    size, *taken = docs.select(F.sum(F.octet_length(text)), *[F.max(own.between(g, g + ROOM - 1)) for g in gaps]).first()
+    size, gap = size or 0, next((g for g, t in zip(gaps, taken, strict=True) if not t), None)
+    if gap is None:
+        raise ValueError(f"ids leave no room of 2**40 at any of {gaps}")
+    moved = own if gap == NULLS else F.when(own >= gap, own - ROOM).otherwise(own)  # ids above the gap close it, so their order stays
+    source = docs.select(F.coalesce(moved, of_null).alias("doc"), F.col(text).cast("binary").alias("text"))
     shards = max(MIN_SHARDS, -(-int(size) // (6 * shard_windows)))  # a word takes about six bytes
     width = BITS // 8
     found = _dealt(source, window, shards).groupBy("shard").applyInArrow(_confirmed(width), "doc long, h binary, low binary")
@@ -331,23 +411,25 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     known = source.join(per_doc.hint("merge"), "doc").select("doc", "text", "h", "low")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 5]
         for batch in batches:
             for part in tv.chunks(batch, "text"):
                 rows = _passages(part, window, width)
-                yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["x", "held", "digest", "words", "docs", "spots"])
+                yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["x", "held", "digest", "words", "docs", "spots", "marks"])
 
     places = located_spans(known.mapInArrow(passages, _PASSAGE), window, int(size))
-    spans = places.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = places.groupBy("doc").agg(F.collect_set(F.struct("mark", "a", "b")).alias("spans"))
     joined = source.join(spans.hint("merge"), "doc", "left").select("doc", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.chunks(batch, "text"):
                 n, removed, kept = _stripped(part)
-                ids = part.column("doc").to_numpy()
+                doc = part.column("doc").to_numpy()
+                none = doc >= NULLS
+                ids = np.where(~none & (doc >= gap), doc + ROOM, doc) if gap < NULLS else doc
                 yield pa.record_batch(
-                    [pa.array(ids, pa.int64(), mask=ids >= NULLS), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())],
+                    [pa.array(ids, pa.int64(), mask=none), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())],
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
