@@ -5,7 +5,7 @@ Validity is decided on narrow rows (path, hash, chunk count); the arrays of chun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texloom.functions import latex as lx
@@ -44,10 +44,20 @@ def fitting(files: DataFrame, cache: DataFrame) -> DataFrame:
     A cache may hold many versions of a file; `version` (or, without it, the chunks themselves) orders rows of one hash.
     """
     rest = [c for c in cache.columns if c not in (*KEY, "src_hash")]
-    one = cache.groupBy(*KEY, "src_hash").agg(F.max_by(F.struct(*rest), F.struct(*_age(cache))).alias("_row")).select(*KEY, "src_hash", "_row.*")
+    one = _last(cache, F.struct(*rest)).select(*KEY, "src_hash", "_row.*")
     return one.join(files.select(*KEY, "src_hash", F.col("n_chunks").alias("_n")), [*KEY, "src_hash"]).where(F.size("chunks") == F.col("_n")).select(*cache.columns)
 
 
+def _last(cache: DataFrame, row: Column) -> DataFrame:
+    return cache.groupBy(*KEY, "src_hash").agg(F.max_by(row, F.struct(*_age(cache))).alias("_row"))
+
+
+def with_cached(file_rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """File rows with `cached`: the chunks of the row that `fitting` finds, or null."""
+    rows = file_rows.join(_last(cache, F.col("chunks")), [*KEY, "src_hash"], "left")
+    return rows.withColumn("cached", F.when(F.size("_row") == F.col("n_chunks"), F.col("_row"))).drop("_row")
+
+
 def comparable(files: DataFrame, cache: DataFrame) -> DataFrame:
     """The cached row of each file to compare it with: of those with its number of chunks the one of its hash, else the last."""
     fits = cache.join(files.select(*KEY, F.col("src_hash").alias("_hash"), F.col("n_chunks").alias("_n")), KEY).where(F.size("chunks") == F.col("_n"))
@@ -75,6 +85,12 @@ def to_store(files: DataFrame, translations: DataFrame) -> DataFrame:
     return files.join(done.where("n_failed = 0"), KEY).select(*KEY, "cache_key", "src_hash", "chunks")
 
 
+def rows_to_store(translated: DataFrame) -> DataFrame:
+    """`to_store` of file rows with `translated`."""
+    done = translated.where((F.size("translated") > 0) & ~F.exists("translated", lambda t: t.isNull()))
+    return done.select(*KEY, lx.cache_key("rel_path").alias("cache_key"), "src_hash", F.col("translated").alias("chunks"))
+
+
 def without(cache: DataFrame, rel_path: str | None = None) -> DataFrame:
     """The cache without one file, or empty."""
     return cache.where(F.col("rel_path") != rel_path) if rel_path is not None else cache.limit(0)

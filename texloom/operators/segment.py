@@ -446,11 +446,11 @@ def with_merged(df: DataFrame, runs: str = "runs") -> DataFrame:
     return df.withColumn("_starts", starts).withColumn(runs, F.transform("_starts", joined)).drop("_full", "_kinds", "_starts")
 
 
-def explode_nodes(df: DataFrame, runs: str = "runs") -> DataFrame:
+def explode_nodes(df: DataFrame, runs: str = "runs", also: list[str] = []) -> DataFrame:
     """Rows (paper_id, rel_path, node_idx, text, preserve, t_idx, line_start, line_end) of cleaned runs.
 
     Lines are 0-based; a node's last line is the next one's first. All of it comes from the row's
-    own array: running sums over a file's runs, no window.
+    own array: running sums over a file's runs, no window. `also` names further fields of the runs.
     """
     # line breaks and translatable runs are summed as one number
     both = F.transform(runs, lambda r: F.shiftleft(lx.count_of(r["text"], "\n").cast("long"), 32) + F.when(r["preserve"], 0).otherwise(1))
@@ -466,13 +466,18 @@ def explode_nodes(df: DataFrame, runs: str = "runs") -> DataFrame:
         F.when(~node["preserve"], before.bitwiseAND(0xFFFFFFFF).cast("int")).alias("t_idx"),
         lines.alias("line_start"),
         (lines + F.shiftright(F.col("x")["n"], 32).cast("int")).alias("line_end"),
+        *[node[c].alias(c) for c in also],
     )
 
 
+def cleaned(sources: DataFrame) -> DataFrame:
+    """`sources` (paper_id, rel_path, content) with `runs` as they become nodes."""
+    return with_merged(segment_runs(sources).withColumn("runs", demoted(F.col("runs"))).withColumn("runs", detached(F.col("runs"))))
+
+
 def nodes(sources: DataFrame) -> DataFrame:
     """The node table of a corpus of sources."""
-    cleaned = segment_runs(sources).withColumn("runs", demoted(F.col("runs"))).withColumn("runs", detached(F.col("runs")))
-    return explode_nodes(with_merged(cleaned))
+    return explode_nodes(cleaned(sources))
 
 
 def span_table(node_rows: DataFrame) -> DataFrame:
@@ -529,6 +534,51 @@ def split_text(text: str, max_tokens: int) -> list[str]:
     return out
 
 
+# ---- whole files in a row: nodes as runs, and the chunks of each as its parts ----
+
+
+def text_of(run: Column) -> Column:
+    return F.array_join(run["parts"], "")
+
+
+def file_rows(sources: DataFrame, max_tokens: int = 1024) -> DataFrame:
+    """(paper_id, rel_path, src_hash, n_chunks, runs) of each source, without a shuffle.
+
+    A run is a node: (parts, preserve, at). Its parts are its chunks, or its whole text where it is preserved; `at` chunks
+    of the file come before it. Only texts over the limit go through Python.
+    """
+
+    @F.pandas_udf("array<array<string>>")
+    def pieces(files: pd.Series) -> pd.Series:
+        return files.map(lambda texts: None if texts is None else [None if t is None else split_text(t, max_tokens) for t in texts])
+
+    pieces = pieces.asNondeterministic()  # else filters on what comes after it are evaluated before it, with all arrays written out for each element
+    long = F.transform("runs", lambda r: F.when(~r["preserve"] & (lx.token_estimate(r["text"]) > max_tokens), r["text"]))
+    parts = F.transform("runs", lambda r, i: F.struct(F.coalesce(F.get("_cut", i), F.array(r["text"])).alias("parts"), r["preserve"].alias("preserve")))
+    own = F.transform("runs", lambda r: F.when(r["preserve"], 0).otherwise(F.size(r["parts"])).cast("long"))
+    rows = cleaned(sources).withColumn("_long", long).withColumn("_cut", pieces(F.when(F.exists("_long", lambda t: t.isNotNull()), F.col("_long"))))
+    rows = rows.withColumn("runs", parts).withColumn("_n", own).withColumn("_at", lx.running_sums(F.col("_n")))
+    placed = F.zip_with("runs", "_at", lambda r, a: F.struct(r["parts"].alias("parts"), r["preserve"].alias("preserve"), a.cast("int").alias("at")))
+    n = F.aggregate("_n", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("paper_id", "rel_path", lx.content_hash("content").alias("src_hash"), n.alias("n_chunks"), placed.alias("runs"))
+
+
+def chunks_of(runs: str = "runs") -> Column:
+    """The chunks of a file row in order."""
+    return F.flatten(F.transform(F.filter(runs, lambda r: ~r["preserve"]), lambda r: r["parts"]))
+
+
+def chunk_rows(rows: DataFrame, *also: str) -> DataFrame:
+    """(paper_id, rel_path, chunk_idx, text, …) of file rows; `also` names arrays by chunk."""
+    both = F.arrays_zip(chunks_of().alias("text"), *map(F.col, also))
+    return rows.select("paper_id", "rel_path", F.posexplode(both).alias("chunk_idx", "x")).select("paper_id", "rel_path", "chunk_idx", "x.text", *[f"x.{a}" for a in also])
+
+
+def with_texts(rows: DataFrame) -> DataFrame:
+    """File rows for `explode_nodes`."""
+    return rows.withColumn("runs", F.transform("runs", lambda r: F.struct(text_of(r).alias("text"), r["preserve"].alias("preserve"))))
+
+
 def chunks(node_rows: DataFrame, max_tokens: int = 1024) -> DataFrame:
     """Rows (paper_id, rel_path, chunk_idx, owner_t_idx, text) of the translatable nodes.
 

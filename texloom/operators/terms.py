@@ -75,8 +75,9 @@ def glossary_prompts(glossary: DataFrame, group: str = "paper_id") -> DataFrame:
 
 
 def paper_hashes(sources: DataFrame) -> DataFrame:
-    """(paper_id, paper_hash): one hash over all sources of a paper, whatever their order."""
-    files = F.array_sort(F.collect_list(F.concat_ws(":", "rel_path", lx.content_hash("content"))))
+    """(paper_id, paper_hash): one hash over all sources of a paper, whatever their order; `src_hash`, where it is there, spares their texts."""
+    own = F.col("src_hash") if "src_hash" in sources.columns else lx.content_hash("content")
+    files = F.array_sort(F.collect_list(F.concat_ws(":", "rel_path", own)))
     return sources.groupBy("paper_id").agg(F.md5(F.array_join(files, "\n").cast("binary")).alias("paper_hash"))
 
 

@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from texloom.functions import latex as lx
-from texloom.operators import terms
+from texloom.operators import segment, terms
+
+#: Texts of one call at most.
+CALL = 10_000
 
 Translator = Callable[[list[str], str], list[str | None]]
 _REGISTRY: dict[str, Callable[[], Translator]] = {}
@@ -101,6 +104,40 @@ def translate(
     return second.select("paper_id", "rel_path", "chunk_idx", "text", done.alias("translated"))
 
 
+def translate_rows(file_rows: DataFrame, factory: Callable[[], Translator], *, prompt: str = "", language: str = "简体中文", pace: Pace = Pace()) -> DataFrame:
+    """`translate` of file rows (see `segment.file_rows`), whose texts stay where they are: they get `translated`, an array by chunk.
+
+    `prompt` goes before each row's own, in the column `prompt`. A call has texts of many files and of one prompt. At a
+    rate `pace.tasks` tasks share it; without one there are as many tasks as the rows have partitions.
+    """
+    rows = file_rows.withColumn("_texts", segment.chunks_of()).withColumn("_p", F.concat(F.lit(prompt), F.coalesce("prompt", F.lit("")))).drop("prompt")
+    rows = rows.coalesce(pace.tasks) if pace.calls_per_second else rows
+
+    @F.pandas_udf("array<string>")
+    def asked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        call, last = factory(), [-1e9]
+        for files, prompts in batches:
+            out = [None if texts is None else list(texts) for texts in files]  # blank texts pass through
+            todo: dict[str, list[tuple[int, int]]] = {}
+            for i, (texts, p) in enumerate(zip(out, prompts, strict=True)):
+                todo.setdefault(p, []).extend((i, k) for k, t in enumerate(texts or []) if t is not None and t.strip())
+            for p, places in todo.items():
+                for at in range(0, len(places), CALL):
+                    some = places[at : at + CALL]
+                    for (i, k), t in zip(some, _called(call, [out[i][k] for i, k in some], p, pace, last), strict=True):
+                        out[i][k] = t
+            yield pd.Series(out, dtype=object)
+
+    asked = asked.asNondeterministic()  # no plan may pay for a call twice
+    nudge = F.lit(lx.NUDGE.format(lang=language))
+    failed = lambda t, a: (lx.strip(t) != "") & lx.is_failed(t, a)
+    first = rows.withColumn("_first", asked("_texts", "_p"))
+    again = first.withColumn("_ask", F.zip_with("_texts", "_first", lambda t, a: F.when(failed(t, a), F.concat(nudge, t))))
+    second = again.withColumn("_second", asked(F.when(F.exists("_ask", lambda t: t.isNotNull()), F.col("_ask")), "_p"))
+    kept = lambda t, i: F.when(F.get("_ask", i).isNull(), F.get("_first", i)).when(~lx.is_failed(t, F.get("_second", i)), F.get("_second", i))
+    return second.withColumn("translated", F.transform("_texts", kept)).drop("_texts", "_p", "_first", "_ask", "_second")
+
+
 def usage(results: DataFrame) -> DataFrame:
     """Calls and estimated tokens of texts and answers, by paper."""
     tokens = lambda c: F.sum(F.when(F.col(c).isNotNull(), lx.token_estimate(c)))

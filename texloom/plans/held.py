@@ -21,9 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-texloom-"))
 
 
+#: Texts take a third less than with Spark's default.
+CODEC = "zstd"
+
+
 def held(df: DataFrame, label: str) -> DataFrame:
     """`df` written once as Parquet and read back: what follows neither computes it again nor needs the executors that did."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/texloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     return spark.read.schema(StructType(df.schema.fields)).parquet(path)
+
+
+def held_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """`held`, in an external table bucketed by a key: what groups or joins by the key reads it without a shuffle."""
+    spark, own = df.sparkSession, uuid.uuid4().hex
+    name = f"texloom_{label}_{own}"
+    df.write.format("parquet").option("compression", CODEC).option("path", f"{shared_dir(spark)}/texloom/{label}-{own}").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from texloom.functions import latex as lx
 from texloom.operators import audit, cache, merge, repair, segment, tasks, terms, translate
-from texloom.plans.held import held
+from texloom.plans.held import held, held_by
 from texloom.sources import latex as src
 from texloom.sources.chunk_store import ChunkStore, exists, joined_by_bucket
 from texloom.streaming import progress
@@ -19,39 +19,44 @@ KEY = ["paper_id", "rel_path"]
 
 def translate_corpus(
     sources: DataFrame, cached: DataFrame, factory: Callable[[], translate.Translator], *, glossaries: DataFrame | None = None, max_tokens: int = 1024,
-    pace: translate.Pace = translate.Pace(calls_per_second=0), with_glossary: bool = True, hold: Callable[[DataFrame, str], DataFrame] = held,
+    pace: translate.Pace = translate.Pace(calls_per_second=0), with_glossary: bool = True, hold: Callable[[DataFrame, str], DataFrame] = held, buckets: int | None = None,
 ) -> dict[str, DataFrame]:
     """Segments, cache join, glossary, translation, repair and merge.
 
     `sources` holds each file once. `cached` may hold many versions of a file; the one of the file's hash and number of chunks is used.
     `glossaries` (paper_id, paper_hash, rank, term, target) is the store of glossaries; those of unchanged papers are used again.
-    `hold` fixes what mustn't be computed twice (nodes and paid translations). Returns nodes, finished, merged,
+    `hold` fixes what mustn't be computed twice (paid translations). Returns nodes, finished, merged,
     cache and glossary (rows to store), results, stats.
+
+    A file stays one row, with its nodes and chunks in it. Texts are shuffled once, by paper, to meet their cache, and lie in
+    `buckets` buckets of papers (the session's number of shuffle partitions); terms are counted and prompts come to the files there.
     """
-    node_rows = hold(segment.nodes(sources), "nodes")
-    chunk_rows = hold(segment.chunks(node_rows, max_tokens), "chunks")
-    files = hold(cache.file_keys(sources, chunk_rows), "files")
-    ready = hold(cache.fitting(files, cached).select(*KEY, "chunks"), "ready")
-    open_files = files.join(ready, KEY, "left_anti")
-    todo = chunk_rows.join(open_files.select(*KEY), KEY, "left_semi")
-    prompts, fresh = None, None
-    if with_glossary:
-        hashes = terms.paper_hashes(sources)
-        stored = None if glossaries is None else glossaries.join(hashes, ["paper_id", "paper_hash"], "left_semi")
-        asked = hashes if stored is None else terms.without_glossary(hashes, stored)
-        top = hold(terms.top_terms(todo.join(asked, "paper_id", "left_semi"), "paper_id", ["rel_path", "chunk_idx"]), "terms")
-        fresh = hold(translate.build_glossary(top, factory, pace=pace).join(asked, "paper_id"), "glossary")
-        every = fresh if stored is None else fresh.unionByName(stored.select(*fresh.columns))
-        prompts = terms.glossary_prompts(every)
-    results = hold(translate.translate(todo, factory, prompts=prompts, pace=pace), "results")
-    pairs = cache.paired(chunk_rows, cache.cached_chunks(ready).unionByName(results.select(*KEY, "chunk_idx", "translated")))
-    finished = hold(merge.finished_nodes(node_rows, merge.node_translations(pairs)), "finished")
-    main = src.main_file(sources).select(*KEY, F.lit(True).alias("_main"))
-    whole = merge.merged_files(finished).join(main, KEY, "left")
-    whole = whole.select(*KEY, F.when(F.col("_main"), lx.with_cjk_preamble("merged")).otherwise(F.col("merged")).alias("merged"))
+    spark = sources.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with joined_by_bucket(spark):
+        apart = segment.file_rows(sources, max_tokens).repartition(buckets, "paper_id")
+        main = src.main_file(sources).select(*KEY, F.lit(True).alias("is_main"))
+        files = held_by(cache.with_cached(apart, cached).join(main, KEY, "left"), "files", "paper_id", buckets)
+        ready, todo = files.where("cached is not null"), files.where("cached is null").drop("cached")
+        prompts, fresh = None, None
+        if with_glossary:
+            asked, stored, texts = terms.paper_hashes(files), None, segment.chunk_rows(todo)
+            if glossaries is not None:
+                stored = glossaries.join(asked, ["paper_id", "paper_hash"], "left_semi")
+                asked = terms.without_glossary(asked, stored)
+                texts = texts.join(asked, "paper_id", "left_semi")
+            top = hold(terms.top_terms(texts, "paper_id", ["rel_path", "chunk_idx"]), "terms")
+            fresh = hold(translate.build_glossary(top, factory, pace=pace).join(asked, "paper_id"), "glossary")
+            every = fresh if stored is None else fresh.unionByName(stored.select(*fresh.columns))
+            prompts = terms.glossary_prompts(every)
+        asking = todo.withColumn("prompt", F.lit("")) if prompts is None else todo.join(prompts, "paper_id", "left")
+        paid = hold(translate.translate_rows(asking, factory, pace=pace), "paid")
+    rows = ready.withColumnRenamed("cached", "translated").unionByName(paid)
+    whole = merge.merged_rows(rows).select(*KEY, F.when(F.col("is_main"), lx.with_cjk_preamble("merged")).otherwise(F.col("merged")).alias("merged"))
+    finished = merge.finished_rows(rows)
     return {
-        "nodes": node_rows, "finished": finished, "merged": whole, "results": results, "stats": merge.segment_stats(finished),
-        "cache": cache.to_store(open_files, results), "glossary": fresh,
+        "nodes": segment.explode_nodes(segment.with_texts(files)), "finished": finished, "merged": whole, "results": segment.chunk_rows(paid, "translated"),
+        "stats": merge.segment_stats(finished), "cache": cache.rows_to_store(paid), "glossary": fresh,
     }
 
 
@@ -80,7 +85,7 @@ def resume(sources: DataFrame, store: str, factory: Callable[[], translate.Trans
         left = session.read.schema(came.schema).parquet(before) if number and exists(session, before) else came.limit(0)
         todo = held(came.unionByName(left.join(came, KEY, "left_anti")), "todo")
         with joined_by_bucket(session):
-            done = translate_corpus(todo, chunks.read(todo, before=number), factory, **options)
+            done = translate_corpus(todo, chunks.read(todo, before=number), factory, **{"buckets": chunks.buckets, **options})
             chunks.put(done["cache"], number)
             done["merged"].write.mode("overwrite").parquet(f"{store}/merged/batch={number}")
             hashed = todo.withColumn("src_hash", lx.content_hash("content"))
