@@ -19,7 +19,7 @@ def held_bytes(spark):
     return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(top) for f in names if f.endswith(".parquet"))
 
 
-@pytest.mark.parametrize("name", ["translated_corpus"])
+@pytest.mark.parametrize("name", ["translated_corpus", "translated_with_cache"])
 def test_a_translated_corpus_takes_few_copies_of_its_texts(spark, name):
     sf = "/root/testdata/sf0.01"
     before = held_bytes(spark)

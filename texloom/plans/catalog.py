@@ -489,13 +489,13 @@ def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def translated_with_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job with its own chunk size, sources as they are, and a cache of every second file; translations of that cache are marked."""
     sources = fx.sources(spark, sf_dir)
-    chunk_rows = held(segment.chunks(segment.nodes(sources)), "chunks")
-    marked = chunk_rows.withColumn("translated", F.concat(F.lit("旧"), "text"))
-    stored = held(cache.to_store(cache.file_keys(sources, chunk_rows), marked), "stored").withColumn("version", F.lit(1).cast("long"))
-    cached = stored.where(F.pmod(F.xxhash64("paper_id", "rel_path"), F.lit(2)) == 0)
+    every = lambda n: F.pmod(F.xxhash64("paper_id", "rel_path"), F.lit(n)) == 0
+    marked = lambda mark, chunks: F.transform(chunks, lambda t: F.concat(F.lit(mark), t))
+    rows = segment.file_rows(sources.where(every(2) | every(3))).withColumn("translated", marked("旧", segment.chunks_of()))
+    version = lambda n, hash_, chunks: F.struct(hash_.alias("src_hash"), chunks.alias("chunks"), F.lit(n).cast("long").alias("version"))
     # every third file also has a later version of other content
-    other = stored.where(F.pmod(F.xxhash64("paper_id", "rel_path"), F.lit(3)) == 0).withColumn("src_hash", F.lit("f" * 32)).withColumn("version", F.lit(2).cast("long"))
-    cached = cached.unionByName(other.withColumn("chunks", F.transform("chunks", lambda t: F.concat(F.lit("falsch"), t))))
+    versions = [F.when(every(2), version(1, F.col("src_hash"), F.col("chunks"))), F.when(every(3), version(2, F.lit("f" * 32), marked("falsch", "chunks")))]
+    cached = cache.rows_to_store(rows).select("paper_id", "rel_path", "cache_key", F.inline(F.array_compact(F.array(*versions))))
     return jobs.translate_corpus(sources, cached, _stand_in)["merged"]
 
 

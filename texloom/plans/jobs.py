@@ -28,11 +28,14 @@ def translate_corpus(
     `hold` fixes what mustn't be computed twice (paid translations). Returns nodes, finished, merged,
     cache and glossary (rows to store), results, stats.
 
-    A file stays one row, with its nodes and chunks in it. Texts are shuffled once, by paper, to meet their cache, and lie in
-    `buckets` buckets of papers (the session's number of shuffle partitions); terms are counted and prompts come to the files there.
+    A file stays one row, with its nodes and chunks in it. Texts and cached chunks are shuffled once, by paper, to meet, and lie in
+    as many buckets of papers as the session has shuffle partitions; terms are counted and prompts come to the files there.
+    `buckets`: `cached` lies in so many buckets of papers already, as a `ChunkStore` does, and isn't shuffled.
     """
     spark = sources.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cached = cached.repartition(buckets, "paper_id")
     with joined_by_bucket(spark):
         apart = segment.file_rows(sources, max_tokens).repartition(buckets, "paper_id")
         main = src.main_file(sources).select(*KEY, F.lit(True).alias("is_main"))
